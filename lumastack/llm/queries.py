@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumastack.llm.shared import fold
 
 WORD_FILE = "word_bpe_49k.json"
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -19,6 +22,45 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE), 4096)
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumastack.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumastack.llm.secrets import KINDS, as_text, find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    numbers = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(numbers) - F.size(F.array_remove(numbers, i))).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    live = F.size(F.filter("spans", lambda s: s["live"])).cast("bigint").alias("n_live")
+    rows = found.select("doc_id", *counts, live, as_text(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("spans", 256).alias("base_sha256"), "spans", "n_live")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumastack.llm.substrings import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumastack.llm.langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)))
+    filters = fit(docs.where(~F.col("held_out")))
+    return identify(docs, filters, carry=("held_out",))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumastack.llm.simhash import near_groups
+
+    found = near_groups(table(spark, sf_dir, "documents"), distance=3, size=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumastack.llm.exact import exact_groups
 
@@ -31,9 +73,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, ids=False, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op9_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_nearest, op5_secrets, op6_substring_dedup, op7_language_id, op8_simhash, op9_exact_dedup, op10_byte_bpe)}
 
 ORACLE_SQL = {
+    "op4_nearest": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 5
+""",
     "op9_exact_dedup": """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
