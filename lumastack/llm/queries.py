@@ -16,6 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumastack.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)))
+    model = fit(docs, table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0))
+    return score(docs, model, carry=("held_out",))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumastack.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumastack.llm.packing import pack_documents
 
@@ -73,9 +87,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, ids=False, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_nearest, op5_secrets, op6_substring_dedup, op7_language_id, op8_simhash, op9_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_best_fit_packing, op4_nearest, op5_secrets, op6_substring_dedup, op7_language_id, op8_simhash, op9_exact_dedup, op10_byte_bpe)}
 
 ORACLE_SQL = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+""",
     "op4_nearest": """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
