@@ -1,14 +1,84 @@
-"""A training-data pipeline over documents: each stage is one of the corpus operators."""
+"""A training-data pipeline over documents: language ID, exact and near duplicates, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A stage
+works on all rows it is given, is written as Parquet and read again as the next one's docs. Null texts have no letter
+and go in the first stage; rows that repeat id and text are one document after the second. Other columns, whatever their
+names, pass through all but the last stage; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumastack.llm.exact import drop_exact
+from lumastack.llm.langid import fit, identify
+from lumastack.llm.packing import pack_documents
+from lumastack.llm.queries import WORD_FILE
+from lumastack.llm.secrets import find_secrets, redacted
+from lumastack.llm.shared import fold, materialise
+from lumastack.llm.simhash import near_groups
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(_row: all columns, _id, _text, _hash): columns under names of our own, so that others cannot clash."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"), F.md5(text).alias("_hash"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language go on; those without a letter are rejected. Filters are learned from docs with a language,
+    one fold of three left out, and every whole text is judged."""
+    filters = fit(docs.where(fold(F.col("doc_id"), 3) != 1))
+    rows = rows_of(docs).select("_row", "_id", "_text")
+    judged = identify(rows, filters, id_col="_id", text_col="_text", carry=("_row",))
+    return judged.where("lang_pred <> 'und'").select("_row.*")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for the case of A-Z, the row with the largest id goes on."""
+    return drop_exact(docs, keep="largest")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints (as in op8: three-word shingles) links of 3 bits or fewer connect, that with the smallest
+    id goes on. Rows that share an id count as one document, of which one text stays."""
+    rows = rows_of(docs)
+    groups = near_groups(rows.select("_id", "_text", "_hash"), distance=3, size=3, id_col="_id", text_col="_text", carry=("_hash",))
+    first = groups.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id").agg(F.min("_hash").alias("_hash"))
+    first = materialise(first)
+    right = first.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"))
+    return rows.join(right, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left_semi").select("_row.*")
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets that look live, held by fewer than three sources, are cut out of the texts; n_chars follows. No document goes."""
+    rows = rows_of(docs)
+    found = find_secrets(docs).select("doc_id", "text_hash", F.filter("spans", lambda s: s["live"]).alias("_spans")).where(F.size("_spans") > 0)
+    found = found.groupBy(F.col("doc_id").alias("_id2"), F.col("text_hash").alias("_hash2")).agg(F.first("_spans").alias("_spans"))
+    joined = rows.join(found, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left")
+    text = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(redacted(F.col("_text"), F.col("_spans")))
+    changed = joined.select("_row", "_spans", text.alias("_text"))
+    new = {"text": F.col("_text"), "n_chars": F.when(F.col("_spans").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text").cast("bigint"))} if "n_chars" in docs.columns else {"text": F.col("_text")}
+    return changed.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents, tokenised and packed into sequences of 4,096 ids."""
+    return pack_documents(docs, public_tokenizers.path(WORD_FILE), 4096)
+
+
+STAGES = [("language ID", language_id), ("exact dedup", exact_dedup), ("SimHash near-dedup", near_dedup), ("secret scans", secret_scan), ("best-fit packing", best_fit_packing)]
+#: Fingerprints and packing cannot be written as SQL; tests/llm/test_pipeline.py compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """STAGES applied to documents, one after another."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied to documents, each stage's result stored before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialise(docs)
     return docs

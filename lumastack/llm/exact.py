@@ -30,19 +30,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """docs with one row of each group of equal texts, all columns as they were. Of rows that repeat id and text one stays.
+    """docs with one row of each group of equal texts (as in exact_groups), all columns as they were.
 
-    Only the texts themselves decide: the kept row of a group is found by (id, hash, digest), so an id that stands at
-    several texts loses just the texts that have a better row elsewhere.
+    A single aggregation by hash and normal form keeps the row with the best id; tasks combine their own copies first, so
+    a text that a third of all rows share is one row from each task. Null ids stay only where a group has no other. Of
+    rows that repeat both id and text one stays.
     """
-    names = docs.columns
     norm = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    best = {"smallest": F.min, "largest": F.max}[keep]
-    row = F.struct(*[F.col(f"`{c}`") for c in names])
-    keyed = docs.select(row.alias("_row"), F.col(id_col).alias("_id"), F.md5(norm).alias("_hash"), F.unhex(F.sha2(norm, 256)).alias("_sha"))
-    groups = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).groupBy(F.md5("norm").alias("_hash"), "norm").agg(best("id").alias("_keep"), F.count("*").alias("_n"))
-    groups = materialise(groups.select("_hash", F.unhex(F.sha2("norm", 256)).alias("_sha"), "_keep", "_n"))
-    single = keyed.join(groups.where("_n = 1"), ["_hash", "_sha"], "left_semi")
-    many = keyed.join(groups.where("_n > 1").withColumnRenamed("_keep", "_id2"), ["_hash", "_sha"]).where(F.col("_id").eqNullSafe(F.col("_id2")))
-    once = many.dropDuplicates(["_hash", "_sha"])
-    return single.select("_row.*").unionByName(once.select("_row.*"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.md5(norm).alias("_hash"), norm.alias("_norm"))
+    if keep == "largest":
+        best = F.max_by("_row", F.struct(F.col("_id").isNotNull(), F.col("_id")))
+    else:
+        best = F.min_by("_row", F.struct(F.col("_id").isNull(), F.col("_id")))
+    return keyed.groupBy("_hash", "_norm").agg(best.alias("_row")).select("_row.*")

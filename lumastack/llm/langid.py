@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumastack.llm.shared import doc_chunks, text_blocks, words_of
 
@@ -158,7 +159,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(np.where(lettered, score, 0.0), pa.float64())], names=[*fields, "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col), *carry, F.col(text_col).cast("string").alias("text"))
-    kept = rows.dtypes if keep_text else rows.dtypes[:-1]
-    return rows.mapInArrow(blocks, ", ".join(f"`{c}` {t}" for c, t in kept) + ", lang_pred string, score double")
+    kept = rows if keep_text else rows.drop("text")
+    return rows.mapInArrow(blocks, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumastack.llm.graph import components
 from lumastack.llm.shared import materialise
@@ -43,8 +44,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], names=[*batch.schema.names[:-1], "fingerprint"])
 
     rows = docs.select(F.col(id_col).alias("id"), *carry, F.col(text_col).cast("string").alias("text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", fingerprint bigint"
-    return rows.mapInArrow(blocks, schema)
+    return rows.mapInArrow(blocks, T.StructType([*rows.schema.fields[:-1], T.StructField("fingerprint", T.LongType())]))
 
 
 def links(nodes: DataFrame, distance: int = 3) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumastack.llm.shared import doc_chunks, gather, text_blocks, words_of
 
@@ -220,4 +221,4 @@ def score(docs: DataFrame, model: Grammar, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=[*block.schema.names[:-1], "score", "predicted"])
 
     rows = docs.select(F.col(id_col), *carry, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(blocks, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", score double, predicted int")
+    return rows.mapInArrow(blocks, T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
