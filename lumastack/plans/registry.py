@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lumastack.plans import capture_queries
+
+QUERIES = {**capture_queries.QUERIES}
+ORACLE_SQL = {**capture_queries.ORACLE_SQL}
