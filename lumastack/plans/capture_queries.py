@@ -166,12 +166,17 @@ def top_windows_overlap(spark, sf):
     return windows.top_overlap(windows.search(captures(spark, sf), REQUIRED, MINUTES, CYCLE, K), TOP)
 
 
+def best_windows(spark: SparkSession, sf: str, minutes: float = MINUTES, cycle: float = CYCLE, n: int = TOP) -> DataFrame:
+    """The flagship: the n best windows that do not overlap, over all five filters."""
+    return windows.top_disjoint(windows.search(captures(spark, sf), REQUIRED, minutes, cycle, K), n, minutes)
+
+
 @query(f"""WITH RECURSIVE {WINDOWS_SQL}, o AS (SELECT *, epoch_us(center_ts) / 1e6 AS c, row_number() OVER (ORDER BY window_quality DESC, center_ts, window_id) AS r FROM windows),
 pick AS (SELECT 1 AS k, (SELECT [c] FROM o WHERE r = 1) AS cs, (SELECT 1) AS r WHERE EXISTS (SELECT 1 FROM o)
  UNION ALL SELECT k + 1, list_append(cs, o.c), o.r FROM pick, o WHERE k < {TOP} AND o.r = (SELECT min(p.r) FROM o p WHERE len(list_filter(cs, lambda z: abs(z - p.c) < {MINUTES * 60})) = 0))
 SELECT o.window_id, o.center_ts, o.n_filters, o.window_quality, o.rotation_degrees, CAST(k AS INTEGER) AS window_index FROM pick JOIN o ON o.r = pick.r""")
 def top_windows_disjoint(spark, sf):
-    return windows.top_disjoint(windows.search(captures(spark, sf), REQUIRED, MINUTES, CYCLE, K), TOP, MINUTES)
+    return best_windows(spark, sf)
 
 
 @query(f"WITH {CAPTURES_SQL} SELECT DISTINCT filter FROM captures")
