@@ -54,8 +54,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", shared_owners: int = 3) -> DataFrame:
     """One row per document with `spans`: array of (start, kind, end, sha, documents, owners, live), by start, then kind.
 
-    Corpus-wide ownership: hashes of the secrets are counted by distinct texts and distinct owners, combined before the
-    shuffle. A secret that at least shared_owners owners hold is a widely copied example; one that fewer hold looks live.
+    Corpus-wide ownership: hashes of the secrets are counted by distinct owners, and by distinct texts of each owner, combined
+    before the shuffle. A secret that at least shared_owners owners hold is a widely copied example; one that fewer hold looks live.
     The counts are joined back by hash; Spark splits a hash that very many documents hold. The scan is stored, without
     texts, so texts are read once.
 

@@ -86,7 +86,6 @@ class Block:
         n = len(self.places)
         gone = self.at[least[self.of] < self.ids[self.doc]] if len(self.at) else self.at
         covered = np.cumsum(np.bincount(gone, minlength=n + 1)[: n + 1] - np.bincount(gone + self.window, minlength=n + 1)[: n + 1])[:n] > 0
-        edge = np.diff(np.concatenate(([0], covered.view(np.int8), [0])))
         words = self.words
         for i, (first, last) in enumerate(zip(self.starts, self.starts[1:], strict=False)):
             own = covered[first:last]
