@@ -88,7 +88,7 @@ def ap_grid_adaptive(spark, sf):
 
 
 @query(f"""WITH {PIXELS_SQL}, aps AS (SELECT CAST(a * 2 AS INTEGER) AS ax, CAST(b * 2 AS INTEGER) AS ay FROM range(1, 4) p(a), range(1, 4) q(b)), z AS (SELECT unnest([2, 4, 6]) AS size),
-g AS (SELECT frame_id, ax, ay, size, count(*) < size * size OR avg(v) < 0.45 AS stop, stddev_pop(v) >= 0.06 AS fit FROM pixels JOIN aps ON true JOIN z ON x >= ax - size // 2 AND x < ax + size // 2 AND y >= ay - size // 2 AND y < ay + size // 2 GROUP BY ALL),
+g AS (SELECT frame_id, ax, ay, size, count(*) < size * size OR avg(v) < 0.45 AS stop, stddev_pop(v) >= 0.06 AS fit FROM pixels JOIN aps ON true JOIN z ON x >= ax - size // 2 AND x < ax + size // 2 AND y >= ay - size // 2 AND y < ay + size // 2 GROUP BY frame_id, ax, ay, size),
 s AS (SELECT *, bool_or(stop) OVER (PARTITION BY frame_id, ax, ay ORDER BY size) AS stopped FROM g) SELECT frame_id, ax, ay, min(size) AS size FROM s WHERE fit AND NOT stopped GROUP BY ALL""")
 def ap_grid_multiscale(spark, sf):
     return alignment.ap_grid_multiscale(fq.pix(spark, sf).select("frame_id", "y", "x", "v"), (2, 4, 6), fq.APS, 0.06, 0.45)
