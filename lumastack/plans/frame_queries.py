@@ -315,7 +315,7 @@ def rotation_delta(spark, sf):
     return frames(spark, sf).select("frame_id", stack.rotation_delta(45.0 * F.col("frame_id"), 9.925).alias("delta"))
 
 
-EPHEMERIS_SQL = "eph AS (SELECT DATE '2024-01-01' + CAST(d AS INTEGER) AS date, (350 + 0.7 * (d + 1)) % 360 AS v FROM range(31) r(d))"
+EPHEMERIS_SQL = "eph AS (SELECT DATE '2024-01-01' + CAST(d AS INTEGER) AS date, (350 + CAST(0.7 AS DOUBLE) * (d + 1)) % 360 AS v FROM range(31) r(d))"
 
 
 def ephemeris(spark) -> DataFrame:
@@ -323,7 +323,8 @@ def ephemeris(spark) -> DataFrame:
 
 
 @query(f"""WITH {EPHEMERIS_SQL}, j AS (SELECT event_id, ts, a.v AS v0, b.v AS v1, (hour(ts) * 60 + minute(ts)) / 1440.0 AS part FROM events LEFT JOIN eph a ON CAST(ts AS DATE) = a.date LEFT JOIN eph b ON CAST(ts AS DATE) + 1 = b.date),
-t AS (SELECT *, (v1 - v0 + 180 + 360) % 360 - 180 AS turn FROM j) SELECT event_id, CASE WHEN v0 IS NULL THEN 0 WHEN v1 IS NULL THEN v0 ELSE (v0 + part * turn + 360) % 360 END AS pole FROM t""")
+t AS (SELECT *, CASE WHEN (v1 - v0 + 180.0) % 360 < 0 THEN ((v1 - v0 + 180.0) % 360 + 360) % 360 ELSE (v1 - v0 + 180.0) % 360 END - 180.0 AS turn FROM j), p AS (SELECT *, v0 + part * turn AS a FROM t)
+SELECT event_id, CASE WHEN v0 IS NULL THEN 0 WHEN v1 IS NULL THEN v0 WHEN a % 360 < 0 THEN (a % 360 + 360) % 360 ELSE a % 360 END AS pole FROM p""")
 def pole_angle_lookup(spark, sf):
     times = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts")
     return stack.pole_angle(times, ephemeris(spark), "599").select("event_id", "pole")
