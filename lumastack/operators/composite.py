@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumastack.operators.report import spec_rows
+from lumastack.operators.report import SPECS, spec_rows
 from lumastack.operators.stack import clip01
 
 
@@ -21,9 +21,9 @@ def compose_rgb(pixels: DataFrame, by: str) -> DataFrame:
 
 def skipped(pixels: DataFrame, by: str) -> DataFrame:
     """(by, name, missing): specs that a group lacks filters for."""
-    specs = spec_rows(pixels.sparkSession)
+    specs = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f).alias("filter")) for name, roles in SPECS.items() for f in roles.values()])
     own = pixels.select(by, "filter").distinct()
-    wanted = own.select(by).distinct().crossJoin(F.broadcast(specs.select("name", "filter")))  # a dozen rows
+    wanted = own.select(by).distinct().select(by, F.explode(specs).alias("s")).select(by, "s.*")
     return wanted.join(own, [by, "filter"], "left_anti").groupBy(by, "name").agg(F.array_sort(F.collect_set("filter")).alias("missing"))
 
 

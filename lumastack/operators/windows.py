@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumastack.sources.shared import materialise
+
 
 def seconds(ts: Column) -> Column:
     """A timestamp (with or without zone) as seconds, UTC."""
@@ -28,9 +30,24 @@ def norm_scores(scores: DataFrame, score_col: str = "raw_score", by: str = "filt
     return scores.join(span, by).withColumn("norm_score", (F.col(score_col) - F.col("_lo")) / width).drop("_lo", "_hi")
 
 
+def ranked(rows: DataFrame, by: str, *order: Column | str) -> DataFrame:
+    """Adds rank from 1 within each value of `by`, for groups of any size.
+
+    Rows are dealt by ranges of (by, order) and stored with their part; a row's rank is its place in its part plus the
+    group's rows in earlier parts, which are counted first. So a group that holds most rows is ranked by all tasks.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(rows.repartitionByRange(parts, by, *order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(by, "_part", before.alias("_before"))
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_part", by).orderBy(*order)))
+    return own.join(starts, [by, "_part"]).withColumn("rank", (F.col("_own") + F.col("_before")).cast("int")).drop("_part", "_own", "_before")
+
+
 def quality_rank(scores: DataFrame, by: str = "filter") -> DataFrame:
     """Adds rank: 1 is the best of its filter; ties by time, then stem."""
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("norm_score"), "ts", "stem")))
+    return ranked(scores, by, F.desc("norm_score"), "ts", "stem")
 
 
 def min_quality(scores: DataFrame, threshold: float) -> DataFrame:

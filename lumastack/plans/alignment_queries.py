@@ -100,8 +100,8 @@ def session_aps(spark, sf):
     first = f.groupBy("file_id").agg(F.min("frame_id").alias("frame_id"))
     c = fq.centers(spark, sf).join(first, ["file_id", "frame_id"]).select("file_id", "cx", "cy")
     ref = c.agg(F.min_by(F.struct("cx", "cy"), "file_id").alias("r"))
-    aps = spark.createDataFrame(fq.APS, "ax int, ay int")
-    moved = c.join(F.broadcast(ref)).join(F.broadcast(aps))
+    aps = F.array(*[F.struct(F.lit(x).alias("ax"), F.lit(y).alias("ay")) for x, y in fq.APS])
+    moved = c.join(F.broadcast(ref)).select("*", F.explode(aps).alias("p")).select("*", "p.*")  # ref is one row
     moved = moved.select("file_id", *[(F.col(a) + F.bround((F.col(k) - F.col(f"r.{k}")) * 10, 0)).cast("int").alias(a) for a, k in (("ax", "cx"), ("ay", "cy"))])
     return moved.where(F.col("ax").between(2, 6) & F.col("ay").between(2, 6))
 
