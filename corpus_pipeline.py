@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumastack.llm.exact import drop_exact
-from lumastack.llm.langid import fit, identify
+from lumastack.llm.langid import fit, language_of
 from lumastack.llm.packing import pack_documents
 from lumastack.llm.queries import WORD_FILE
 from lumastack.llm.secrets import find_secrets, redacted
@@ -31,9 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language go on; those without a letter are rejected. Filters are learned from docs with a language,
     one fold of three left out, and every whole text is judged."""
     filters = fit(docs.where(fold(F.col("doc_id"), 3) != 1))
-    rows = rows_of(docs).select("_row", "_id", "_text")
-    judged = identify(rows, filters, id_col="_id", text_col="_text", carry=("_row",))
-    return judged.where("lang_pred <> 'und'").select("_row.*")
+    return docs.where(language_of(F.col("text"), filters, spark)["lang_pred"] != "und")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,9 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumastack.llm.shared import doc_chunks, text_blocks, words_of
 
@@ -81,8 +80,12 @@ class LanguageFilters:
         masks = [self.slots[at] for at in places(keys, len(self.slots), self.hashes)]
         return np.bitwise_and.reduce(masks)
 
-    def word_counts(self, words: pa.Array) -> np.ndarray:
-        """For each word its n-grams and, for each language, how many of them the filter holds (words x (1 + languages))."""
+    def word_counts(self, words: pa.Array, part: int = 50_000) -> np.ndarray:
+        """For each word its n-grams and, for each language, how many of them the filter holds (words x (1 + languages)), `part` words at a time."""
+        parts = [self._word_counts(words.slice(i, part)) for i in range(0, len(words), part)]
+        return np.concatenate(parts) if parts else np.zeros((0, 1 + len(self.languages)), np.int32)
+
+    def _word_counts(self, words: pa.Array) -> np.ndarray:
         out = np.zeros((len(words), 1 + len(self.languages)), np.int32)
         keys, word = grams(words)
         if not len(keys):
@@ -128,38 +131,44 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     return LanguageFilters.of({k: v["gram"].to_numpy() for k, v in frequent.groupby("lang")})
 
 
-def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), *, keep_text: bool = False) -> DataFrame:
-    """(id, carried columns, lang_pred, score) per document: the language whose filter, corrected for false positives, holds most
-    of the n-grams; score is its part of all languages' counts.
-
-    `und` with score 0 if the text is null or has no letter. A text none of whose n-grams is known gets the first language
-    by name, with score 0; so do ties get the first. Whole texts count, each distinct word of a block being looked up once.
-    The filters' size is bounded by SHARE and 64 languages; they are broadcast. With keep_text, text_col is returned too.
+def judge(texts: pa.Array, filters: LanguageFilters) -> tuple[list[str], np.ndarray]:
+    """The language and score of each text of a block."""
+    words, flat, starts = words_of(texts)
+    counts = filters.word_counts(words)
+    total = np.zeros((len(texts), counts.shape[1]), np.int64)
+    for first, last in doc_chunks(starts):
+        chunk = counts[flat[starts[first] : starts[last]]]
+        sums = np.concatenate((np.zeros((1, counts.shape[1]), np.int64), np.cumsum(chunk, axis=0, dtype=np.int64)))
+        at = starts[first : last + 1] - starts[first]
+        total[first:last] = sums[at[1:]] - sums[at[:-1]]
+    true = filters.corrected(total)
+    lettered = (total[:, 0] > 0) & bool(filters.languages)
+    best = true.argmax(1) if filters.languages else np.zeros(len(true), np.int64)
+    score = np.where(lettered, true.max(1, initial=0) / np.maximum(1e-9, true.sum(1)), 0.0)
+    return [filters.languages[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], score
+
+
+def language_of(text: Column, filters: LanguageFilters, spark: SparkSession) -> Column:
+    """STRUCT(lang_pred, score) of a text: the language whose filter, corrected for false positives, holds most of the n-grams;
+    score is its part of all languages' counts.
+
+    `und` with score 0 if the text is null or has no letter (or nothing was learned). A text none of whose n-grams is known
+    gets the first language by name, with score 0; so do ties get the first. Whole texts count, each distinct word of a
+    block being looked up once. Only texts go to Python, in Arrow batches, and no row comes back from there. The filters'
+    size is bounded by SHARE and 64 languages; they are broadcast.
     """
-    held = docs.sparkSession.sparkContext.broadcast(filters)
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
-        for block in text_blocks(batches):
-            words, flat, starts = words_of(block.column("text"))
-            counts = own.word_counts(words)
-            total = np.zeros((block.num_rows, counts.shape[1]), np.int64)
-            for first, last in doc_chunks(starts):
-                chunk = counts[flat[starts[first] : starts[last]]]
-                sums = np.concatenate((np.zeros((1, counts.shape[1]), np.int64), np.cumsum(chunk, axis=0, dtype=np.int64)))
-                at = starts[first : last + 1] - starts[first]
-                total[first:last] = sums[at[1:]] - sums[at[:-1]]
-            true = own.corrected(total)
-            lettered = (total[:, 0] > 0) & bool(own.languages)
-            best = true.argmax(1) if own.languages else np.zeros(len(true), np.int64)
-            score = true.max(1, initial=0) / np.maximum(1e-9, true.sum(1))
-            names = [own.languages[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
-            columns = block.columns if keep_text else block.columns[:-1]
-            fields = block.schema.names if keep_text else block.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(np.where(lettered, score, 0.0), pa.float64())], names=[*fields, "lang_pred", "score"])
-
-    rows = docs.select(F.col(id_col), *carry, F.col(text_col).cast("string").alias("text"))
-    kept = rows if keep_text else rows.drop("text")
-    return rows.mapInArrow(blocks, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    held = spark.sparkContext.broadcast(filters)
+
+    @F.arrow_udf("lang_pred string, score double")
+    def of(texts: pa.Array) -> pa.Array:
+        parts = [judge(b.column("text"), held.value) for b in text_blocks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]))]
+        names = pa.array([n for p in parts for n in p[0]], pa.string())
+        return pa.StructArray.from_arrays([names, pa.array(np.concatenate([p[1] for p in parts]) if parts else [], pa.float64())], ["lang_pred", "score"])
+
+    return of(text.cast("string"))
 
 
+def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, lang_pred, score) of every document, by language_of."""
+    found = language_of(F.col(text_col), filters, docs.sparkSession)
+    return docs.select(F.col(id_col), *carry, found.alias("_found")).select(id_col, *carry, "_found.lang_pred", "_found.score")

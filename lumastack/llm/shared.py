@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Text that one block of a task holds at most (one longer text is a block of its own).
-BLOCK_BYTES = 48 << 20
-
+from lumastack.sources.shared import materialise, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a new temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+__all__ = ["Interner", "doc_chunks", "fold", "gather", "intern_lists", "lower_ascii", "materialise", "shared_dir", "text_blocks", "words_of"]
 
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: later plans start there, also after executors are lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Text that one block of a task holds at most (one longer text is a block of its own).
+BLOCK_BYTES = 16 << 20
 
 
 def fold(id_col: Column, parts: int) -> Column:
