@@ -206,7 +206,13 @@ def step_output_reload(spark, sf):
     return catalog.reload(spark, path).select("file_id", "filter", "frame_id")
 
 
-@query()
+SERIES_SQL = fq.SCORES_SQL + """, k AS (SELECT *, CASE WHEN filter IN ('R', 'G', 'B') THEN 'joint' ELSE filter END AS grp FROM pixels),
+st AS (SELECT *, avg(v) OVER f AS m, stddev_pop(v) OVER f AS sd, avg(v) OVER g AS gm, stddev_pop(v) OVER g AS gs FROM k WINDOW f AS (PARTITION BY frame_id), g AS (PARTITION BY grp)),
+nrm AS (SELECT frame_id, file_id, filter, y, x, greatest(0, least(1, (v - m) / greatest(sd, 1e-7) * gs + gm)) AS v FROM st), wt AS (SELECT frame_id, greatest(score * score, 0.05) / sum(greatest(score * score, 0.05)) OVER (PARTITION BY file_id, filter) AS weight FROM scores),
+ch AS (SELECT file_id, filter, y, x, greatest(0, least(1, 0.8 * CASE WHEN count(*) = 1 THEN any_value(v) ELSE greatest(0, least(1, sum(weight * v) / sum(weight))) END)) AS v FROM nrm JOIN wt USING (frame_id) GROUP BY ALL)""" + fq.WIDE_SQL[fq.WIDE_SQL.index(", spec AS") :]
+
+
+@query(f'WITH {SERIES_SQL} SELECT file_id, name, y, x, r AS "R", g AS "G", b AS "B", l AS "L" FROM wide')
 def series_frames(spark, sf):
     """The series from end to end: normalised, weighted and stacked by file and filter, scaled, composed."""
     normal = series.normalise_series(fq.pix(spark, sf)).withColumn("v", F.col("out")).drop("out")

@@ -275,7 +275,7 @@ def ap_grid_poisson(spark, sf):
     return fr.poisson_grid(frames(spark, sf), 4, 0.5)
 
 
-@query()
+@query(f"WITH {PIXELS_SQL}, g AS (SELECT s * 2 AS size, CAST(s + 2 * a AS INTEGER) AS ax, CAST(s + 2 * b AS INTEGER) AS ay FROM range(1, 4) z(s), range(4) p(a), range(4) q(b) WHERE s + 2 * a <= 8 - s AND s + 2 * b <= 8 - s), m AS (SELECT frame_id, ax, ay, size, stddev_pop(v) AS d, avg(v) AS m FROM pixels JOIN g ON x >= ax - size / 2 AND x < ax + size / 2 AND y >= ay - size / 2 AND y < ay + size / 2 GROUP BY ALL) SELECT frame_id, ax, ay, CAST(size AS INTEGER) AS size FROM m JOIN (SELECT frame_id, max(v) AS p FROM pixels GROUP BY 1) USING (frame_id) WHERE d >= 0.05 AND m >= 0.7 * p")
 def ap_grid_layers(spark, sf):
     p = pix(spark, sf)
     grids = [stack.ap_grid(p, 2, size, SIDE, SIDE, 0.05, 0.7).withColumn("size", F.lit(size)) for size in (2, 4, 6)]
