@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumastack.llm.shared import doc_chunks, text_blocks, words_of
+from lumastack.llm.shared import doc_chunks, materialise, text_blocks, words_of
 
 #: Rows that the fit looks at, at most: those with the smallest hashes of their ids.
 FIT_ROWS = 10_000
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
     if last is None:
         return LanguageFilters.of({})
-    counted = use.where(F.col("h") <= last).select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = materialise(use.where(F.col("h") <= last).select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counted.join(total, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= SHARE)
     best = shares.groupBy("gram").agg(F.max("share").alias("best"))
