@@ -36,7 +36,8 @@ def tile_nearest(queries: np.ndarray, query_ids: np.ndarray, stored: np.ndarray,
     """(query id, cosine, stored id) for all pairs of a tile that may be among the k nearest.
 
     With unit vectors u, v, codes' values u', v' and what is lost e_u, e_v: |u.v - u'.v'| <= |e_u| + |u'| |e_v|. A pair
-    survives if its upper bound reaches the k-th largest lower bound of its query in this tile.
+    survives if its upper bound reaches the k-th largest lower bound of its query in this tile, each stored id counting once
+    with its best bound.
     """
     q, qs, qe = quantised(queries)
     s, ss, se = quantised(stored)
@@ -44,29 +45,32 @@ def tile_nearest(queries: np.ndarray, query_ids: np.ndarray, stored: np.ndarray,
     bound = qe[:, None] + (1 + qe)[:, None] * se[None, :] + 1e-9
     own = query_ids[:, None] == stored_ids[None, :]
     low = np.where(own, -np.inf, near - bound)
+    order = np.argsort(stored_ids, kind="stable")
+    _, firsts = np.unique(stored_ids[order], return_index=True)
+    if len(firsts) < len(stored_ids):
+        low = np.maximum.reduceat(low[:, order], firsts, axis=1)
     floor = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] >= k else np.full(len(q), -np.inf)
     i, j = np.nonzero((near + bound >= floor[:, None]) & ~own)
     return zip(query_ids[i].tolist(), cosine(queries[i], stored[j]).tolist(), stored_ids[j].tolist(), strict=True)
 
 
 def packed(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, vector) in blocks of at most size vectors of one dimension: (dim, ids, vectors) as binary."""
+    """Rows (id, vector) in blocks of at most size vectors of one dimension: (dim, ids, vectors) as binary. Equal rows are one in a block."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, dict[tuple[int, bytes], None]] = {}
 
         def full(dim: int) -> pa.RecordBatch:
-            ids, vectors = held.pop(dim)
-            data = {"dim": [dim], "ids": [np.array(ids, np.int64).tobytes()], "vectors": [np.concatenate(vectors).tobytes()]}
+            ids, vectors = zip(*held.pop(dim), strict=True)
+            data = {"dim": [dim], "ids": [np.array(ids, np.int64).tobytes()], "vectors": [b"".join(vectors)]}
             return pa.RecordBatch.from_pydict(data, schema=pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
 
         for batch in batches:
             for i, v in zip(batch.column("id").to_pylist(), batch.column("vector"), strict=True):
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                ids, vectors = held.setdefault(len(x), ([], []))
-                ids.append(i)
-                vectors.append(x)
-                if len(ids) == size:
+                block = held.setdefault(len(x), {})
+                block[i, x.tobytes()] = None
+                if len(block) == size:
                     yield full(len(x))
         for dim in list(held):
             yield full(dim)
@@ -84,7 +88,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     The result is exact.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id.
-    Rows that repeat an id are not candidates for one another; as queries they are one (its nearest over all of them).
+    Rows that repeat an id are not candidates for one another; as queries they are one (its nearest over all of them). As
+    candidates, an id's rows of one cosine are one.
     Only vectors of one dimension are compared. Ties go to the smaller id. A query without candidates gives no rows.
     """
     spark = vectors.sparkSession

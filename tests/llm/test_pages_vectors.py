@@ -84,6 +84,17 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_repeated_ids_take_no_places(spark):
+    near, far = [0.9, 0.19**0.5], [0.5, 0.75**0.5]
+    rows = [(50, [1.0, 0.0]), *[(7, near)] * 6, (8, far), (9, [0.3, 1.0]), (9, [0.2, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for parts in (1, 4):
+        got = [tuple(x) for x in ann.nearest(df.repartition(parts), F.col("vec_id") % 50 == 0).collect()]
+        assert sorted(got) == sorted(plain_nearest(rows)) and len(got) == 4
+    q, s = np.array([[1.0, 0.0]]), np.array([near] * 3 + [far] + [near] * 3)
+    assert {i for _, _, i in ann.tile_nearest(q, np.array([50]), s, np.array([7, 7, 7, 8, 7, 7, 7]), 2)} == {7, 8}
+
+
 def test_bounds_hold():
     r = np.random.default_rng(4)
     a, b = r.normal(size=(40, 64)), r.normal(size=(60, 64)) * 10.0 ** r.integers(-6, 6, (60, 1))
