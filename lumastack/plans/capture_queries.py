@@ -48,6 +48,11 @@ def folder_metadata(spark, sf):
     return p.select("event_id", catalog.folder_date(F.col("path"), F.col("modified")).alias("date"), catalog.folder_target(F.col("path")).alias("target"))
 
 
+@query(f"WITH {PATHS_SQL} SELECT event_id, strftime(modified, '%Y-%m-%d') AS date, CASE WHEN event_id % 8 = 2 THEN 'Mar' END AS target FROM paths")
+def folder_metadata_all(spark, sf):
+    return paths(spark, sf).select("event_id", catalog.folder_date(F.col("path"), F.col("modified")).alias("date"), catalog.folder_target(F.col("path")).alias("target"))
+
+
 @query(META_SQL + f"""SELECT p.event_id, CASE p.event_id % 4 WHEN 0 THEN stem WHEN 3 THEN 'notes' || CAST(p.event_id AS VARCHAR)
   ELSE strftime(p.modified, '%Y-%m-%d-%H%M') || '_' || CAST({TENTHS.replace('ss', 'p.ss')} AS VARCHAR) || '-U-IR-Jup' END AS stem FROM paths p LEFT JOIN meta m USING (event_id)""")
 def canonical_stem(spark, sf):

@@ -95,6 +95,18 @@ def test_file_names(spark):
     assert stems[1] == "2023-10-25-2130_8-U-R-Jup" and stems[2] == "2023-10-25-2150_4-U-R-Jup" and stems[3] == "notes"
 
 
+def test_folder_metadata_covers_every_path(spark, sf):
+    from lumastack.plans import registry
+
+    rows = [("/d/2023-10-25/Mars/a.tif",), ("/d/Saturn/2023-10-25/a.tif",), ("/d/x/a.tif",), ("a.tif",)]
+    day = F.lit("2024-02-03 04:05:06").cast("timestamp_ntz")
+    found = spark.createDataFrame(rows, "path string").select(catalog.folder_date(F.col("path"), day), catalog.folder_target(F.col("path"))).collect()
+    assert [tuple(r) for r in found] == [("2023-10-25", "Mar"), ("2023-10-25", "Sat"), ("2024-02-03", None), ("2024-02-03", None)]
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    every = registry.QUERIES["folder_metadata_all"](spark, sf)
+    assert every.select("event_id").exceptAll(events.select("event_id")).isEmpty() and every.count() == events.count()
+
+
 def captures(spark, rows):
     return spark.createDataFrame(rows, "stem string, ts string, filter string, raw_score double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
