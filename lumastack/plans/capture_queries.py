@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumastack.operators import catalog, report, series, windows
-from lumastack.plans.proxies import CAPTURES_SQL, FILTERS, PATHS_SQL, captures, paths, table
+from lumastack.plans.proxies import CAPTURES_SQL, FILTERS, PATHS_SQL, captures, paths
 
 REQUIRED = ["IR", "R", "G", "B", "CH4"]
 MINUTES, CYCLE, K, TOP = 60.0, 15.0, 1.5, 3
@@ -312,9 +312,9 @@ def align_table(spark, sf):
 
 @query(f"WITH {CAPTURES_SQL} SELECT session, filter, count(*) AS n FROM captures GROUP BY ALL")
 def stream_capture_counts(spark, sf):
-    from lumastack.streaming.streams import capture_counts, run_to_end
+    from lumastack.streaming.streams import capture_counts, run_to_end, table_stream
 
-    events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events*").parquet(sf)
+    events = table_stream(spark, sf, "events")
     kinds = F.create_map(*[F.lit(x) for pair in FILTERS.items() for x in pair])
     rows = events.select(F.col("user_id").alias("session"), kinds[F.col("event_type")].alias("filter"))
     return run_to_end(capture_counts(rows), "complete")
@@ -322,9 +322,9 @@ def stream_capture_counts(spark, sf):
 
 @query(f"WITH {CAPTURES_SQL} SELECT filter, CAST(floor(s / 1800) AS BIGINT) AS cycle, count(*) AS n FROM captures GROUP BY ALL")
 def stream_cycle_counts(spark, sf):
-    from lumastack.streaming.streams import cycle_counts, run_to_end
+    from lumastack.streaming.streams import cycle_counts, run_to_end, table_stream
 
-    events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events*").parquet(sf)
+    events = table_stream(spark, sf, "events")
     kinds = F.create_map(*[F.lit(x) for pair in FILTERS.items() for x in pair])
     rows = events.select("ts", kinds[F.col("event_type")].alias("filter"))
     return run_to_end(cycle_counts(rows, SERIES_MINUTES), "complete").select("filter", F.floor(F.unix_timestamp(F.col("start")) / 1800).alias("cycle"), "n")

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream of its files: the folder's part files, or the one file of that name."""
+    path = f"{sf_dir}/{name}.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory():
+        return source.parquet(path)
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def capture_counts(rows: DataFrame) -> DataFrame:
     """Running counts of captures by session and filter as files land."""
     return rows.groupBy("session", "filter").agg(F.count("*").alias("n"))

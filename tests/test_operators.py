@@ -170,3 +170,21 @@ def test_stream_islands_equal_batch(spark, tmp_path):
     sizes.coalesce(1).write.parquet(str(tmp_path / "s"))
     flags = run_to_end(size_gate_stream(spark.readStream.schema(sizes.schema).parquet(str(tmp_path / "s"))), "append").orderBy("frame_idx").collect()
     assert [r["accepted"] for r in flags] == [True] * 24 + [False] * 6
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_stream_reads_the_whole_table_and_no_other(spark, sf, tmp_path, parts):
+    import shutil
+
+    import pyarrow.parquet as pq
+
+    from lumastack.plans import registry
+
+    if parts:
+        spark.read.parquet(f"{sf}/events.parquet").repartition(parts).write.parquet(str(tmp_path / "events.parquet"))
+    else:
+        shutil.copy(f"{sf}/events.parquet", tmp_path / "events.parquet")
+    pq.write_table(pq.read_table(f"{sf}/events.parquet").slice(0, 10), tmp_path / "events_old.parquet")
+    for name in ("stream_capture_counts", "stream_cycle_counts"):
+        got, want = (registry.QUERIES[name](spark, at).collect() for at in (str(tmp_path), sf))
+        assert sum(r["n"] for r in want) == 1000 and sorted(map(tuple, got)) == sorted(map(tuple, want))
