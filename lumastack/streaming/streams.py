@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumastack.sources.shared import shared_dir
+
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table as a stream of its files: the folder's part files, or the one file of that name."""
@@ -61,10 +63,23 @@ def size_gate_stream(rows: DataFrame, window: int = 20, tolerance: float = 0.2)
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Everything that is there now run through a stream, as a table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Everything that is there now run through a stream, as a table of files in the shared folder.
 
+    Complete mode keeps the last batch, which has the whole result; append mode keeps all, each in its own folder, so that a
+    batch run again replaces itself.
+    """
+    if mode not in ("complete", "append"):
+        raise ValueError(f"mode {mode} has no table")
+    spark, ran = stream.sparkSession, []
+    folder = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    rows = f"{folder}/rows"
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(rows if mode == "complete" else f"{rows}/{batch_id}")
+        ran.append(batch_id)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not ran:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(rows)

@@ -188,3 +188,17 @@ def test_stream_reads_the_whole_table_and_no_other(spark, sf, tmp_path, parts):
     for name in ("stream_capture_counts", "stream_cycle_counts"):
         got, want = (registry.QUERIES[name](spark, at).collect() for at in (str(tmp_path), sf))
         assert sum(r["n"] for r in want) == 1000 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_stream_results_are_files(spark, tmp_path):
+    from lumastack.streaming.streams import capture_counts, run_to_end
+
+    rows = spark.createDataFrame([(i % 7, "R") for i in range(70)], "session long, filter string")
+    rows.repartition(3).write.parquet(str(tmp_path / "t"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t"))
+    counts, every = run_to_end(capture_counts(stream), "complete"), run_to_end(stream, "append")
+    assert sorted(map(tuple, counts.collect())) == [(i, "R", 10) for i in range(7)]
+    assert sorted(every.collect()) == sorted(rows.collect())
+    assert counts.inputFiles() and every.inputFiles()
+    (tmp_path / "none").mkdir()
+    assert run_to_end(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "none")), "append").count() == 0
