@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumastack.operators import kernels
-from lumastack.operators.frames import per_stack
+from lumastack.operators.frames import ellipses, per_stack
 from lumastack.operators.stack import clip01
 
 
@@ -59,6 +59,32 @@ def align_channels(channels: DataFrame, by: str, order: tuple[str, ...] = ("L",
     return per_stack(channels.join(ref, by), kernel, "dx double, dy double", (by, "filter", "reference", "ref")).drop("ref")
 
 
+def disk_balance(composites: DataFrame, by: list[str], most: float = 20.0) -> DataFrame:
+    """(by, gain_r, gain_b, dx_r, dy_r, dx_b, dy_b): medians of green over red and over blue on green's disk, in 0.5..3, and by how
+    much red and blue are displaced against green, within `most`; shifts on the disk's box if it is large, else on the frame."""
+    p = composites.groupBy(*by).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.array_sort(F.collect_list(F.struct("y", "x", "R", "G", "B"))).alias("_p"))
+    rows = p.select(*by, "h", "w", F.col("_p.G").alias("px"), F.col("_p.R").alias("_r"), F.col("_p.B").alias("_b"))
+
+    def one(g, cx, cy, radius, others):
+        h, w = g.shape
+        y, x = np.ogrid[:h, :w]
+        mask = (x - cx) ** 2 + (y - cy) ** 2 <= radius**2
+        box = np.s_[int(max(0, cy - radius)) : int(min(h, cy + radius)), int(max(0, cx - radius)) : int(min(w, cx + radius))] if mask.sum() > 100 and radius >= 10 else np.s_[:, :]
+        mask = mask if mask.any() else np.ones_like(mask)
+        middles = [float(np.median(c[mask])) for c in others]
+        gains = [float(np.clip(np.median(g[mask]) / m, 0.5, 3.0)) if m > 1e-6 else 1.0 for m in middles]
+        shifts = [np.clip(kernels.phase_shift(g[box], c[box][None])[0, :2], -most, most) for c in others]
+        return [*gains, *shifts[0], *shifts[1]]
+
+    def kernel(a, table):
+        others = [table.column(c).flatten().to_numpy(zero_copy_only=False).reshape(a.shape) for c in ("_r", "_b")]
+        e = ellipses(a)
+        found = np.array([one(*x, (r, b)) for *x, r, b in zip(a, e["cx"], e["cy"], e["semi_major"], *others, strict=True)])
+        return dict(zip(("gain_r", "gain_b", "dx_r", "dy_r", "dx_b", "dy_b"), found.T, strict=True))
+
+    return per_stack(rows, kernel, "gain_r double, gain_b double, dx_r double, dy_r double, dx_b double, dy_b double", (*by, "_r", "_b")).drop("_r", "_b")
+
+
 def patch_parts(frames: DataFrame, picks: DataFrame, references: DataFrame, size: int, by: str = "file_id") -> DataFrame:
     """(by, ap_id, ax, ay, y, x, wv, w): what each frame adds to the patches it was picked for.
 

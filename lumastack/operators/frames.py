@@ -232,24 +232,25 @@ def disk_moments(frames: DataFrame, threshold: int = 127) -> DataFrame:
     return per_stack(frames, kernel, "n bigint, cx double, cy double").withColumn("cx", F.when(F.col("n") > 0, F.col("cx"))).withColumn("cy", F.when(F.col("n") > 0, F.col("cy")))
 
 
-def disk_ellipse(frames: DataFrame, margin: float = 0.1) -> DataFrame:
-    """Centre, half axes and angle of the bright disk from its second moments; quarter-frame circle where nothing is found."""
+def ellipses(a: np.ndarray, margin: float = 0.1) -> dict[str, np.ndarray]:
+    """Centre, half axes and angle of the bright disk of each frame of a stack."""
+    g = kernels.gray8(a)
+    rows = []
+    for image, t in zip(g, kernels.otsu(g), strict=True):
+        part = kernels.largest_component(image > max(1, t * (1 - margin)))
+        h, w = image.shape
+        if part is None or part.sum() < 5:
+            rows.append((w / 2, h / 2, min(h, w) / 4, min(h, w) / 4, 0.0))
+            continue
+        y, x = np.nonzero(part)
+        values, vectors = np.linalg.eigh(np.cov(np.stack((x, y)), bias=True) + np.eye(2) / 12)
+        rows.append((x.mean(), y.mean(), 2 * np.sqrt(values[1]), 2 * np.sqrt(values[0]), np.degrees(np.arctan2(vectors[1, 1], vectors[0, 1])) % 180))
+    return {k: np.array([r[i] for r in rows]) for i, k in enumerate(("cx", "cy", "semi_major", "semi_minor", "angle"))}
 
-    def kernel(a, _):
-        g = kernels.gray8(a)
-        rows = []
-        for image, t in zip(g, kernels.otsu(g), strict=True):
-            part = kernels.largest_component(image > max(1, t * (1 - margin)))
-            h, w = image.shape
-            if part is None or part.sum() < 5:
-                rows.append((w / 2, h / 2, min(h, w) / 4, min(h, w) / 4, 0.0))
-                continue
-            y, x = np.nonzero(part)
-            values, vectors = np.linalg.eigh(np.cov(np.stack((x, y)), bias=True) + np.eye(2) / 12)
-            rows.append((x.mean(), y.mean(), 2 * np.sqrt(values[1]), 2 * np.sqrt(values[0]), np.degrees(np.arctan2(vectors[1, 1], vectors[0, 1])) % 180))
-        return {k: np.array([r[i] for r in rows]) for i, k in enumerate(("cx", "cy", "semi_major", "semi_minor", "angle"))}
 
-    return per_stack(frames, kernel, "cx double, cy double, semi_major double, semi_minor double, angle double")
+def disk_ellipse(frames: DataFrame, margin: float = 0.1) -> DataFrame:
+    """Centre, half axes and angle of the bright disk from its second moments; quarter-frame circle where nothing is found."""
+    return per_stack(frames, lambda a, _: ellipses(a, margin), "cx double, cy double, semi_major double, semi_minor double, angle double")
 
 
 def shifts_to(frames: DataFrame, reference: list[list[float]], method: str = "phase", confidence: float = 0.0, most: float = 20.0) -> DataFrame:
@@ -327,14 +328,15 @@ def fourier_stack(frames: DataFrame, by: str = "filter", power: float = 1.0) ->
     return rows.mapInArrow(partial, schema).groupBy(by).applyInPandas(final, result)
 
 
-def poisson_grid(frames: DataFrame, size: int, least: float) -> DataFrame:
-    """Alignment points of each frame, greedily in raster order at a distance: (frame_id, ap_id, ax, ay)."""
+def poisson_grid(frames: DataFrame, size: int, part: float) -> DataFrame:
+    """Alignment points of each frame in three layers, greedily in raster order at a distance, inside its disk and at least that part of its peak bright: (frame_id, ap_id, ax, ay, size)."""
 
     def kernel(a, _):
-        found = [kernels.poisson_grid(f, size, least) for f in a]
-        return {"aps": [[{"ax": x, "ay": y} for x, y in g] for g in found]}
+        e = ellipses(a)
+        found = [kernels.poisson_grid(f, size, part, disk) for f, *disk in zip(a, e["cx"], e["cy"], e["semi_major"], strict=True)]
+        return {"aps": [[{"ax": x, "ay": y, "size": s} for x, y, s in g] for g in found]}
 
-    grids = per_stack(frames, kernel, "aps array<struct<ax:int,ay:int>>")
+    grids = per_stack(frames, kernel, "aps array<struct<ax:int,ay:int,size:int>>")
     return grids.select("frame_id", F.posexplode("aps").alias("ap_id", "p")).select("frame_id", "ap_id", "p.*")
 
 

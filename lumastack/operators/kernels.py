@@ -225,15 +225,31 @@ def debayer(raw: np.ndarray, pattern: str = "RGGB") -> np.ndarray:
     return out
 
 
-def poisson_grid(frame: np.ndarray, size: int, least: float) -> list[tuple[int, int]]:
-    """Places in raster order, bright enough in the mean of their patch and at least round(35 size / 64) from all before."""
+def poisson_grid(frame: np.ndarray, size: int, part: float, disk: tuple[float, float, float]) -> list[tuple[int, int, int]]:
+    """(x, y, size) in raster order for three layers of their own: size, 1.5 size to a multiple of 8, and 3 size.
+
+    A place is taken if it lies inside the disk (cx, cy, radius), its patch's mean is at least that part of the frame's
+    peak, and it is at least round(35 size / 64) from all places of its layer before it.
+    """
     h, w = frame.shape
-    half, gap = size // 2, round(size * 35 / 64)
+    cx, cy, radius = disk
+    y, x = np.mgrid[:h, :w]
+    inside = (x - cx) ** 2 + (y - cy) ** 2 < radius * radius
     total = np.pad(frame, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
-    out: list[tuple[int, int]] = []
-    for y in range(half, h - half + 1):
-        for x in range(half, w - half + 1):
-            mean = (total[y + half, x + half] - total[y - half, x + half] - total[y + half, x - half] + total[y - half, x - half]) / (4 * half * half)
-            if mean >= least and all((x - a) ** 2 + (y - b) ** 2 >= gap * gap for a, b in out):
-                out.append((x, y))
+    least = part * (frame.max() or 1.0)
+    out: list[tuple[int, int, int]] = []
+    for s in (size, round(size * 1.5 / 8) * 8, size * 3):
+        half, gap = s // 2, round(s * 35 / 64)
+        d = 2 * half
+        if not half or d >= min(h, w):
+            continue
+        mean = (total[d:h, d:w] + total[: h - d, : w - d] - total[: h - d, d:w] - total[d:h, : w - d]) / (s * s)
+        free = (mean >= least) & inside[half : h - half, half : w - half]
+        for j, i in np.argwhere(free).tolist():
+            if free[j, i]:
+                out.append((i + half, j + half, s))
+                top, left = max(0, j - gap), max(0, i - gap)
+                near = free[top : j + gap + 1, left : i + gap + 1]
+                b, a = np.ogrid[top : top + near.shape[0], left : left + near.shape[1]]
+                near &= (a - i) ** 2 + (b - j) ** 2 >= gap * gap
     return out

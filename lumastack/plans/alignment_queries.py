@@ -72,6 +72,11 @@ def align_channels(spark, sf):
     return alignment.align_channels(made, "file_id")
 
 
+@query()
+def white_balance_disk(spark, sf):
+    return alignment.disk_balance(fq.composites(spark, sf), ["file_id", "name"])
+
+
 @query()
 def inner_disk_score(spark, sf):
     return alignment.inner_disk_score(frames(spark, sf))

@@ -202,3 +202,42 @@ def test_stream_results_are_files(spark, tmp_path):
     assert counts.inputFiles() and every.inputFiles()
     (tmp_path / "none").mkdir()
     assert run_to_end(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "none")), "append").count() == 0
+
+
+def plain_layers(f, size, part, cx, cy, radius):
+    """Layer by layer, each candidate against all before it."""
+    h, w = f.shape
+    out = []
+    for s in (size, round(size * 1.5 / 8) * 8, size * 3):
+        half, own = s // 2, []
+        for y in range(half, h - half):
+            for x in range(half, w - half):
+                bright = f[y - half : y + half, x - half : x + half].sum() / (s * s) >= part * f.max()
+                if (x - cx) ** 2 + (y - cy) ** 2 < radius**2 and bright and all((x - a) ** 2 + (y - b) ** 2 >= round(s * 35 / 64) ** 2 for a, b in own):
+                    own.append((x, y))
+        out += [(x, y, s) for x, y in own]
+    return out
+
+
+def test_poisson_grid_has_three_layers_in_the_disk(spark):
+    dim = disk(a=20.0, b=20.0) * 0.4
+    dim[2:14, 2:14] = 0.3
+    got = [(r["ax"], r["ay"], r["size"]) for r in fr.poisson_grid(frame_rows(spark, [dim]), 8, 0.5).orderBy("ap_id").collect()]
+    e = fr.ellipses(dim[None])
+    assert got == plain_layers(dim, 8, 0.5, e["cx"][0], e["cy"][0], e["semi_major"][0])
+    assert {s for _, _, s in got} == {8, 16, 24} and all((x - 32) ** 2 + (y - 32) ** 2 < 21**2 for x, y, _ in got)
+
+
+def test_balance_is_that_of_the_disk_and_shifts_are_found(spark):
+    from lumastack.operators import alignment
+
+    y, x = np.mgrid[:64, :64]
+    texture = 0.2 * np.sin(x / 2.0) * np.cos(y / 3.0)
+    g = disk(a=15.0, b=15.0) + np.where(disk(a=15.0, b=15.0) > 0.5, texture, 0)
+    r = np.roll(g, 2, axis=1) * 0.5
+    r[:20] += 0.04
+    rows = [("f", int(i), int(j), float(r[i, j]), float(g[i, j]), float(g[i, j] * 0.8)) for i in range(64) for j in range(64)]
+    df = spark.createDataFrame(rows, "k string, y int, x int, R double, G double, B double")
+    got = alignment.disk_balance(df, ["k"]).first()
+    assert abs(got["gain_r"] - 2) < 0.1 and abs(got["gain_b"] - 1.25) < 1e-6
+    assert abs(got["dx_r"] - 2) < 0.5 and abs(got["dy_r"]) < 0.5 and abs(got["dx_b"]) < 0.1
