@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumastack.operators.report import SPECS, spec_rows
 from lumastack.operators.stack import clip01
+from lumastack.operators.windows import percentiles
 
 
 def compose_rgb(pixels: DataFrame, by: str) -> DataFrame:
@@ -33,9 +34,12 @@ def stretch(v: Column, low: Column, high: Column, top: float = 1.0, flat: Column
 
 
 def stretched(pixels: DataFrame, by: list[str], low: float = 0.001, high: float = 0.999, top: float = 1.0, *, joint: bool = False) -> DataFrame:
-    """Adds out: percentiles of each group (joint: by the first column alone) stretched to 0..top; flat groups are 0 (joint: a span of 1)."""
+    """Adds out: percentiles of each group (joint: by the first column alone) stretched to 0..top; flat groups are 0 (joint: a span of 1).
+
+    A joint group may be of any size, so its percentiles come from ranks over all tasks.
+    """
     keys = by[:1] if joint else by
-    p = pixels.groupBy(*keys).agg(F.percentile("v", F.lit(low)).alias("_lo"), F.percentile("v", F.lit(high)).alias("_hi"))
+    p = percentiles(pixels, keys[0], "v", _lo=low, _hi=high) if joint else pixels.groupBy(*keys).agg(F.percentile("v", F.lit(low)).alias("_lo"), F.percentile("v", F.lit(high)).alias("_hi"))
     flat = clip01(F.col("v") - F.col("_lo")) * top if joint else F.lit(0.0)
     return pixels.join(p, keys).withColumn("out", stretch(F.col("v"), F.col("_lo"), F.col("_hi"), top, flat)).drop("_lo", "_hi")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -193,22 +194,27 @@ def screen_shape(boxes: DataFrame, padding: int = 1, aspect: float = 0.3, edge:
 def size_gate(boxes: DataFrame, window: int = 20, tolerance: float = 0.2) -> DataFrame:
     """Adds accepted: once `window` frames of a file are accepted, a frame much smaller than the median of the last accepted ones is rejected and does not count.
 
-    The rule feeds back, so a file is one group, in order of frame_idx; only sizes are sent.
+    The rule feeds back, so a file is taken in order of frame_idx by one task; only sizes are sent, sorted by Spark, and only
+    the last `window` accepted ones are held.
     """
 
-    def gate(pdf):
-        ws, hs, flags = [], [], []
-        pdf = pdf.sort_values("frame_idx")
-        for w, h in zip(pdf["bw"], pdf["bh"], strict=True):
-            ok = len(ws) < window or (w >= np.median(ws[-window:]) * (1 - tolerance) and h >= np.median(hs[-window:]) * (1 - tolerance))
-            if ok:
-                ws.append(w)
-                hs.append(h)
-            flags.append(bool(ok))
-        return pdf[["file_id", "frame_idx"]].assign(accepted=flags)
+    def gate(parts):
+        key, ws, hs = object(), deque(maxlen=window), deque(maxlen=window)
+        for pdf in parts:
+            flags = []
+            for file, w, h in zip(pdf["file_id"], pdf["bw"], pdf["bh"], strict=True):
+                if file != key and not (file != file and key != key):  # null is one file
+                    key, ws, hs = file, deque(maxlen=window), deque(maxlen=window)
+                ok = len(ws) < window or (w >= np.median(ws) * (1 - tolerance) and h >= np.median(hs) * (1 - tolerance))
+                if ok:
+                    ws.append(w)
+                    hs.append(h)
+                flags.append(bool(ok))
+            yield pdf[["file_id", "frame_idx"]].assign(accepted=flags)
 
     sizes = boxes.select("file_id", "frame_idx", "bw", "bh")
-    return sizes.groupBy("file_id").applyInPandas(gate, T.StructType([sizes.schema["file_id"], sizes.schema["frame_idx"], T.StructField("accepted", T.BooleanType())]))
+    ordered = sizes.repartition("file_id").sortWithinPartitions("file_id", F.asc_nulls_last("frame_idx"), "bw", "bh")
+    return ordered.mapInPandas(gate, T.StructType([sizes.schema["file_id"], sizes.schema["frame_idx"], T.StructField("accepted", T.BooleanType())]))
 
 
 def screen_stats(screened: DataFrame, by: str = "file_id") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumastack.operators.windows import ranked
+
 #: Composite specs: name, then the filter of each role.
 SPECS = {"RGB": {"R": "R", "G": "G", "B": "B"}, "IR-RGB": {"L": "IR", "R": "R", "G": "G", "B": "B"}, "CH4-G-IR": {"R": "CH4", "G": "G", "B": "IR"}}
 ROLES = ("L", "R", "G", "B")
@@ -31,6 +33,11 @@ def animation_sequence(frames: DataFrame, by: str) -> DataFrame:
     return frames.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ts", "stem"))).alias("f")).select(by, F.col("f.stem").alias("stems"))
 
 
+def animation_frames(frames: DataFrame, by: str) -> DataFrame:
+    """(by, position from 1, stem): the same as rows, for groups of any size."""
+    return ranked(frames, by, "ts", "stem").select(by, F.col("rank").alias("position"), "stem")
+
+
 def summary_matrix(frames: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """A row for each window, a column for each composite, and how many are missing."""
     wide = frames.groupBy(by).pivot("filter", columns).agg(F.max("stem"))

@@ -45,6 +45,34 @@ def ranked(rows: DataFrame, by: str, *order: Column | str) -> DataFrame:
     return own.join(starts, [by, "_part"]).withColumn("rank", (F.col("_own") + F.col("_before")).cast("int")).drop("_part", "_own", "_before")
 
 
+def percentiles(rows: DataFrame, by: str, value: str, **at: float) -> DataFrame:
+    """(by, a column for each name in `at`): exact percentiles of groups of any size, between values as F.percentile has them.
+
+    Equal values are counted first, so one value is a row however often it occurs. These rows are dealt by ranges of (by,
+    value) and ranked as in `ranked`; only the two values around each place are kept of a group.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
+    dealt = materialise(counts.repartitionByRange(parts, by, value).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(by, "_part").agg(F.sum("_n").alias("_s"))
+    group = Window.partitionBy(by)
+    before = F.coalesce(F.sum("_s").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(by, "_part", before.alias("_before"), F.sum("_s").over(group).alias("_all"))
+    own = dealt.withColumn("_own", F.sum("_n").over(Window.partitionBy("_part", by).orderBy(value)))
+    last = F.col("_before") + F.col("_own") - 1
+    held = own.join(starts, [by, "_part"]).select(by, value, (last - F.col("_n") + 1).alias("_first"), last.alias("_last"), "_all")
+
+    def place(p: float) -> Column:
+        return (F.col("_all") - 1) * F.lit(p)
+
+    def value_at(k: Column) -> Column:
+        return F.max(F.when(k.between(F.col("_first"), F.col("_last")), F.col(value)))
+
+    found = held.groupBy(by).agg(F.first("_all").alias("_all"), *[value_at(end(place(p))).alias(f"_{side}_{name}") for name, p in at.items() for side, end in (("low", F.floor), ("high", F.ceil))])
+    share = {name: place(p) - F.floor(place(p)) for name, p in at.items()}
+    return found.select(by, *[F.when(share[name] == 0, F.col(f"_low_{name}")).otherwise((1 - share[name]) * F.col(f"_low_{name}") + share[name] * F.col(f"_high_{name}")).alias(name) for name in at])
+
+
 def quality_rank(scores: DataFrame, by: str = "filter") -> DataFrame:
     """Adds rank: 1 is the best of its filter; ties by time, then stem."""
     return ranked(scores, by, F.desc("norm_score"), "ts", "stem")

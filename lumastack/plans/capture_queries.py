@@ -273,6 +273,11 @@ def animation_sequence(spark, sf):
     return report.animation_sequence(cycles(spark, sf), "filter")
 
 
+@query(f"WITH {CYCLES_SQL} SELECT filter, CAST(row_number() OVER (PARTITION BY filter ORDER BY ts, stem) AS INTEGER) AS position, stem FROM cycles")
+def animation_frames(spark, sf):
+    return report.animation_frames(cycles(spark, sf), "filter")
+
+
 @query(f"""WITH {CYCLES_SQL} SELECT cycle_id, max(stem) FILTER (filter = 'IR') AS "IR", max(stem) FILTER (filter = 'R') AS "R", max(stem) FILTER (filter = 'G') AS "G", max(stem) FILTER (filter = 'B') AS "B", max(stem) FILTER (filter = 'CH4') AS "CH4", 5 - count(*) AS missing FROM cycles GROUP BY cycle_id""")
 def summary_matrix(spark, sf):
     return report.summary_matrix(cycles(spark, sf), "cycle_id", REQUIRED)

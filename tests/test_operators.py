@@ -241,3 +241,36 @@ def test_balance_is_that_of_the_disk_and_shifts_are_found(spark):
     got = alignment.disk_balance(df, ["k"]).first()
     assert abs(got["gain_r"] - 2) < 0.1 and abs(got["gain_b"] - 1.25) < 1e-6
     assert abs(got["dx_r"] - 2) < 0.5 and abs(got["dy_r"]) < 0.5 and abs(got["dx_b"]) < 0.1
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_joint_percentiles_come_from_ranks(spark):
+    r = np.random.default_rng(5)
+    values = {"a": r.random(501), "b": np.repeat([0.1, 0.4, 0.9], [300, 1, 99]), "c": np.array([0.3])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None)], "k string, v double").repartition(5)
+    for row in windows.percentiles(df, "k", "v", lo=0.01, mid=0.5, hi=0.999).collect():
+        assert np.allclose([row["lo"], row["mid"], row["hi"]], np.quantile(values[row["k"]], [0.01, 0.5, 0.999]), atol=1e-12)
+    made = composite.stretched(df, ["k"], 0.01, 0.99, joint=True)
+    assert "percentile(" not in plan(made) and made.count() == sum(map(len, values.values())) + 1
+
+
+def test_size_gate_holds_no_file(spark):
+    r = np.random.default_rng(6)
+    rows = [(f, i, int(r.integers(30, 60)), int(r.integers(30, 60))) for f in (1, 2, None) for i in range(60)]
+    want = {}
+    for f in (1, 2, None):
+        ws, hs = [], []
+        for _, i, w, h in (x for x in rows if x[0] == f):
+            ok = len(ws) < 20 or (w >= np.median(ws[-20:]) * 0.8 and h >= np.median(hs[-20:]) * 0.8)
+            ws, hs = (ws + [w], hs + [h]) if ok else (ws, hs)
+            want[f, i] = ok
+    made = fr.size_gate(spark.createDataFrame(rows, "file_id long, frame_idx long, bw int, bh int").repartition(5))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {(x["file_id"], x["frame_idx"]): x["accepted"] for x in made.collect()} == want and not all(want.values())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in plan(made)
