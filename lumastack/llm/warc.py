@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import io
+import itertools
 import json
 import uuid
 import zlib
@@ -55,7 +58,10 @@ def headers(head: bytes) -> dict[str, str]:
 
 
 class Inflated:
-    """A gzip file, of one member or of several, read once from front to back in chunks; records are cut off as they come."""
+    """A gzip file, of one member or of several, read once from front to back; records are cut off as they come.
+
+    CHUNK bytes at most are inflated at a time, however well they were compressed; what is held is a record and a chunk.
+    """
 
     def __init__(self, file):
         self.file, self.held, self.ended = file, bytearray(), False
@@ -64,15 +70,19 @@ class Inflated:
     def more(self) -> bool:
         """Inflate some more; whether there was any."""
         while not self.ended:
-            data = self.member.unused_data or self.file.read(CHUNK)
+            data = self.member.unconsumed_tail or self.member.unused_data or self.file.read(CHUNK)
             if self.member.eof and data:
                 self.member = zlib.decompressobj(31)
             if not data:
+                out = self.member.flush() if not self.member.eof else b""
+                self.held += out
+                if out:
+                    return True
                 self.ended = True
                 if not self.member.eof:
                     raise EOFError("the archive ends inside a gzip member")
                 return False
-            out = self.member.decompress(data)
+            out = self.member.decompress(data, CHUNK)
             self.held += out
             if out:
                 return True
@@ -105,7 +115,18 @@ def put(fs: pafs.FileSystem, path: str, write) -> None:
     draft = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(draft, compression=None) as out:
         write(out)
-    fs.move(draft, path)
+    take_place(fs, draft, path)
+
+
+def take_place(fs: pafs.FileSystem, draft: str, path: str) -> None:
+    """Move a draft; where a file system does not replace files, an equal one from an earlier attempt goes first."""
+    try:
+        fs.move(draft, path)
+    except OSError:
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(path)
+        fs.move(draft, path)
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
@@ -146,8 +167,8 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
 def normalise(archives: DataFrame, folder: str, target: str) -> DataFrame:
     """Rewrite monolithic archives with one gzip member a record, and a sidecar index (a JSON line for each record: offset, length, id, type).
 
-    Each archive is inflated once, in chunks; a task holds one record at a time. Archives of several members are taken as
-    well. Returns (archive, records, bytes), stored; a cut-off archive is an error. Files are written under another name
+    Each archive is inflated once, in chunks; a task holds one record and one chunk at a time, and index lines are written
+    as records are. Archives of several members are taken as well. Returns (archive, records, bytes), stored; a cut-off archive is an error. Files are written under another name
     and moved, so a task that is run again replaces its files by equal ones.
     """
     spark = archives.sparkSession
@@ -159,21 +180,20 @@ def normalise(archives: DataFrame, folder: str, target: str) -> DataFrame:
         fs.create_dir(goal, recursive=True)
         for batch in batches:
             for name in batch.column("archive").to_pylist():
-                lines, at = [], 0
+                n, at = 0, 0
 
-                def members(out, name=name, lines=lines):
-                    nonlocal at
+                def members(index, out, name=name):
+                    nonlocal n, at
                     with fs.open_input_stream(f"{base}/{name}", compression=None) as file:
                         for data, fields in Inflated(file).records():
                             pack = zlib.compressobj(4, zlib.DEFLATED, 31)
                             member = pack.compress(data) + pack.flush()
                             out.write(member)
-                            lines.append(json.dumps({"offset": at, "length": len(member), "id": fields["warc-record-id"], "type": fields["warc-type"]}))
-                            at += len(member)
+                            index.write(json.dumps({"offset": at, "length": len(member), "id": fields["warc-record-id"], "type": fields["warc-type"]}).encode() + b"\n")
+                            n, at = n + 1, at + len(member)
 
-                put(fs, f"{goal}/{name}", members)
-                put(fs, f"{goal}/{name}.idx", lambda out, lines=lines: out.write("".join(x + "\n" for x in lines).encode()))
-                yield pa.RecordBatch.from_pydict({"archive": pa.array([name]), "records": pa.array([len(lines)], pa.int64()), "bytes": pa.array([at], pa.int64())})
+                put(fs, f"{goal}/{name}.idx", lambda index, name=name, members=members: put(fs, f"{goal}/{name}", functools.partial(members, index)))
+                yield pa.RecordBatch.from_pydict({"archive": pa.array([name]), "records": pa.array([n], pa.int64()), "bytes": pa.array([at], pa.int64())})
 
     return materialise(archives.select("archive").repartition(n).mapInArrow(rewrite, "archive string, records bigint, bytes bigint"))
 
@@ -193,11 +213,10 @@ def read_records(archives: DataFrame, folder: str, *, payloads: bool = False) ->
         fs, base = place(folder)
         for batch in batches:
             for name in batch.column("archive").to_pylist():
-                with fs.open_input_stream(f"{base}/{name}.idx", compression=None) as file:
-                    index = [json.loads(x) for x in file.read().splitlines()]
-                with fs.open_input_file(f"{base}/{name}") as file:
-                    for first in range(0, len(index), 500):
-                        out = [one(zlib.decompress(file.read_at(e["length"], e["offset"]), 31)) for e in index[first : first + 500]]
+                with fs.open_input_stream(f"{base}/{name}.idx", compression=None, buffer_size=CHUNK) as index, fs.open_input_file(f"{base}/{name}") as file:
+                    lines = io.TextIOWrapper(index, encoding="utf-8")
+                    while part := list(itertools.islice(lines, 500)):
+                        out = [one(zlib.decompress(file.read_at(e["length"], e["offset"]), 31)) for e in map(json.loads, part)]
                         yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(fields)})
 
     def one(data: bytes) -> tuple:

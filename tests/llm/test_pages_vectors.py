@@ -57,6 +57,39 @@ def test_cut_off_archive_is_an_error():
     assert warc.page_of(warc.record_id(-9)) == -9
 
 
+def test_records_that_inflate_far_come_in_chunks():
+    """A small archive of large records: no more than a record and a chunk is ever held."""
+    big = b"z" * (3 * warc.CHUNK)
+    own = warc.Inflated(io.BytesIO(gzip.compress(b"".join(warc.record(i, "u", big, "d", None) for i in range(8)))))
+    most = 0
+    for n, (data, fields) in enumerate(own.records()):
+        assert warc.page_of(fields["warc-record-id"]) == n and data.endswith(b"z\r\n\r\n")
+        most = max(most, len(own.held))
+    assert n == 7 and most <= len(data) + 2 * warc.CHUNK
+
+
+def test_a_second_attempt_replaces_files(tmp_path):
+    import pyarrow.fs as pafs
+
+    class Strict:
+        """A file system whose move does not replace."""
+
+        def __init__(self):
+            self.own = pafs.LocalFileSystem()
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def move(self, a, b):
+            if self.own.get_file_info(b).type != pafs.FileType.NotFound:
+                raise OSError("the target is there")
+            self.own.move(a, b)
+
+    for data in (b"one", b"two"):
+        warc.put(Strict(), f"{tmp_path}/x", lambda out, data=data: out.write(data))
+    assert [f.name for f in tmp_path.iterdir()] == ["x"] and (tmp_path / "x").read_bytes() == b"two"
+
+
 def plain_nearest(rows, k=5):
     fit = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float))]
     out = []
@@ -95,6 +128,33 @@ def test_repeated_ids_take_no_places(spark):
     assert {i for _, _, i in ann.tile_nearest(q, np.array([50]), s, np.array([7, 7, 7, 8, 7, 7, 7]), 2)} == {7, 8}
 
 
+def test_many_components_and_extreme_ones(spark):
+    """Sums beyond 24 bits, components whose squares under- or overflow, and many equal rows of one id."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(60, 2048))
+    base[3], base[4], base[5], base[6] = base[0] * 1e-200, base[0] * 1e200, base[50] * 1e-300, base[50] + 1e-7 * r.normal(size=2048)
+    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(7, base[0].tolist())] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [tuple(x) for x in ann.nearest(df, F.col("vec_id") % 50 == 0).collect()]
+    assert sorted(got) == sorted(plain_nearest(rows)) and len(got) == 10
+    assert {x[2] for x in got if x[0] == 0} >= {3, 4, 7} and {x[2] for x in got if x[0] == 50} >= {5, 6}
+
+
+def test_code_products_are_exact():
+    q, s = np.full((2, 5000), 127, np.float32), np.full((3, 5000), 127, np.float32)
+    assert (ann.code_products(q, s) == 127 * 127 * 5000).all()
+
+
+def test_heaps_leave_between_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(ann, "HELD", 1)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(ann, "STORED_BLOCK", 16)
+    r = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(500, 4)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(tuple(x) for x in ann.nearest(df, F.col("vec_id") % 50 == 0).collect()) == sorted(plain_nearest(rows))
+
+
 def test_bounds_hold():
     r = np.random.default_rng(4)
     a, b = r.normal(size=(40, 64)), r.normal(size=(60, 64)) * 10.0 ** r.integers(-6, 6, (60, 1))
