@@ -8,13 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumastack.llm.shared import doc_chunks, materialise, text_blocks, words_of
 
-#: Rows that the fit looks at, at most: those with the smallest hashes of their ids.
-FIT_ROWS = 10_000
+#: Rows of each language that the fit looks at, at most: those with the smallest hashes of id and text.
+FIT_ROWS = 2_500
 #: n-grams enter a language's filter if they are at least this part of its n-grams; so at most 1 / SHARE enter.
 SHARE = 1 / 20_000
 #: ... and at least this part of their share in the language where they are most frequent, so that foreign passages do not count.
@@ -57,7 +57,8 @@ def places(keys: np.ndarray, slots: int, hashes: int) -> list[np.ndarray]:
 class LanguageFilters:
     """One Bloom filter for each language, sliced by bit: a slot holds a bitmask of the languages whose filter has it set.
 
-    A look-up takes the AND of the masks in an n-gram's slots and so gives all languages that may contain it at once.
+    A look-up takes the AND of the masks in an n-gram's slots and so gives all languages that may contain it at once. Masks
+    have as many 64-bit words as the languages need: slots is (words, slots).
     """
 
     languages: list[str]
@@ -67,33 +68,33 @@ class LanguageFilters:
 
     @classmethod
     def of(cls, members: dict[str, np.ndarray], hashes: int = 3, per_gram: int = 16) -> LanguageFilters:
-        languages = sorted(members)[:64]
-        slots = np.zeros(max(64, per_gram * max([0, *(len(m) for m in members.values())])), np.uint64)
-        for bit, name in enumerate(languages):
-            for at in places(members[name], len(slots), hashes):
-                np.bitwise_or.at(slots, at, np.uint64(1 << bit))
-        filled = [((slots >> np.uint64(b)) & np.uint64(1)).mean() for b in range(len(languages))]
+        languages = sorted(members)
+        slots = np.zeros((-(-len(languages) // 64), max(64, per_gram * max([0, *(len(m) for m in members.values())]))), np.uint64)
+        for i, name in enumerate(languages):
+            for at in places(members[name], slots.shape[1], hashes):
+                np.bitwise_or.at(slots[i // 64], at, np.uint64(1 << i % 64))
+        filled = [((slots[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))]
         return cls(languages, slots, hashes, np.array(filled) ** hashes)
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
-        """A bitmask of languages for each n-gram."""
-        masks = [self.slots[at] for at in places(keys, len(self.slots), self.hashes)]
+        """A bitmask of languages for each n-gram: (words, n-grams)."""
+        masks = [self.slots[:, at] for at in places(keys, self.slots.shape[1], self.hashes)]
         return np.bitwise_and.reduce(masks)
 
     def word_counts(self, words: pa.Array, part: int = 50_000) -> np.ndarray:
-        """For each word its n-grams and, for each language, how many of them the filter holds (words x (1 + languages)), `part` words at a time."""
+        """For each word its n-grams and, for each language, how many of them the filter holds (1 + languages, words), `part` words at a time."""
         parts = [self._word_counts(words.slice(i, part)) for i in range(0, len(words), part)]
-        return np.concatenate(parts) if parts else np.zeros((0, 1 + len(self.languages)), np.int32)
+        return np.concatenate(parts, axis=1) if parts else np.zeros((1 + len(self.languages), 0), np.int32)
 
     def _word_counts(self, words: pa.Array) -> np.ndarray:
-        out = np.zeros((len(words), 1 + len(self.languages)), np.int32)
+        out = np.zeros((1 + len(self.languages), len(words)), np.int32)
         keys, word = grams(words)
         if not len(keys):
             return out
         masks = self.contains(keys)
-        out[:, 0] = np.bincount(word, minlength=len(words))
-        for bit in range(len(self.languages)):
-            out[:, 1 + bit] = np.bincount(word[(masks >> np.uint64(bit)) & np.uint64(1) == 1], minlength=len(words))
+        out[0] = np.bincount(word, minlength=len(words))
+        for i in range(len(self.languages)):
+            out[1 + i] = np.bincount(word[(masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1) == 1], minlength=len(words))
         return out
 
     def corrected(self, counts: np.ndarray) -> np.ndarray:
@@ -103,10 +104,13 @@ class LanguageFilters:
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> LanguageFilters:
-    """Filters from at most `rows` labelled rows (those with the smallest hashes of id). The driver gets n-grams only, at most
-    1 / SHARE a language. Rows without a language or text are left out; at most 64 languages are learned."""
-    use = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    last = use.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    """Filters of all languages, from at most `rows` labelled rows of each (those with the smallest hashes of id and text; so a
+    rare language keeps its rows as the table grows). The driver gets n-grams only, at most 1 / SHARE a language. Rows
+    without a language or text are left out; of rows that repeat id, text and language one is looked at."""
+    use = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # tasks send `rows` rows of a language at most
+    last = use.select("lang", "h").withColumn("n", place).where(F.col("n") <= rows).groupBy("lang").agg(F.max("h").alias("last"))
+    use = use.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last")).dropDuplicates(["lang", "h"])  # a row for each language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,9 +125,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
                     n = np.bincount(at, weights=times[word], minlength=len(known)).astype(np.int64) if len(known) else known
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(known), pa.string()), "gram": pa.array(known, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    if last is None:
-        return LanguageFilters.of({})
-    counted = materialise(use.where(F.col("h") <= last).select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counted = materialise(use.select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counted.join(total, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= SHARE)
     best = shares.groupBy("gram").agg(F.max("share").alias("best"))
@@ -135,12 +137,12 @@ def judge(texts: pa.Array, filters: LanguageFilters) -> tuple[list[str], np.ndar
     """The language and score of each text of a block."""
     words, flat, starts = words_of(texts)
     counts = filters.word_counts(words)
-    total = np.zeros((len(texts), counts.shape[1]), np.int64)
+    total = np.zeros((len(texts), len(counts)), np.int64)
     for first, last in doc_chunks(starts):
-        chunk = counts[flat[starts[first] : starts[last]]]
-        sums = np.concatenate((np.zeros((1, counts.shape[1]), np.int64), np.cumsum(chunk, axis=0, dtype=np.int64)))
-        at = starts[first : last + 1] - starts[first]
-        total[first:last] = sums[at[1:]] - sums[at[:-1]]
+        chunk, at = flat[starts[first] : starts[last]], starts[first : last + 1] - starts[first]
+        for i, own in enumerate(counts):
+            sums = np.concatenate(([0], np.cumsum(own[chunk], dtype=np.int64)))
+            total[first:last, i] = sums[at[1:]] - sums[at[:-1]]
     true = filters.corrected(total)
     lettered = (total[:, 0] > 0) & bool(filters.languages)
     best = true.argmax(1) if filters.languages else np.zeros(len(true), np.int64)
@@ -155,7 +157,7 @@ def language_of(text: Column, filters: LanguageFilters, spark: SparkSession) ->
     `und` with score 0 if the text is null or has no letter (or nothing was learned). A text none of whose n-grams is known
     gets the first language by name, with score 0; so do ties get the first. Whole texts count, each distinct word of a
     block being looked up once. Only texts go to Python, in Arrow batches, and no row comes back from there. The filters'
-    size is bounded by SHARE and 64 languages; they are broadcast.
+    size is bounded by SHARE and the number of languages; they are broadcast.
     """
     held = spark.sparkContext.broadcast(filters)
 

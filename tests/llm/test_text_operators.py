@@ -271,11 +271,46 @@ def test_filters_answer_like_sets():
     members = {"a": r.integers(0, 2**62, 500), "b": r.integers(0, 2**62, 900)}
     f = langid.LanguageFilters.of(members)
     for bit, name in enumerate(("a", "b")):
-        assert ((f.contains(members[name]) >> np.uint64(bit)) & np.uint64(1)).all()
-    other = f.contains(r.integers(0, 2**62, 20_000))
+        assert ((f.contains(members[name])[0] >> np.uint64(bit)) & np.uint64(1)).all()
+    other = f.contains(r.integers(0, 2**62, 20_000))[0]
     assert abs(((other >> np.uint64(1)) & np.uint64(1)).mean() - f.false_rate[1]) < 0.01
 
 
+def test_more_languages_than_a_mask_word(spark):
+    """80 languages: each has words of its own, and none is dropped; a language of few rows is kept beside a large one."""
+    def sentence(i):
+        letters = chr(97 + i // 10) + "xyzqwkjvbh"[i % 10]
+        return " ".join(f"{letters}{c}{letters}" for c in "abcdefg")
+
+    rows = [(1000 * i + k, sentence(i), f"l{i:02}") for i in range(80) for k in range(3)] + [(10**6 + k, sentence(5), "l05") for k in range(500)]
+    filters = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=20)
+    assert len(filters.languages) == 80 and filters.slots.shape[0] == 2
+    got = langid.identify(spark.createDataFrame([(i, sentence(i)) for i in range(80)], "doc_id long, text string"), filters).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {i: f"l{i:02}" for i in range(80)}
+
+
+def plain_language(text, filters):
+    """The same counts, letter by letter: trigrams of words between blanks, looked up one at a time."""
+    low = " ".join(SPACE.findall(text or "")).lower()
+    chars = " " + "".join(c if c.isalpha() else " " for c in low) + " "
+    grams = [chars[i : i + 3] for i in range(len(chars) - 2) if chars[i + 1] != " "]
+    if not grams:
+        return "und", 0.0
+    hits = np.zeros(len(filters.languages))
+    for g in grams:
+        mask = filters.contains(np.array([ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2])], np.int64))[:, 0]
+        hits += [int(mask[i // 64]) >> i % 64 & 1 for i in range(len(hits))]
+    true = np.maximum(0, (hits - len(grams) * filters.false_rate) / (1 - filters.false_rate))
+    return filters.languages[int(true.argmax())], true.max() / max(1e-9, true.sum())
+
+
+def test_language_equals_plain_counts(spark, messy):
+    rows = [(i, " ".join(f"{'straße' if i % 2 else 'héllo'}{i} wörld quoted test" for _ in range(3)), "de" if i % 2 else "en") for i in range(40)]
+    filters = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = key((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in langid.identify(messy, filters).collect())
+    assert got == key((i, n, round(s, 9)) for i, t in texts(messy) for n, s in [plain_language(t, filters)])
+
+
 # toxicity --------------------------------------------------------------------------------------------------------------
 def test_grammar_context():
     onward, counts = toxicity.grammar()
