@@ -43,14 +43,13 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lumastack.llm.secrets import KINDS, as_text, find_secrets
+    from lumastack.llm.secrets import KINDS, LIVE, as_text, find_secrets
 
     found = find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(KINDS))
     numbers = F.transform("spans", lambda s: s["kind"])
-    counts = [(F.size(numbers) - F.size(F.array_remove(numbers, i))).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    live = F.size(F.filter("spans", lambda s: s["live"])).cast("bigint").alias("n_live")
-    rows = found.select("doc_id", *counts, live, as_text(F.col("spans")).alias("spans"))
-    return rows.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("spans", 256).alias("base_sha256"), "spans", "n_live")
+    counts = [(F.size(numbers) - F.size(F.array_remove(numbers, i))).cast("bigint").alias(f"n_{k}") for i, k in enumerate((*KINDS, LIVE))]
+    return found.select("doc_id", *counts, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
