@@ -16,7 +16,7 @@ from lumastack.llm.exact import drop_exact
 from lumastack.llm.langid import fit, language_of
 from lumastack.llm.packing import pack_documents
 from lumastack.llm.queries import WORD_FILE
-from lumastack.llm.secrets import find_secrets, redacted
+from lumastack.llm.secrets import KINDS, find_secrets, redacted
 from lumastack.llm.shared import fold, materialise
 from lumastack.llm.simhash import near_groups
 
@@ -51,15 +51,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets that look live, held by fewer than three sources, are cut out of the texts; n_chars follows. No document goes."""
+    """Secrets that look live, held by fewer than three sources, are cut out of the texts with what names them; n_chars follows.
+    No document goes. Without a column source each distinct text is its own owner."""
     rows = rows_of(docs)
-    found = find_secrets(docs).select("doc_id", "text_hash", F.filter("spans", lambda s: s["live"]).alias("_spans")).where(F.size("_spans") > 0)
-    found = found.groupBy(F.col("doc_id").alias("_id2"), F.col("text_hash").alias("_hash2")).agg(F.first("_spans").alias("_spans"))
-    joined = rows.join(found, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(redacted(F.col("_text"), F.col("_spans")))
-    changed = joined.select("_row", "_spans", text.alias("_text"))
-    new = {"text": F.col("_text"), "n_chars": F.when(F.col("_spans").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text").cast("bigint"))} if "n_chars" in docs.columns else {"text": F.col("_text")}
-    return changed.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+    found = find_secrets(docs, owner_col="source" if "source" in docs.columns else None)
+    live = F.filter("spans", lambda s: s["live"] & (s["kind"] < len(KINDS)))
+    cuts = found.select(F.col("text_hash").alias("key"), live.alias("_cuts")).where(F.size("_cuts") > 0).groupBy("key").agg(F.first("_cuts").alias("_cuts"))
+    cuts = materialise(cuts.select("key", F.explode("_cuts").alias("c")).select("key", "c.start", "c.end"))
+    held = rows.join(cuts.select(F.col("key").alias("_hash")).distinct(), "_hash", "left_semi")
+    new = materialise(redacted(held.groupBy(F.col("_hash").alias("key")).agg(F.first("_text").alias("text")), cuts))
+    joined = rows.join(new.select(F.col("key").alias("_key"), F.col("text").alias("_new")), F.col("_hash") == F.col("_key"), "left")
+    size = F.when(F.col("_key").isNull(), F.col("_row.n_chars")).otherwise(F.length("_new").cast("bigint")) if "n_chars" in docs.columns else F.lit(None)
+    changed = {"text": F.when(F.col("_key").isNull(), F.col("_text")).otherwise(F.col("_new")), "n_chars": size}
+    return joined.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
