@@ -102,6 +102,22 @@ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
 p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
 SELECT * FROM r WHERE rank <= 5
+""",
+    "op5_secrets": r"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS owner, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, owner, t, 0 AS kind, regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS ms, regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS gs, regexp_split_to_array(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS gaps, 6 AS least FROM d
+  UNION ALL SELECT doc_id, owner, t, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_split_to_array(t, 'AKIA[A-Z0-9]+'), 20 FROM d
+  UNION ALL SELECT doc_id, owner, t, 2, regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), regexp_split_to_array(t, '[0-9a-f]+'), 24 FROM d),
+e AS (SELECT doc_id, owner, t, kind, k, ms[k] AS match, gs[k] AS secret, gaps[k] AS gap, least FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM m)),
+p AS (SELECT *, CAST(sum(length(gap) + length(match)) OVER (PARTITION BY doc_id, kind ORDER BY k) AS BIGINT) AS stop FROM e),
+b AS (SELECT doc_id, owner, kind, stop - length(match) AS start, stop, secret FROM p WHERE length(secret) >= least),
+o AS (SELECT secret, count(DISTINCT owner) AS owners FROM b GROUP BY secret),
+s AS (SELECT doc_id, kind, start, stop FROM b UNION ALL SELECT DISTINCT doc_id, 3, stop - length(secret), stop FROM b JOIN o USING (secret) WHERE owners < 3),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_live,
+  string_agg(name, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(name, ',' ORDER BY start, kind) AS spans
+  FROM (SELECT *, (['assign', 'access', 'hex', 'live'])[kind + 1] || ':' || start || ':' || stop AS name FROM s) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_live, 0) AS n_live, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
 """,
     "op6_substring_dedup": r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
