@@ -13,68 +13,165 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumastack.llm.shared import doc_chunks, gather, text_blocks, words_of
+from lumastack.llm.shared import doc_chunks, gather, materialise, text_blocks, words_of
 
 #: Labelled rows that the fit looks at, at most: those with the smallest hashes of their ids.
 FIT_ROWS = 12_000
 #: A stem is learned as an insult from this part of the toxic rows on, with at least this log-odds.
 SUPPORT, LEAST_WEIGHT = 0.02, 2.5
 
-OTHER, NEGATION, REPORT, TARGET, THREAT, INSULT, END = range(7)
+OTHER, NEGATION, REPORT, TARGET, INTENT, THREAT, INSULT, STRONG, END, OPEN, CLOSE, QUOTE = range(12)
 #: Closed word classes of the grammar, in four languages. Insults are learned.
 WORDS = {
     NEGATION: "not never no isn't aren't don't doesn't nicht nie kein keine pas jamais aucun nunca jamás tampoco",
     REPORT: "said says say told wrote quoted reported called claimed dit disait écrit sagte sagt schrieb meldete dijo dice escribió",
     TARGET: "you your you're they them he him she her tu toi vous te du dich ihr euch usted ustedes ti",
+    INTENT: "will shall gonna going i'll we'll want must should werde werden wird wollen soll vais va veux allons voy va quiero vamos debe",
     THREAT: "kill hurt destroy shoot stab burn beat threaten tuer frapper brûler détruire töten schlagen verletzen zerstören matar golpear quemar destruir",
+    STRONG: "such so very total totally complete utter utterly absolute really sehr völlig absolut très vraiment tellement muy totalmente tan",
 }
 CLASS = {w: c for c, words in WORDS.items() for w in words.split()}
-PART = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;\n]|[\"“”«»]")
-MODES = ("plain", "negated", "reported")
-#: What the grammar counts: (insult or threat) x (with target or without) x mode, and the clauses that match at all, and the weight of all by the length of the text.
-FEATURES = [f"{kind}{at}_{mode}" for kind in ("insult", "threat") for at in ("", "_at_target") for mode in MODES] + ["clauses", "density"]
+SIGNS = {c: END for c in ".!?;\n"} | {'"': QUOTE, "“": OPEN, "„": OPEN, "«": OPEN, "”": CLOSE, "»": CLOSE}
+PART = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;\n]|[\"“”„«»]")
+KINDS, MODES = ("insult", "threat", "intent"), ("plain", "negated", "reported", "denied")
+#: What the grammar counts: clauses by the best path through them, kind x (with target or without) x mode; the clauses that match at all; the weight of all by the length of the text.
+FEATURES = [f"{kind}{at}_{mode}" for kind in KINDS for at in ("", "_at_target") for mode in MODES] + ["clauses", "density"]
+#: Weights that the transducers put on a path.
+STRONGER, INTENDED, AIMED, NEGATED, REPORTED = 1.25, 1.5, 1.5, 0.4, 0.5
+#: Words of a clause that the transducers look over, and the clause ends that close a quotation left open.
+REACH, NEGATION_REACH, REPORT_REACH, QUOTE_ENDS = 4, 3, 8, 3
 
 
 @dataclass
 class Transducer:
-    """A deterministic finite-state transducer over word classes: step(state, class) -> (state, mark of this word)."""
+    """A deterministic weighted transducer over word classes: step(state, class) -> (state, what it says of this word)."""
 
-    states: int
+    start: object
     step: callable
 
-    def compose(self, other: Transducer) -> Transducer:
-        """Both read the same classes; states are pairs, marks are tuples."""
 
-        def both(state, symbol):
-            a, x = self.step(state // other.states, symbol)
-            b, y = other.step(state % other.states, symbol)
-            return a * other.states + b, (*(x if isinstance(x, tuple) else (x,)), *(y if isinstance(y, tuple) else (y,)))
+def reach(opens: int, words: int) -> Transducer:
+    """Says whether a word of class `opens` is among the `words` words before, in the clause."""
 
-        return Transducer(self.states * other.states, both)
+    def step(left, symbol):
+        if symbol >= END:
+            return (0 if symbol == END else left), False
+        return (words if symbol == opens else max(0, left - 1)), left > 0
 
+    return Transducer(0, step)
 
-def scope(opens: int, length: int) -> Transducer:
-    """Marks the `length` words after a word of class `opens`, up to the end of the clause."""
 
-    def step(left, symbol):
-        if symbol == END:
-            return 0, False
-        return (length, False) if symbol == opens else (max(0, left - 1), left > 0)
+def insult() -> Transducer:
+    """The weight of an insult, more after a strengthening word; None for other words."""
+    strong = reach(STRONG, 2)
+
+    def step(state, symbol):
+        state, near = strong.step(state, symbol)
+        return state, (STRONGER if near else 1.0) if symbol == INSULT else None
+
+    return Transducer(0, step)
+
+
+def threat() -> Transducer:
+    """(kind, weight) of a threat: `intent` if someone will, wants to or should do it; None for other words."""
+    will = reach(INTENT, REACH)
+
+    def step(state, symbol):
+        state, near = will.step(state, symbol)
+        return state, ((2, INTENDED) if near else (1, 1.0)) if symbol == THREAT else None
+
+    return Transducer(0, step)
+
+
+def target() -> Transducer:
+    """For an insult or threat, whether a target stands shortly before; for a target, whether an insult or threat does."""
+    before, after = reach(TARGET, REACH), {hot: reach(hot, REACH) for hot in (INSULT, THREAT)}
+
+    def step(state, symbol):
+        state = list(state)
+        state[0], aimed = before.step(state[0], symbol)
+        hot = False
+        for i, r in enumerate(after.values(), 1):
+            state[i], near = r.step(state[i], symbol)
+            hot |= near
+        return tuple(state), aimed if symbol in (INSULT, THREAT) else hot if symbol == TARGET else False
 
-    return Transducer(length + 1, step)
+    return Transducer((0, 0, 0), step)
 
 
-def grammar() -> tuple[np.ndarray, np.ndarray]:
-    """The composed transducer as tables by state and class: the next state, and the feature that an insult or threat counts for (or -1)."""
-    whole = scope(NEGATION, 3).compose(scope(REPORT, 12)).compose(scope(TARGET, 4))
-    onward, counts = np.zeros((whole.states, 7), np.int64), np.full((whole.states, 7), -1, np.int64)
-    for state in range(whole.states):
-        for symbol in range(7):
-            onward[state, symbol], (negated, reported, target) = whole.step(state, symbol)
-            if symbol in (INSULT, THREAT):
-                mode = 2 if reported else 1 if negated else 0
-                counts[state, symbol] = (6 if symbol == THREAT else 0) + (3 if target else 0) + mode
-    return onward, counts
+def negation() -> Transducer:
+    return reach(NEGATION, NEGATION_REACH)
+
+
+def reported() -> Transducer:
+    """Says whether a word is reported speech: after a verb of speech in the clause, or in a quotation that is not yet closed."""
+    verb = reach(REPORT, REPORT_REACH)
+
+    def step(state, symbol):
+        left, quoted = state
+        left, near = verb.step(left, symbol)
+        said = near or quoted > 0
+        if symbol == OPEN or symbol == QUOTE and not quoted:
+            quoted = QUOTE_ENDS
+        elif symbol in (CLOSE, QUOTE):
+            quoted, left = 0, 0
+        elif symbol == END:
+            quoted = max(0, quoted - 1)
+        return (left, quoted), said
+
+    return Transducer((0, 0), step)
+
+
+class Composed:
+    """The five transducers as one, its states made as they are met: rows[state][class] is (next state, None, a match, or True for a target after one).
+
+    A match is (kind, weight, whether at a target, mode).
+    """
+
+    def __init__(self):
+        self.parts = [insult(), threat(), target(), negation(), reported()]
+        first = tuple(p.start for p in self.parts)
+        self.states, self.index = [first], {first: 0}
+        self.rows: list[list] = [[None] * 12]
+
+    def meet(self, state: int, symbol: int) -> tuple:
+        stepped = [p.step(s, symbol) for p, s in zip(self.parts, self.states[state], strict=True)]
+        onward = tuple(s for s, _ in stepped)
+        if onward not in self.index:
+            self.index[onward] = len(self.states)
+            self.states.append(onward)
+            self.rows.append([None] * 12)
+        bad, menace, aimed, negated, said = (x for _, x in stepped)
+        found = True if symbol == TARGET and aimed else None
+        if bad is not None or menace is not None:
+            kind, weight = menace or (0, bad)
+            weight *= (AIMED if aimed else 1) * (NEGATED if negated else 1) * (REPORTED if said else 1)
+            found = (kind, weight, aimed, 2 * said + negated)
+        cell = self.rows[state][symbol] = (self.index[onward], found)
+        return cell
+
+    def clauses(self, symbols: list[int], weights: list[float]) -> Iterator[tuple[int, float]]:
+        """(feature, weight) of the best path through each clause that has a match. A target shortly after a match is its target too."""
+        state, best, last = 0, None, None
+        for symbol, weight in zip(symbols, weights, strict=True):
+            state, found = self.rows[state][symbol] or self.meet(state, symbol)
+            if symbol == END:
+                if best:
+                    yield best[1], best[0]
+                best = last = None
+                continue
+            if found is None:
+                continue
+            if found is True:
+                if last is None or last[2]:
+                    continue
+                last = (last[0], last[1] * AIMED, True, last[3])
+            else:
+                last = (found[0], found[1] * weight, found[2], found[3])
+            path = (last[1], 8 * last[0] + 4 * last[2] + last[3])
+            best = max(best, path) if best else path
+        if best:
+            yield best[1], best[0]
 
 
 def parts_of(word: str) -> list[str]:
@@ -101,8 +198,8 @@ class Grammar:
         """The classes and weights of a word's parts."""
         symbols, weights = [], []
         for part in parts_of(word):
-            if not part[0].isalnum():
-                symbols.append(REPORT if part in '"“”«»' else END)
+            if part in SIGNS:
+                symbols.append(SIGNS[part])
                 weights.append(0.0)
                 continue
             insult = max((self.lexicon.get(s, 0.0) for s in stems(part)), default=0.0)
@@ -111,7 +208,7 @@ class Grammar:
         return symbols, weights
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """Sums of clause weights for each text and feature. Only texts with an insult or a threat are walked through."""
+        """Sums of the clauses' weights for each text and feature. Only texts with an insult or a threat are walked through."""
         clauses = FEATURES.index("clauses")
         out = np.zeros((len(texts), len(FEATURES)))
         words, flat, starts = words_of(texts)
@@ -120,22 +217,16 @@ class Grammar:
         symbols = np.array([x for s, _ in found for x in s], np.int8)
         weights = np.array([x for _, w in found for x in w])
         hot = np.array([INSULT in s or THREAT in s for s, _ in found], bool)
-        onward, counts = (t.tolist() for t in grammar())
+        grammar = Composed()
         for first, last in doc_chunks(starts):
             chunk = flat[starts[first] : starts[last]]
             any_hot = np.concatenate(([0], np.cumsum(hot[chunk])))[starts[first : last + 1] - starts[first]]
             for i in np.flatnonzero(np.diff(any_hot)).tolist():
                 own = flat[starts[first + i] : starts[first + i + 1]]
-                row, state, matched = out[first + i], 0, False
-                for symbol, weight in zip(gather(symbols, at, own).tolist(), gather(weights, at, own).tolist(), strict=True):
-                    k = counts[state][symbol]
-                    if k >= 0:
-                        row[k] += weight
-                        row[clauses] += not matched
-                        matched = True
-                    elif symbol == END:
-                        matched = False
-                    state = onward[state][symbol]
+                row = out[first + i]
+                for k, weight in grammar.clauses(gather(symbols, at, own).tolist(), gather(weights, at, own).tolist()):
+                    row[k] += weight
+                    row[clauses] += 1
         out[:, clauses + 1] = 100 * out[:, :clauses].sum(1) / np.sqrt(np.maximum(25, np.diff(starts)))
         return np.log1p(out)
 
@@ -159,12 +250,14 @@ class Grammar:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS) -> Grammar:
     """A grammar from at most `rows` labelled rows. The driver gets the stems of at least SUPPORT of the toxic rows, and `rows` rows of feature sums.
 
-    Labels other than 0 and 1 are left out; of labels that repeat an id the larger one counts. Without labels of both kinds
-    nothing is learned, and all scores are 0.5.
+    Labels other than 0 and 1 are left out; of labels that repeat an id the larger one counts, and of documents that repeat
+    a labelled id one text, the smallest. Documents are read once for the fit: the sample's texts are stored. Without
+    labels of both kinds nothing is learned, and all scores are 0.5.
     """
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     marks = marks.orderBy(F.xxhash64("id"), "id").limit(rows)
-    use = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(marks), "id").select("label", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(marks), "id")  # `rows` marks at most
+    use = materialise(texts.groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text"))
     own = Grammar()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,18 +274,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows = [("", total[1], total[0])] + [(s, c[1], c[0]) for s, c in seen.items() if c[1]] + [(s, 0, c[0]) for s, c in seen.items() if not c[1]]
         yield pa.RecordBatch.from_pydict({"stem": pa.array([r[0] for r in rows], pa.string()), "toxic": pa.array([r[1] for r in rows], pa.int64()), "clean": pa.array([r[2] for r in rows], pa.int64())})
 
-    counted = use.mapInArrow(count, "stem string, toxic bigint, clean bigint").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
-    try:
-        totals = counted.where("stem = ''").first()
-        n1, n0 = (totals["toxic"], totals["clean"]) if totals else (0, 0)
-        if not n1 or not n0:
-            return own
-        enough = max(5, SUPPORT * n1)
-        weight = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-        frequent = counted.where((F.col("stem") != "") & (F.col("toxic") >= enough)).select("stem", weight.alias("w")).where(F.col("w") >= LEAST_WEIGHT)
-        own.lexicon = {r["stem"]: float(r["w"]) for r in frequent.collect()}
-    finally:
-        counted.unpersist()
+    counted = use.mapInArrow(count, "stem string, toxic bigint, clean bigint").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = materialise(counted)
+    totals = counted.where("stem = ''").first()
+    n1, n0 = (totals["toxic"], totals["clean"]) if totals else (0, 0)
+    if not n1 or not n0:
+        return own
+    enough = max(5, SUPPORT * n1)
+    weight = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
+    frequent = counted.where((F.col("stem") != "") & (F.col("toxic") >= enough)).select("stem", weight.alias("w")).where(F.col("w") >= LEAST_WEIGHT)
+    own.lexicon = {r["stem"]: float(r["w"]) for r in frequent.collect()}
     held = docs.sparkSession.sparkContext.broadcast(own)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +299,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Grammar, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, carried columns, score, predicted) per document; predicted is 1 from a score of 0.5 on.
 
-    Each word belongs to a class (insult, threat, target, negation, report, other); a composed transducer follows negation,
-    reported speech and targets through the clause, and every insult or threat adds its weight to the feature of its
-    context. Logistic weights turn the sums into a score. A null or empty text has the score of a text without matches.
+    Each word belongs to a class. Five weighted transducers read the classes as one composed machine: insults and threats
+    start a path, targets before or after them, negation and reported speech (verbs of speech, quotations) change its
+    weight. A clause counts once, by its best path, under that path's kind, target and mode; lone insults are clauses of the
+    plain kind. Logistic weights turn the sums into a score. A null or empty text has the score of a text without matches.
     Whole texts count. The model is broadcast; its size is bounded by SUPPORT and the rows of the fit.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -381,23 +382,86 @@ def test_language_equals_plain_counts(spark, messy):
 
 
 # toxicity --------------------------------------------------------------------------------------------------------------
-def test_grammar_context():
-    onward, counts = toxicity.grammar()
-
-    def walk(symbols):
-        state, out = 0, []
-        for s in symbols:
-            if counts[state, s] >= 0:
-                out.append(toxicity.FEATURES[counts[state, s]])
-            state = onward[state, s]
-        return out
-
+def clause_features(text, lexicon):
+    grammar = toxicity.Grammar(lexicon)
+    found = [grammar.classes(w) for w in SPACE.findall(text)]
+    return [(toxicity.FEATURES[k], round(w, 6)) for k, w in toxicity.Composed().clauses([x for s, _ in found for x in s], [x for _, w in found for x in w])]
+
+
+BAD = {"=idiot": 2.0, "=scum": 3.0}
+
+
+@pytest.mark.parametrize("text, want", [
+    ("an idiot", [("insult_plain", 2.0)]),
+    ("you are an idiot.", [("insult_at_target_plain", 3.0)]),
+    ("idiot, you are", [("insult_at_target_plain", 3.0)]),
+    ("not an idiot", [("insult_negated", 0.8)]),
+    ("not here. idiot", [("insult_plain", 2.0)]),
+    ("he said you kill", [("threat_at_target_reported", 0.75)]),
+    ("I will kill you", [("intent_at_target_plain", 2.25)]),
+    ('"you idiot" she is fine', [("insult_at_target_reported", 1.5)]),
+    ('She is "fine" . idiot', [("insult_plain", 2.0)]),
+    ("“one. two. three. idiot", [("insult_plain", 2.0)]),
+    ("she said he is not an idiot", [("insult_at_target_denied", 0.6)]),
+    ("idiot scum idiot; scum", [("insult_plain", 3.0), ("insult_plain", 3.0)]),
+    ("such an idiot", [("insult_plain", 2.5)]),
+    ("nothing here", []),
+])
+def test_clauses(text, want):
+    assert clause_features(text, BAD) == want
+
+
+def plain_features(text, lexicon):
+    """The grammar's rules word by word, looking back over each clause, without any machine."""
     t = toxicity
-    assert walk([t.OTHER, t.INSULT]) == ["insult_plain"]
-    assert walk([t.TARGET, t.OTHER, t.INSULT]) == ["insult_at_target_plain"]
-    assert walk([t.NEGATION, t.OTHER, t.INSULT]) == ["insult_negated"]
-    assert walk([t.NEGATION, t.END, t.INSULT]) == ["insult_plain"]
-    assert walk([t.REPORT, t.OTHER, t.TARGET, t.THREAT]) == ["threat_at_target_reported"]
+    tokens = [p for w in SPACE.findall(text or "") for p in t.parts_of(w)]
+    kind = [t.SIGNS[p] if p in t.SIGNS else t.INSULT if any(s in lexicon for s in t.stems(p)) else t.CLASS.get(p, t.OTHER) for p in tokens]
+    out = np.zeros(len(t.FEATURES))
+    quoted, clause, at = 0, [], 0
+    cut = lambda k, n, words: any(c == k for c, *_ in words[-n:])
+    spoken = 0  # the first word of the clause that a verb of speech still reaches
+
+    def close():
+        paths = [(w * (t.AIMED if aimed else 1), 8 * k + 4 * aimed + mode) for c, w, k, mode, aimed in clause if w]
+        if paths:
+            weight, feature = max(paths)
+            out[feature] += weight
+            out[-2] += 1
+
+    for token, c in [*zip(tokens, kind, strict=True), ("", t.END)]:
+        if c == t.END:
+            close()
+            clause, quoted, spoken = [], max(0, quoted - 1), 0
+        elif c in (t.OPEN, t.CLOSE, t.QUOTE):
+            if c == t.OPEN or c == t.QUOTE and not quoted:
+                quoted = t.QUOTE_ENDS
+            else:
+                quoted, spoken = 0, len(clause)
+        else:
+            weight = k = mode = 0
+            if c in (t.INSULT, t.THREAT):
+                weight = max((lexicon.get(s, 0.0) for s in t.stems(token)), default=0.0) or 1.0
+                k = 0 if c == t.INSULT else 2 if cut(t.INTENT, t.REACH, clause) else 1
+                weight *= t.STRONGER if c == t.INSULT and cut(t.STRONG, 2, clause) else t.INTENDED if k == 2 else 1
+                negated, said = cut(t.NEGATION, t.NEGATION_REACH, clause), quoted > 0 or cut(t.REPORT, t.REPORT_REACH, clause[spoken:])
+                weight *= (t.NEGATED if negated else 1) * (t.REPORTED if said else 1)
+                mode = 2 * said + negated
+            if c == t.TARGET:
+                near = [i for i in range(max(0, len(clause) - t.REACH), len(clause)) if clause[i][1]]
+                if near:
+                    clause[near[-1]][4] = True
+            clause.append([c, weight, k, mode, bool(weight) and cut(t.TARGET, t.REACH, clause)])
+        at += 1
+    out[-1] = 100 * out[:-2].sum() / np.sqrt(max(25, len(SPACE.findall(text or ""))))
+    return np.log1p(out)
+
+
+def test_features_equal_plain_rules(messy):
+    r = np.random.default_rng(12)
+    pool = [*"you not said kill will such idiot scum word other . ; “ ” \" »".split(), "he's", "Idiot!", "END.", "x"]
+    rows = [" ".join(r.choice(pool, int(r.integers(0, 60)))) for _ in range(400)] + [t for _, t in texts(messy)]
+    got = toxicity.Grammar(BAD).features(pa.array(rows, pa.string()))
+    assert np.allclose(got, [plain_features(t, BAD) for t in rows])
 
 
 def test_toxicity(spark, messy, none):
@@ -411,3 +475,10 @@ def test_toxicity(spark, messy, none):
     blank = toxicity.fit(docs, labels.where("toxic = 2"))
     assert {r["score"] for r in toxicity.score(docs, blank).collect()} == {0.5}
     assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
+
+
+def test_repeated_labelled_ids_count_once(spark):
+    docs = spark.createDataFrame([(i, "a grumblefoot you are" if i % 2 else "all is well") for i in range(40)] + [(1, "all is well indeed")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (1, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, rows=30)
+    assert model.lexicon and toxicity.score(docs, model).where("doc_id > 1").groupBy().agg(F.min(F.expr("predicted = doc_id % 2"))).first()[0]
