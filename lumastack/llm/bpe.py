@@ -187,8 +187,8 @@ class RankCoder(Coder):
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def encode_new(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many texts, none empty: flat, and where each text starts. The distinct pieces of all texts are merged together."""
+    def cut(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct pieces of texts, none of them empty, in order of their first place; each text's pieces as places among them, and where each text starts."""
         pieces, used, sizes, cut = Interner(), [], [0], self.pattern.findall
         for unit in units:
             if (unit[1:] if unit[0] == " " else unit).isalpha():  # the pattern keeps such a unit whole
@@ -198,6 +198,10 @@ class RankCoder(Coder):
                 found = cut(unit)
                 used.extend(map(pieces.__getitem__, found))
                 sizes.append(len(found))
+        return list(pieces), np.array(used, np.int64), np.cumsum(sizes)
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, all merged together by one replay: flat, and where each piece starts."""
         known = list(map(str.encode, pieces))
         direct = np.array(list(map(self.ranks.get, known, repeat(-1))), np.int64)
         rest, whole = np.flatnonzero(direct < 0), np.flatnonzero(direct >= 0)
@@ -208,7 +212,12 @@ class RankCoder(Coder):
         place[rest], place[whole] = np.arange(len(rest)), len(rest) + np.arange(len(whole))
         ids = np.concatenate((ids, direct[whole].astype(np.int32)))
         starts = np.concatenate((starts, starts[-1] + 1 + np.arange(len(whole))))
-        return regroup(ids, starts, place[np.array(used, np.int64)], np.cumsum(sizes))
+        return regroup(ids, starts, place, np.arange(len(known) + 1))
+
+    def encode_new(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts, none empty: flat, and where each text starts. The distinct pieces of all texts are merged together."""
+        pieces, used, starts = self.cut(units)
+        return regroup(*self.encode_pieces(pieces), used, starts)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for."""

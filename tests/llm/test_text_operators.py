@@ -251,6 +251,17 @@ def test_byte_bpe_equals_library(spark, messy, none, coder):
     assert byte_bpe.encode(none, path, P.PATTERN).count() == 0
 
 
+def test_pieces_of_the_corpus_over_many_blocks(spark, coder, monkeypatch):
+    """Small blocks that share most pieces, and small replays: the ids stay those of the library."""
+    monkeypatch.setattr(byte_bpe, "REPLAY_BYTES", 1000)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join(r.choice([*WEIRD, "shared", "words, here"], 12))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    got = byte_bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, blocks=7)
+    assert key((x["doc_id"], x["ids"]) for x in got.collect()) == key((i, library.encode_ordinary(t)) for i, t in rows)
+
+
 def test_replay_reports_ranks_that_fall(coder):
     assert coder.one(b"hello") == coder.encode(["hello"])[0].tolist()
     ids, starts, odd = bpe.replay(coder.merges, coder.byte_ids[np.frombuffer(b"aaaaaaa", np.uint8)], np.array([0, 7]))
