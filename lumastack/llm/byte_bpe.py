@@ -41,12 +41,14 @@ def units(texts: pa.Array) -> pa.Array:
 
 #: Bytes of pieces that one replay takes at most (one longer piece is a replay of its own).
 REPLAY_BYTES = 8 << 20
+#: Text of one block.
+PACK_BYTES = 4 << 20
 PACK = "zstd"
 
 
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of rows (id, text) of bounded size, compressed, under a hash of what they hold, so a task that runs again makes the same ones."""
-    for block in text_blocks(batches):
+    for block in text_blocks(batches, limit=PACK_BYTES):
         sink = io.BytesIO()
         with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=PACK)) as out:
             out.write_batch(block)
