@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from lumastack.llm.bpe import rank_coder, regroup
+from lumastack.llm.bpe import RankCoder, rank_coder, regroup
 from lumastack.llm.shared import doc_chunks, gather, intern_lists, text_blocks
 
 #: White space that the cuts below do not look at.
@@ -39,111 +38,97 @@ def units(texts: pa.Array) -> pa.Array:
     return lists
 
 
-#: Bytes of pieces that one replay takes at most (one longer piece is a replay of its own).
-REPLAY_BYTES = 8 << 20
-#: Text of one block.
-PACK_BYTES = 4 << 20
-PACK = "zstd"
+#: Pieces that the corpus-wide table holds at most, those that most blocks have, and the bytes of the longest one: a bound on what is broadcast.
+CORPUS_PIECES, LONGEST = 400_000, 64
 
 
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows (id, text) of bounded size, compressed, under a hash of what they hold, so a task that runs again makes the same ones."""
-    for block in text_blocks(batches, limit=PACK_BYTES):
-        sink = io.BytesIO()
-        with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=PACK)) as out:
-            out.write_batch(block)
-        data = sink.getvalue()
-        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(data) - (1 << 63)], pa.int64()), pa.array([data], pa.large_binary()).cast(pa.binary())], ["block", "data"])
+@dataclass
+class Codes:
+    """The ids of pieces that many blocks of the corpus have, each merged once: places by piece, ids flat, and where each piece starts."""
 
+    places: dict[str, int]
+    ids: np.ndarray
+    starts: np.ndarray
 
-def unpacked(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """The rows of packed blocks."""
-    for data in table.column("data").to_pylist():
-        yield from pa.ipc.open_stream(data)
+    def encode(self, coder: RankCoder, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces; those that are not in the table are merged here, together."""
+        place = np.fromiter(map(self.places.get, pieces, repeat(-1)), np.int64, len(pieces))
+        rest = np.flatnonzero(place < 0)
+        ids, starts = coder.encode_pieces([pieces[i] for i in rest.tolist()])
+        place[rest] = len(self.starts) - 1 + np.arange(len(rest))
+        return regroup(np.concatenate((self.ids, ids)), np.concatenate((self.starts[:-1], self.starts[-1] + starts)), place, np.arange(len(pieces) + 1))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, ids: bool = True, digests: bool = False, blocks: int | None = None) -> DataFrame:
-    """The token ids of every text, as array `ids`; with digests, also SHA-256 of the ids and of their decoded bytes.
-
-    Corpus-level: documents are packed into blocks of bounded size; each block asks for its distinct pieces, the pieces of all
-    blocks are made distinct, dealt by hash, and all merges are replayed over them by rank (lumastack.llm.bpe), each piece of
-    the corpus once; then they are joined back to the blocks that asked, where documents are put together. Blocks are
-    shuffled once, compressed, and that exchange is used again. A piece that very many blocks hold is a row from each of
-    them, which Spark splits as a skewed key; nobody ever holds all pieces of the corpus.
+def corpus_codes(rows: DataFrame, path: str, pattern: str, most: int = CORPUS_PIECES) -> Codes:
+    """The codes of the pieces in a column text that most blocks hold, two at least.
 
-    A null text counts as empty and gives no ids; rows keep their id, null or repeated; other columns are left out.
+    Blocks send their distinct pieces, Spark counts blocks by piece, and the most frequent ones are dealt by hash and merged
+    by one replay a task. `most` pieces of LONGEST bytes at most reach the driver.
     """
-    blocks = blocks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind, id_type = dict(rows.dtypes)["id"], to_arrow_type(rows.schema["id"].dataType)
-    held = rows.mapInArrow(packed, "block bigint, data binary").repartition(blocks, "block")
-
-    def ask(table: pa.Table) -> pa.Table:
-        coder, found = rank_coder(path, pattern), []
-        for rows in unpacked(table):
-            known, _, _ = intern_lists(units(rows.column("text")))
-            found += coder.cut(known.to_pylist())[0]
-        found = pc.unique(pa.array(found, pa.string()))
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(found), pa.int64()), "piece": found})
-
-    def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = rank_coder(path, pattern)
-        for pieces in gathered(batches):
-            values, starts = coder.encode_pieces(pieces.to_pylist())
-            yield pa.RecordBatch.from_arrays([pieces, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, pa.int32()))], ["piece", "ids"])
+        for block in text_blocks(batches):
+            known, _, _ = intern_lists(units(block.column("text")))
+            pieces = pa.array(coder.cut(known.to_pylist())[0], pa.string())
+            yield pa.RecordBatch.from_arrays([pieces.filter(pc.less_equal(pc.binary_length(pieces), LONGEST))], ["piece"])
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
-        parts, size = [], 0
-        for batch in batches:
-            parts.append(batch.column("piece"))
-            size += parts[-1].nbytes
-            if size >= REPLAY_BYTES:
-                yield pa.concat_arrays(parts)
-                parts, size = [], 0
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b.column("piece") for b in batches]  # `most` pieces over all tasks
         if parts:
-            yield pa.concat_arrays(parts)
+            pieces = pa.concat_arrays(parts)
+            ids, starts = rank_coder(path, pattern).encode_pieces(pieces.to_pylist())
+            yield pa.RecordBatch.from_arrays([pieces, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))], ["piece", "ids"])
 
-    fields = {"id": id_type, "n_tokens": pa.int64()} | ({"ids": pa.list_(pa.int32())} if ids else {}) | ({"ids_sha256": pa.string(), "decoded_sha256": pa.string()} if digests else {})
+    asked = rows.select("text").mapInArrow(ask, "piece string").groupBy("piece").agg(F.count("*").alias("n")).where("n > 1")
+    frequent = asked.orderBy(F.desc("n"), "piece").limit(most).select("piece").repartition("piece")
+    found = frequent.mapInArrow(merged, "piece string, ids array<int>").toArrow()
+    sizes = pc.list_value_length(found.column("ids")).to_numpy()
+    ids = [c.flatten().to_numpy() for c in found.column("ids").chunks]
+    return Codes({p: i for i, p in enumerate(found.column("piece").to_pylist())}, np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))))
 
-    def put_together(table: pa.Table, codes: pa.Table) -> pa.Table:
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, ids: bool = True, digests: bool = False) -> DataFrame:
+    """The token ids of every text, as array `ids`; with digests, also SHA-256 of the ids and of their decoded bytes.
+
+    Merges are replayed by rank over an index from token pair to positions (lumastack.llm.bpe), over the pieces of the whole
+    corpus first: those that most blocks of documents have are merged once and broadcast, of bounded number and size
+    (corpus_codes). What is left of a block, its rare pieces, is replayed in the task that holds the block. Texts are read
+    twice and never shuffled; no state is kept between blocks.
+
+    A null text counts as empty and gives no ids; rows keep their id, null or repeated; other columns are left out.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    held = docs.sparkSession.sparkContext.broadcast(corpus_codes(rows, path, pattern))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = rank_coder(path, pattern)
-        pieces, lists = codes.column("piece").combine_chunks(), codes.column("ids").combine_chunks()
-        flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)))
-        out = []
-        for rows in unpacked(table):
-            known, places, starts = intern_lists(units(rows.column("text")))
-            own, used, sizes = coder.cut(known.to_pylist())
-            place = pc.fill_null(pc.index_in(pa.array(own, pa.string()), pieces), -1).to_numpy()
-            if (place < 0).any():  # a block that came out otherwise when a lost task ran again, and asked for other pieces
-                values, ends = coder.encode_pieces(own)
-                values, ends = regroup(values, ends, used, sizes)
-            else:
-                values, ends = regroup(flat, at, place[used], sizes)
-            out.append(pa.table(documents(rows.column("id"), values.astype("<u4"), ends, places, starts, coder)))
-        return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in fields.items()})
-
-    def documents(names: pa.Array, values: np.ndarray, at: np.ndarray, flat: np.ndarray, starts: np.ndarray, coder) -> dict:
-        counts, lists, sha, plain = [], [], [], []
-        for first, last in doc_chunks(starts):
-            chunk = flat[starts[first] : starts[last]]
-            tokens = gather(values, at, chunk)
-            size = np.concatenate(([0], np.cumsum((at[1:] - at[:-1])[chunk])))[starts[first : last + 1] - starts[first]]
-            for i, j in zip(size, size[1:], strict=False):
-                own = tokens[i:j]
-                counts.append(len(own))
-                if ids:
-                    lists.append(own.astype(np.int32))
-                if digests:
-                    sha.append(hashlib.sha256(own.tobytes()).hexdigest())
-                    plain.append(hashlib.sha256(coder.decode(own)).hexdigest())
-        made = {"id": names, "n_tokens": counts, "ids": lists, "ids_sha256": sha, "decoded_sha256": plain}
-        return {k: names.cast(t) if k == "id" else pa.array(made[k], t) for k, t in fields.items()}
-
-    asked = held.groupBy("block").applyInArrow(ask, "block bigint, piece string")
-    codes = asked.select("piece").distinct().mapInArrow(replayed, "piece string, ids array<int>")
-    answers = asked.join(codes, "piece").select("block", "piece", "ids")
+        for block in text_blocks(batches):
+            known, flat, starts = intern_lists(units(block.column("text")))
+            pieces, used, sizes = coder.cut(known.to_pylist())
+            values, at = regroup(*held.value.encode(coder, pieces), used, sizes)
+            values = values.astype("<u4")
+            counts, lists, sha, plain = [], [], [], []
+            for first, last in doc_chunks(starts):
+                chunk = flat[starts[first] : starts[last]]
+                tokens = gather(values, at, chunk)
+                size = np.concatenate(([0], np.cumsum((at[1:] - at[:-1])[chunk])))[starts[first : last + 1] - starts[first]]
+                for i, j in zip(size, size[1:], strict=False):
+                    own = tokens[i:j]
+                    counts.append(len(own))
+                    if ids:
+                        lists.append(own.astype(np.int32))
+                    if digests:
+                        sha.append(hashlib.sha256(own.tobytes()).hexdigest())
+                        plain.append(hashlib.sha256(coder.decode(own)).hexdigest())
+            out = {"id": block.column("id"), "n_tokens": pa.array(counts, pa.int64())}
+            out |= {"ids": pa.array(lists, pa.list_(pa.int32()))} if ids else {}
+            out |= {"ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(plain, pa.string())} if digests else {}
+            yield pa.RecordBatch.from_pydict(out)
+
+    kind = dict(rows.dtypes)["id"]
     schema = f"id {kind}, n_tokens bigint" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
-    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(put_together, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(blocks, schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -251,14 +251,18 @@ def test_byte_bpe_equals_library(spark, messy, none, coder):
     assert byte_bpe.encode(none, path, P.PATTERN).count() == 0
 
 
-def test_pieces_of_the_corpus_over_many_blocks(spark, coder, monkeypatch):
-    """Small blocks that share most pieces, and small replays: the ids stay those of the library."""
-    monkeypatch.setattr(byte_bpe, "REPLAY_BYTES", 1000)
+def test_pieces_of_the_corpus(spark, coder):
+    """Pieces that several blocks share are merged once for all; the table's bound changes no ids."""
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    path = P.path("byte_bpe_50k.tiktoken")
     r = np.random.default_rng(4)
     rows = [(i, " ".join(r.choice([*WEIRD, "shared", "words, here"], 12))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
-    got = byte_bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, blocks=7)
+    for most in (0, 3, 1000):
+        codes = byte_bpe.corpus_codes(df, path, P.PATTERN, most)
+        assert len(codes.places) <= most and all(codes.ids[codes.starts[i] : codes.starts[i + 1]].tolist() == library.encode_ordinary(p) for p, i in codes.places.items())
+    assert {" shared", " words", ","} <= set(codes.places) and not any(len(p.encode()) > byte_bpe.LONGEST for p in codes.places)
+    got = byte_bpe.encode(df, path, P.PATTERN)
     assert key((x["doc_id"], x["ids"]) for x in got.collect()) == key((i, library.encode_ordinary(t)) for i, t in rows)
 
 
