@@ -15,7 +15,7 @@ def plain(v):
         v = v.tolist()
     if isinstance(v, list):
         return str([plain(x) for x in v])
-    if v is None or v != v or v is pd.NaT:
+    if v is None or v is pd.NA or v is pd.NaT or v != v:
         return "null"
     return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
