@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumastack.llm.bpe import RankCoder, rank_coder, regroup
-from lumastack.llm.shared import doc_chunks, gather, intern_lists, text_blocks
+from lumastack.llm.shared import doc_chunks, gather, intern_lists, materialise, text_blocks
 
 #: White space that the cuts below do not look at.
 OTHER_SPACE = r"[\x00\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -63,7 +63,8 @@ def corpus_codes(rows: DataFrame, path: str, pattern: str, most: int = CORPUS_PI
     """The codes of the pieces in a column text that most blocks hold, two at least.
 
     Blocks send their distinct pieces, Spark counts blocks by piece, and the most frequent ones are dealt by hash and merged
-    by one replay a task. `most` pieces of LONGEST bytes at most reach the driver.
+    by one replay a task. How frequent follows from the number of pieces by power of two of their counts (a few hundred
+    rows): as many powers as hold `most` pieces. These, of LONGEST bytes at most, reach the driver.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +82,15 @@ def corpus_codes(rows: DataFrame, path: str, pattern: str, most: int = CORPUS_PI
             yield pa.RecordBatch.from_arrays([pieces, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))], ["piece", "ids"])
 
     asked = rows.select("text").mapInArrow(ask, "piece string").groupBy("piece").agg(F.count("*").alias("n")).where("n > 1")
-    frequent = asked.orderBy(F.desc("n"), "piece").limit(most).select("piece").repartition("piece")
-    found = frequent.mapInArrow(merged, "piece string, ids array<int>").toArrow()
+    asked = materialise(asked.select("piece", F.floor(F.log2("n") * 16).alias("power")))
+    least, room = None, most
+    for power, n in asked.groupBy("power").count().orderBy(F.desc("power")).collect():  # 16 powers for each doubling
+        room -= n
+        if room < 0:
+            break
+        least = power
+    frequent = asked.where(F.col("power") >= F.lit(least)) if least is not None else asked.limit(0)
+    found = frequent.select("piece").repartition("piece").mapInArrow(merged, "piece string, ids array<int>").toArrow()
     sizes = pc.list_value_length(found.column("ids")).to_numpy()
     ids = [c.flatten().to_numpy() for c in found.column("ids").chunks]
     return Codes({p: i for i, p in enumerate(found.column("piece").to_pylist())}, np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))))

@@ -1,17 +1,31 @@
 """The pipeline against a brute-force version of its stages, on messy and on empty tables; its queries are registered."""
 
-import re
+import zlib
 
+import duckdb
+import numpy as np
+import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from lumastack.llm import queries
-from tests.llm.test_text_operators import LOWER, plain_simhash, texts
+from tests.llm.test_text_operators import LOWER, plain_best_fit, plain_redaction, plain_simhash, plain_spans, secret_at, texts
+from tests.test_queries import TABLES, same
+from tests.test_queries import rows as table_rows
 
 STAGES = dict(corpus_pipeline.STAGES)
 
 
+@pytest.fixture(scope="module")
+def duck(sf):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return con
+
+
 def test_stages_on_messy_rows(spark, messy):
     docs = messy
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -43,16 +57,63 @@ def test_live_secrets_are_cut_out(spark):
     assert got[8] == ("my [SECRET]' ok", 15) and got[9] == (None, None) and got[0] == (rows[0][1], 30)
 
 
+def brute_force(rows, spark):
+    """The stages one after another on lists of (doc_id, text, source), without Spark but for the languages' filters; ids are distinct."""
+    from lumastack.llm.secrets import KINDS
+
+    rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    best = {}
+    for i, t, s in rows:
+        best[t.translate(LOWER)] = max(best.get(t.translate(LOWER), (i, t, s)), (i, t, s), key=lambda r: r[0])
+    rows = list(best.values())
+    prints = np.array([plain_simhash(t) for _, t, _ in rows], np.uint64)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, f in enumerate(prints):
+        for j in np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ f) <= 3).tolist():
+            a, b = sorted((find(i), find(i + 1 + j)))
+            root[b] = a
+    first = {}
+    for n, (i, _, _) in enumerate(rows):
+        first[find(n)] = min(first.get(find(n), i), i)
+    rows = [r for n, r in enumerate(rows) if first[find(n)] == r[0]]
+    owners = {}
+    for _, t, s in rows:
+        for span in plain_spans(t):
+            owners.setdefault(secret_at(t, *span), set()).add(s)
+    mark = "[SECRET]"
+    clean = {i: plain_redaction(t, [(a, b) for a, k, b in plain_spans(t) if len(owners[secret_at(t, a, k, b)]) < 3], mark) for i, t, _ in rows}
+    assert len(KINDS) == 3
+    return clean
+
+
 def test_run(spark, sf):
+    """run() against the brute-force stages: the documents that stay, the pieces of their cleaned texts, and a packing as tight as best-fit decreasing."""
     found = corpus_pipeline.run(spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    kept = {r["doc_id"] for r in found}
-    distinct = {(r["text"] or "").translate(LOWER) for r in docs if re.search(r"[^\W\d_]", r["text"] or "")}
-    assert len(kept) <= len(distinct) and len(kept) >= 0.9 * len(distinct)
+    clean = brute_force([(r["doc_id"], r["text"], r["source"]) for r in docs], spark)
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = []
+    for i, t in clean.items():
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want += [(i, n, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for n, s in enumerate(range(0, len(ids), 4096))]
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == sorted(want)
     ends = {}
-    for r in found:
-        ends[r["sequence_id"]] = ends.get(r["sequence_id"], 0) + r["length"]
-    assert max(ends.values()) <= 4096
+    for r in sorted(found, key=lambda r: r["offset"]):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 4096 and len(ends) == plain_best_fit([w[3] for w in want], 4096)[0]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, sf, duck, name):
+    got, want = queries.QUERIES[name](spark, sf).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and same(table_rows(got), table_rows(want))
 
 
 def test_registered(spark, sf):

@@ -84,10 +84,16 @@ def test_links_find_every_pair_within_three_bits(spark):
     assert {tuple(x) for x in simhash.links(df).collect()} == want and want
 
 
-def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 3)], "a long, b long")
+def test_components(spark, monkeypatch):
+    """A long chain, a star whose centre has the largest id, self-links and pairs; rounds stay few."""
+    chain, star = [(i, i + 1) for i in range(300)], [(1000 + i, 5000) for i in range(200)]
+    edges = spark.createDataFrame([*chain, *star, (700, 701), (7, 3), (900, 900)], "a long, b long")
+    rounds = []
+    monkeypatch.setattr(graph, "materialise", lambda df, own=graph.materialise: rounds.append(1) or own(df))
     got = {r["node"]: r["root"] for r in graph.components(edges).collect()}
-    assert {got[i] for i in range(61)} == {0} and got[101] == 100
+    assert len({got[i] for i in range(301)}) == 1 and len({got[i] for i in [*range(1000, 1200), 5000]}) == 1 and got[700] == got[701]
+    assert len({got[i] for i in (0, 5000, 700, 900)}) == 4 and got[900] == 900 and set(got) == {*range(301), *range(1000, 1200), 5000, 700, 701, 900}
+    assert len(rounds) < 60
     assert graph.components(edges.limit(0)).count() == 0
 
 
@@ -206,11 +212,11 @@ def test_ownership(spark):
     assert by_repo[0][0]["owners"] == by_repo[0][0]["repos"] == 1 and by_repo[0][0]["live"]
 
 
-def plain_redaction(text, cuts):
+def plain_redaction(text, cuts, mark="#"):
     gone, out, at = sorted(cuts), [], 0
     for a, b in gone:
         if a >= at:
-            out += [text[at:a], "#"]
+            out += [text[at:a], mark]
         at = max(at, b)
     return "".join(out) + text[at:]
 
