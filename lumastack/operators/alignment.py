@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumastack.operators import kernels
-from lumastack.operators.frames import ellipses, per_stack
+from lumastack.operators.frames import ellipses, per_stack, with_px
 from lumastack.operators.stack import clip01
 
 
@@ -121,21 +121,25 @@ def patch_parts(frames: DataFrame, picks: DataFrame, references: DataFrame, size
     return made.select(by, F.explode("parts").alias("p")).select(by, "p.*")
 
 
-def per_ap_patch_stack(frames: DataFrame, picks: DataFrame, references: DataFrame, size: int, by: str = "file_id", base: DataFrame | None = None) -> DataFrame:
+def per_ap_patch_stack(frames: DataFrame, picks: DataFrame, references: DataFrame, size: int, by: str = "file_id", base: DataFrame | None = None, rolloff: float = 0.0) -> DataFrame:
     """(by, y, x, v): the patches of each alignment point averaged over the frames picked for it, then blended by a Gaussian of 2 size / 3 around the points.
 
     Two aggregations, by point and pixel and by pixel, both combined before the shuffle. Where no patch reaches, 0; with a
-    base (by, y, x, v), that, added to all with a weight of 0.001.
+    base (by, y, x, v), that, added to all with a weight of 0.001, and the Gaussian is of size / 4. A rolloff over 0 is the
+    deviation of a Gaussian over frequencies that the stack is faded by in the end.
     """
     patches = patch_parts(frames, picks, references, size, by).groupBy(by, "ap_id", "ax", "ay", "y", "x").agg((F.sum("wv") / F.sum("w")).alias("v"))
-    sigma = 2 * size / 3
+    sigma = 2 * size / 3 if base is None else size / 4
     g = F.exp(-(F.pow(F.col("x") - F.col("ax"), F.lit(2)) + F.pow(F.col("y") - F.col("ay"), F.lit(2))) / (2 * sigma * sigma))
     parts = patches.select(by, "y", "x", (g * F.col("v")).alias("_a"), g.alias("_g"))
     if base is not None:
         parts = parts.unionByName(base.select(by, "y", "x", (1e-3 * F.col("v")).alias("_a"), F.lit(1e-3).alias("_g")))
     blended = parts.groupBy(by, "y", "x").agg(clip01(F.sum("_a") / F.sum("_g")).alias("v"))
     grid = references.select(by, "h", "w", F.explode(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1)).alias("_i")).select(by, F.expr("cast(_i div w as int)").alias("y"), (F.col("_i") % F.col("w")).alias("x"))
-    return grid.join(blended, [by, "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    whole = grid.join(blended, [by, "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    if not rolloff:
+        return whole
+    return pixel_table(with_px(as_frames(whole, by), lambda a: kernels.rolled_off(a, rolloff), (by, "h", "w")), by)
 
 
 def refine(frames: DataFrame, picks: DataFrame, references: DataFrame, size: int, rounds: int, store) -> DataFrame:

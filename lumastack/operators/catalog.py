@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumastack.operators.windows import ranked
+
 # The three file-name conventions (full name; stem; stem) and the planets' abbreviations.
 CANONICAL = r"^(\d{4}-\d{2}-\d{2})-(\d{4}_\d)-[^-]+-([A-Za-z0-9]+)-([A-Za-z]+)_"
 TARGET_FIRST = r"^([A-Za-z][A-Za-z0-9]*)_(\d{4})(\d{2})(\d{2})-(\d{2})(\d{2})(\d{2})"
@@ -131,16 +133,24 @@ def filter_from_name(stem: Column) -> Column:
     return found
 
 
-def pick_reference_file(files: DataFrame, filter_col: str = "filter", name_col: str = "name", forced: str | None = None) -> DataFrame:
-    """The middle file by name of the filter that comes first in IR, R, G, CH4, B, color (or, if forced is in any name, of those)."""
-    from pyspark.sql import Window
+#: The order in which filters serve as reference.
+REFERENCE_ORDER = ("IR", "R", "G", "B", "CH4", "color")
 
-    order = F.array_position(F.array(*[F.lit(f) for f in ("IR", "R", "G", "CH4", "B", "color")]), F.col(filter_col))
-    ranked = files.withColumn("_p", F.when(F.col(name_col).contains(forced), 0).otherwise(F.when(order > 0, order).otherwise(99)) if forced else F.when(order > 0, order).otherwise(99))
-    best = ranked.groupBy("_p").agg(F.count("*").alias("_n")).orderBy("_p").limit(1)
-    first = ranked.join(F.broadcast(best), "_p")  # one row
-    row = F.row_number().over(Window.partitionBy("_p").orderBy(name_col))
-    return first.withColumn("_row", row).where("_row = _n DIV 2 + 1").drop("_p", "_n", "_row")
+
+def pick_reference_file(files: DataFrame, filter_col: str = "filter", name_col: str = "name", forced: str | None = None) -> DataFrame:
+    """The middle file by name of the filter that comes first in REFERENCE_ORDER; with `forced`, of the files whose names hold it in
+    any case (of all, if none does). Files of other filters count only where no filter of the order is there."""
+    if forced:
+        place = F.when(F.upper(name_col).contains(forced.upper()), 0).otherwise(1)
+        held = files.withColumn("_p", place)
+        any_ = held.agg(F.min("_p").alias("_least"))  # one row
+        held = held.join(F.broadcast(any_)).where((F.col("_p") == 0) | (F.col("_least") == 1)).withColumn("_p", F.lit(0)).drop("_least")
+    else:
+        order = F.array_position(F.array(*[F.lit(f) for f in REFERENCE_ORDER]), F.col(filter_col))
+        held = files.withColumn("_p", F.when(order > 0, order).otherwise(99))
+    best = held.groupBy("_p").agg(F.count("*").alias("_n")).orderBy("_p").limit(1).withColumnRenamed("_p", "_q")
+    first = ranked(held.join(F.broadcast(best), F.col("_p") == F.col("_q")), "_p", name_col, name="_row")  # best is one row
+    return first.where("_row = _n DIV 2 + 1").drop("_p", "_q", "_n", "_row")
 
 
 def preflight_counts(captures: DataFrame, window_frames: int, windows: int, filter_col: str = "filter") -> DataFrame:
@@ -149,8 +159,9 @@ def preflight_counts(captures: DataFrame, window_frames: int, windows: int, filt
 
 
 def rank_sink(scores: DataFrame, path: str) -> None:
-    """One folder of CSV for each filter, in order of rank."""
-    scores.repartition("filter").sortWithinPartitions("filter", "rank").write.partitionBy("filter").csv(path, header=True)
+    """A folder of CSV for each filter; its files, taken by name, are in order of rank. A large filter has several files, written by as many tasks."""
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scores.repartitionByRange(parts, "filter", "rank").sortWithinPartitions("filter", "rank").write.partitionBy("filter").csv(path, header=True)
 
 
 def reload(spark, path: str) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumastack.operators import kernels
 
@@ -150,6 +151,37 @@ def ap_scores(frames: DataFrame, aps: list[tuple[int, int]], size: int, keep: tu
     return per_stack(frames, kernel, "scores array<double>", keep).select(*keep, F.posexplode("scores").alias("ap_id", "score"))
 
 
+def log_ap_scores(frames: DataFrame, aps: list[tuple[int, int]], size: int, sigma: float = 3.0, level: float = 0.25, keep: tuple[str, ...] = ("frame_id",)) -> DataFrame:
+    """(kept columns, ap_id, score): the variance of the Laplacian of each blurred patch over its bright pixels (against its peak); 0 with
+    fewer than five of them. Patches must lie inside the frame."""
+    half = size // 2
+
+    def kernel(a, _):
+        out = []
+        for x, y in aps:
+            p = a[:, y - half : y + half, x - half : x + half]
+            p = p / np.where((top := p.max((1, 2), keepdims=True)) > 1e-9, top, 1.0)
+            mask, lap = p > level, kernels.laplacian(kernels.separable(p, kernels.gauss_taps(sigma)))
+            n = np.maximum(mask.sum((1, 2)), 1)
+            mean = (lap * mask).sum((1, 2)) / n
+            out.append(np.where(mask.sum((1, 2)) >= 5, ((lap - mean[:, None, None]) ** 2 * mask).sum((1, 2)) / n, 0.0))
+        return {"scores": np.stack(out, 1)}
+
+    if any(x < half or y < half for x, y in aps):
+        raise ValueError("alignment points must lie at least half a patch inside the frame")
+    return per_stack(frames, kernel, "scores array<double>", keep).select(*keep, F.posexplode("scores").alias("ap_id", "score"))
+
+
+def patch_sharpness(frames: DataFrame, aps: list[tuple[int, int]], size: int, keep: tuple[str, ...] = ("frame_id",)) -> DataFrame:
+    """(kept columns, ap_id, sharpness): the variance of the Laplacian of each patch, mirrored at the patch's own border."""
+    half = size // 2
+
+    def kernel(a, _):
+        return {"s": np.stack([kernels.laplacian(a[:, y - half : y + half, x - half : x + half]).var((1, 2)) for x, y in aps], 1)}
+
+    return per_stack(frames, kernel, "s array<double>", keep).select(*keep, F.posexplode("s").alias("ap_id", "sharpness"))
+
+
 def thresholds(frames: DataFrame) -> DataFrame:
     """Otsu and triangle thresholds (0..255) of each frame stretched to bytes."""
 
@@ -191,25 +223,56 @@ def screen_shape(boxes: DataFrame, padding: int = 1, aspect: float = 0.3, edge:
     return boxes.withColumn("reject", reason).withColumn("cx", F.col("bx") + F.col("bw") / 2).withColumn("cy", F.col("by") + F.col("bh") / 2)
 
 
-def size_gate(boxes: DataFrame, window: int = 20, tolerance: float = 0.2) -> DataFrame:
-    """Adds accepted: once `window` frames of a file are accepted, a frame much smaller than the median of the last accepted ones is rejected and does not count.
+def lit_boxes(frames: DataFrame, level: float, keep: tuple[str, ...] = ("frame_id", "file_id")) -> DataFrame:
+    """The box of the pixels over a level: bx, by, bw, bh and the largest lit part of its four edges; frames without any are left out."""
+
+    def kernel(a, _):
+        rows = []
+        for lit in a > level:
+            if not lit.any():
+                rows.append((None,) * 5)
+                continue
+            ys, xs = np.flatnonzero(lit.any(1)), np.flatnonzero(lit.any(0))
+            roi = lit[ys[0] : ys[-1] + 1, xs[0] : xs[-1] + 1]
+            rows.append((int(xs[0]), int(ys[0]), roi.shape[1], roi.shape[0], float(max(roi[0].mean(), roi[-1].mean(), roi[:, 0].mean(), roi[:, -1].mean()))))
+        return {k: [r[i] for r in rows] for i, k in enumerate(("bx", "by", "bw", "bh", "edge"))}
+
+    return per_stack(frames, kernel, "bx int, by int, bw int, bh int, edge double", (*keep, "h", "w")).where("bx IS NOT NULL")
+
 
-    The rule feeds back, so a file is taken in order of frame_idx by one task; only sizes are sent, sorted by Spark, and only
-    the last `window` accepted ones are held.
+@dataclass
+class SizeGate:
+    """The sizes accepted last, and whether a frame is: once `start` frames are accepted, one smaller than the median of the last
+    `window` accepted ones by more than the tolerance is rejected, and does not count."""
+
+    window: int = 100
+    tolerance: float = 0.05
+    start: int = 20
+    ws: list = field(default_factory=list)
+    hs: list = field(default_factory=list)
+
+    def accepts(self, w: float, h: float) -> bool:
+        if len(self.ws) >= self.start and (w < np.median(self.ws) * (1 - self.tolerance) or h < np.median(self.hs) * (1 - self.tolerance)):
+            return False
+        self.ws, self.hs = [*self.ws, float(w)][-self.window :], [*self.hs, float(h)][-self.window :]
+        return True
+
+
+def size_gate(boxes: DataFrame, window: int = 100, tolerance: float = 0.05, start: int = 20) -> DataFrame:
+    """(file_id, frame_idx, accepted) by SizeGate, each file in order of frame_idx.
+
+    The rule feeds back, so a file is taken in order by one task; only sizes are sent, sorted by Spark, and only the last
+    `window` accepted ones are held.
     """
 
     def gate(parts):
-        key, ws, hs = object(), deque(maxlen=window), deque(maxlen=window)
+        key, own = object(), None
         for pdf in parts:
             flags = []
             for file, w, h in zip(pdf["file_id"], pdf["bw"], pdf["bh"], strict=True):
-                if file != key and not (file != file and key != key):  # null is one file
-                    key, ws, hs = file, deque(maxlen=window), deque(maxlen=window)
-                ok = len(ws) < window or (w >= np.median(ws) * (1 - tolerance) and h >= np.median(hs) * (1 - tolerance))
-                if ok:
-                    ws.append(w)
-                    hs.append(h)
-                flags.append(bool(ok))
+                if own is None or file != key and not (file != file and key != key):  # null is one file
+                    key, own = file, SizeGate(window, tolerance, start)
+                flags.append(own.accepts(w, h))
             yield pdf[["file_id", "frame_idx"]].assign(accepted=flags)
 
     sizes = boxes.select("file_id", "frame_idx", "bw", "bh")
@@ -260,7 +323,8 @@ def disk_ellipse(frames: DataFrame, margin: float = 0.1) -> DataFrame:
 
 
 def shifts_to(frames: DataFrame, reference: list[list[float]], method: str = "phase", confidence: float = 0.0, most: float = 20.0) -> DataFrame:
-    """(frame_id, dx, dy, conf, ok): by how much each frame is displaced against the reference frame, and whether that is trusted.
+    """(frame_id, dx, dy, conf, ok): by how much each frame is displaced against the reference frame, and whether that is trusted:
+    enough confidence, and neither component over `most`. Method `phase` or `ncc`.
 
     The reference is one frame, sent with the job.
     """
@@ -275,6 +339,16 @@ def shifts_to(frames: DataFrame, reference: list[list[float]], method: str = "ph
     return found.withColumn("ok", (F.col("conf") >= confidence) & (F.greatest(F.abs("dx"), F.abs("dy")) <= most))
 
 
+def phase_qsf_shifts(frames: DataFrame, reference: list[list[float]], confidence: float = 0.15, most: float = 20.0) -> DataFrame:
+    """(frame_id, dx, dy, conf): phase correlation gated by its confidence, refined between pixels by a quadratic; rejected shifts are null with confidence 0.
+
+    The sign is that of the other shifts: the displacement of the frame.
+    """
+    found = shifts_to(frames, reference, "phase", confidence, most)
+    ok = F.col("ok")
+    return found.select("frame_id", F.when(ok, F.col("dx")).alias("dx"), F.when(ok, F.col("dy")).alias("dy"), F.when(ok, F.col("conf")).otherwise(0.0).alias("conf"))
+
+
 def shift_frames(frames: DataFrame, border: str = "edge") -> DataFrame:
     """Frames (with columns dx, dy) moved back by their displacement."""
 
@@ -298,40 +372,88 @@ def derotate_frames(frames: DataFrame, cx: float, cy: float, radius: float, rati
     return per_stack(frames, kernel, "h int, w int, px array<double>", keep)
 
 
-def fourier_stack(frames: DataFrame, by: str = "filter", power: float = 1.0) -> DataFrame:
-    """Frames of each group combined by frequency: the mean of spectra weighted by magnitude to a power, then one inverse transform.
+#: Frequencies that one row of partial spectra has at most.
+FREQUENCIES = 16_384
 
-    Spectra of a batch are summed before they are sent, one row for each batch, group and shape; the last step has one
-    row for each task and group.
+
+def spectra_floor(frames: DataFrame, by: str) -> DataFrame:
+    """(by, h, w, floor): the mean magnitude by frequency of the frames given (those of the noise floor), one row a group."""
+    sums = spectral_sums(frames.withColumn("_q", F.lit(1.0)), by, 1.0, None)
+    mean = sums.select(by, "h", "w", "block", F.transform("mag", lambda m: m / F.col("n")).alias("m"))
+    return mean.groupBy(by, "h", "w").agg(F.flatten(F.array_sort(F.collect_list(F.struct("block", "m")))["m"]).alias("floor"))
+
+
+def spectral_sums(frames: DataFrame, by: str, power: float, floors: DataFrame | None) -> DataFrame:
+    """(by, h, w, block, n, re, im, wt, mag, mag2): sums over each group's frames of weighted spectra, weights, magnitudes and their squares.
+
+    Tasks add up their own frames (64 groups at a time) and send blocks of FREQUENCIES; a group costs a row for each task
+    and block, added up block by block.
     """
-    rows = frames.select(by, "h", "w", F.col("px").cast("array<double>").alias("px"))
-    kind = rows.schema[by]
+    rows = frames.select(by, "h", "w", F.col("px").cast("array<double>").alias("px"), F.col("_q").cast("double").alias("_q")).where((F.size("px") == F.col("h") * F.col("w")) & (F.col("h") > 0))
+    rows = rows.join(floors, [by, "h", "w"], "left") if floors is not None else rows.withColumn("floor", F.lit(None).cast("array<double>"))
+    names = ("re", "im", "wt", "mag", "mag2")
+    schema = T.StructType([rows.schema[by], *T._parse_datatype_string("h int, w int, block int, n bigint, " + ", ".join(f"{k} array<double>" for k in names)).fields])
+
+    def told(held: dict) -> Iterator[pa.RecordBatch]:
+        for (key, h, w), (n, sums) in held.items():
+            starts = range(0, h * w, FREQUENCIES)
+            data = {by: [key] * len(starts), "h": [h] * len(starts), "w": [w] * len(starts), "block": list(range(len(starts))), "n": [n] * len(starts)}
+            data |= {k: [s[i : i + FREQUENCIES] for i in starts] for k, s in zip(names, sums, strict=True)}
+            yield pa.RecordBatch.from_pydict(data, schema=to_arrow_schema(schema))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
-            for key, h, w, px in zip(*(batch.column(c).to_pylist() for c in (by, "h", "w", "px")), strict=True):
-                spectrum = np.fft.fft2(np.array(px).reshape(h, w))
-                weight = np.abs(spectrum) ** power
-                total = held.setdefault((key, h, w), [0, 0])
-                total[0], total[1] = total[0] + weight * spectrum, total[1] + weight
-        for (key, h, w), (s, weight) in held.items():
-            yield pa.RecordBatch.from_pydict({by: [key], "h": pa.array([h], pa.int32()), "w": pa.array([w], pa.int32()), "re": [s.real.ravel()], "im": [s.imag.ravel()], "wt": [weight.ravel()]})
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in (by, "h", "w")), strict=True)):
+                f = np.fft.fft2(batch.column("px")[i].values.to_numpy(zero_copy_only=False).reshape(key[1:])).ravel()
+                mag = np.abs(f)
+                floor = batch.column("floor")[i]
+                left = np.maximum(mag - floor.values.to_numpy(zero_copy_only=False), 0) if floor.is_valid else mag
+                wt = max(batch.column("_q")[i].as_py(), 1e-9) * left**power
+                if key not in held and len(held) >= 64:
+                    yield from told(held)
+                    held = {}
+                n, sums = held.get(key, (0, 0))
+                held[key] = (n + 1, sums + np.stack((wt * f.real, wt * f.imag, wt, mag, mag * mag)))
+        yield from told(held)
+
+    def add(pdf):
+        first = pdf.iloc[:1].copy()
+        first["n"] = pdf["n"].sum()
+        for k in names:
+            first[k] = [np.sum(np.stack(pdf[k].to_numpy()), 0)]
+        return first
+
+    return rows.mapInArrow(partial, schema).groupBy(by, "h", "w", "block").applyInPandas(add, schema)
+
+
+def fourier_stack(frames: DataFrame, by: str = "filter", power: float = 1.0, weight: Column | None = None, floors: DataFrame | None = None, snr: float = 0.0, rolloff: float = 0.0) -> DataFrame:
+    """(by, h, w, px): frames of each group combined by frequency: the mean of spectra weighted by magnitude to a power, then one inverse transform.
+
+    weight: a factor for each frame (a score to a power). floors (by, h, w, floor): magnitudes taken off before weighting.
+    snr: if over 0, frequencies are masked by tanh of their mean magnitude over its deviation and over snr. rolloff: if over
+    0, the deviation of a Gaussian over frequencies. Frames whose px does not fit are left out.
+    """
+    sums = spectral_sums(frames.withColumn("_q", F.lit(1.0) if weight is None else weight), by, power, floors)
+    each = F.arrays_zip("re", "im", "wt", "mag", "mag2")
 
-    def final(pdf):
-        import pandas as pd
+    def masked(part: str):
+        def value(s):
+            mean, mean2 = s["mag"] / F.col("n"), s["mag2"] / F.col("n")
+            mask = F.tanh(mean / (F.sqrt(F.greatest(F.lit(0.0), mean2 - mean * mean)) + 1e-9) / snr) if snr else F.lit(1.0)
+            return F.when(s["wt"] > 1e-12, s[part] / s["wt"] * mask).otherwise(0.0)
 
-        out = []
-        for (h, w), g in pdf.groupby(["h", "w"]):
-            s = sum(np.array(r) for r in g["re"]) + 1j * sum(np.array(r) for r in g["im"])
-            weight = sum(np.array(r) for r in g["wt"])
-            px = np.real(np.fft.ifft2((s / np.maximum(weight, 1e-12)).reshape(h, w)))
-            out.append({by: pdf[by].iloc[0], "h": h, "w": w, "px": np.clip(px, 0, 1).ravel()})
-        return pd.DataFrame(out)
-
-    schema = T.StructType([kind, *T._parse_datatype_string("h int, w int, re array<double>, im array<double>, wt array<double>").fields])
-    result = T.StructType([kind, *T._parse_datatype_string("h int, w int, px array<double>").fields])
-    return rows.mapInArrow(partial, schema).groupBy(by).applyInPandas(final, result)
+        return F.transform(each, value)
+
+    blocks = sums.select(by, "h", "w", F.struct("block", masked("re").alias("re"), masked("im").alias("im")).alias("b"))
+    whole = blocks.groupBy(by, "h", "w").agg(F.array_sort(F.collect_list("b")).alias("b")).select(by, "h", "w", F.flatten("b.re").alias("px"), F.flatten("b.im").alias("im"))
+
+    def back(a, rows):
+        f = a + 1j * rows.column("im").flatten().to_numpy(zero_copy_only=False).reshape(a.shape)
+        f = f * kernels.rolloff(*a.shape[1:], rolloff) if rolloff else f
+        return {"px": np.clip(np.real(np.fft.ifft2(f)), 0, 1)}
+
+    return per_stack(whole, back, "px array<double>", (by, "h", "w", "im")).select(by, "h", "w", "px")
 
 
 def poisson_grid(frames: DataFrame, size: int, part: float) -> DataFrame:

@@ -150,8 +150,8 @@ def cubic(t: np.ndarray, a: float = -0.75) -> np.ndarray:
     return np.where(t <= 1, near, np.where(t < 2, far, 0.0))
 
 
-def remap(frame: np.ndarray, sx: np.ndarray, sy: np.ndarray, border: str = "mirror") -> np.ndarray:
-    """One frame fetched at places (sx, sy) by cubic convolution; border `mirror`, `edge` or `zero`."""
+def remap(frame: np.ndarray, sx: np.ndarray, sy: np.ndarray, border: str = "mirror", clip: bool = True) -> np.ndarray:
+    """One frame fetched at places (sx, sy) by cubic convolution; border `mirror`, `edge` or `zero`; clipped to 0..1 unless told otherwise."""
     h, w = frame.shape
     fx, fy = np.floor(sx).astype(int), np.floor(sy).astype(int)
     out = np.zeros(sx.shape)
@@ -164,7 +164,29 @@ def remap(frame: np.ndarray, sx: np.ndarray, sy: np.ndarray, border: str = "mirr
             if border == "mirror":
                 x, y = (np.where((p := np.abs(q) % max(1, 2 * n - 2)) < n, p, 2 * n - 2 - p) for q, n in ((x, w), (y, h)))
             out += weight * frame[np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)]
-    return np.clip(out, 0, 1)
+    return np.clip(out, 0, 1) if clip else out
+
+
+def remap_linear(frame: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> np.ndarray:
+    """One frame fetched at places (sx, sy) by linear interpolation; zero outside."""
+    h, w = frame.shape
+    padded = np.pad(frame, 1)
+    x, y = np.clip(sx + 1, 0, w + 1), np.clip(sy + 1, 0, h + 1)
+    ix, iy = np.minimum(x.astype(int), w), np.minimum(y.astype(int), h)
+    tx, ty = x - ix, y - iy
+    top = (1 - tx) * padded[iy, ix] + tx * padded[iy, ix + 1]
+    return (1 - ty) * top + ty * ((1 - tx) * padded[iy + 1, ix] + tx * padded[iy + 1, ix + 1])
+
+
+def rolloff(h: int, w: int, sigma: float) -> np.ndarray:
+    """A Gaussian over frequencies (cycles a pixel), in the order of the transform."""
+    f2 = np.fft.fftfreq(h)[:, None] ** 2 + np.fft.fftfreq(w)[None, :] ** 2
+    return np.exp(-f2 / (2 * sigma * sigma))
+
+
+def rolled_off(a: np.ndarray, sigma: float) -> np.ndarray:
+    """Frames with high frequencies faded out, clipped to 0..1."""
+    return np.clip(np.real(np.fft.ifft2(np.fft.fft2(a) * rolloff(*a.shape[1:], sigma))), 0, 1)
 
 
 def shift(frame: np.ndarray, dx: float, dy: float, border: str = "edge") -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumastack.operators.windows import seconds
+from lumastack.operators.windows import in_order, seconds
 
 
 def cycle_bins(captures: DataFrame, minutes: float, required: list[str] | None = None, origin: Column | None = None) -> DataFrame:
@@ -32,13 +32,10 @@ def cycle_bins(captures: DataFrame, minutes: float, required: list[str] | None =
 def cycle_islands(cycles: DataFrame, minutes: float) -> DataFrame:
     """Distinct cycles in time order with position and island: a new island starts where the gap exceeds two cycles.
 
-    Positions and islands run over the whole series. The rows are one for each cycle, without captures, and the windows
-    that order them see nothing else.
+    Positions and islands run over the whole series, by ranges of time (windows.in_order).
     """
-    one = cycles.select("cycle_id", "center_s").distinct()
-    by = Window.orderBy("center_s")
-    gap = F.coalesce(F.col("center_s") - F.lag("center_s").over(by) > 2 * minutes * 60, F.lit(False))
-    return one.withColumn("_gap", gap.cast("int")).withColumn("island", F.sum("_gap").over(by)).withColumn("position", F.row_number().over(by)).drop("_gap")
+    one = in_order(cycles.select("cycle_id", "center_s").distinct(), "center_s", 2 * minutes * 60)
+    return one.select("cycle_id", "center_s", F.col("_island").alias("island"), F.col("_place").alias("position"))
 
 
 def neighbourhoods(islands: DataFrame, n: int) -> DataFrame:
@@ -88,17 +85,26 @@ def series_scale(v: Column, k: float = 0.8) -> Column:
 
 
 def color_bins(captures: DataFrame, minutes: float) -> DataFrame:
-    """(bin, position, center_ts, n): bins that have captures, numbered without gaps; the centre is the middle capture's time."""
+    """(bin, center_ts, n, position): bins that have captures, numbered without gaps by ranges; the centre is the middle capture's time."""
     width = minutes * 60.0
     timed = captures.withColumn("_s", seconds(F.col("ts")))
     timed = timed.join(F.broadcast(timed.agg(F.min("_s").alias("_t0")))).withColumn("bin", F.floor((F.col("_s") - F.col("_t0")) / width))
     row = F.row_number().over(Window.partitionBy("bin").orderBy("ts", "stem"))
     counted = timed.groupBy("bin").agg(F.count("*").alias("n"))
     middle = timed.withColumn("_row", row).join(counted, "bin").where("_row = n DIV 2 + 1").select("bin", F.col("ts").alias("center_ts"), "n")
-    return middle.withColumn("position", F.row_number().over(Window.orderBy("bin")))
+    return in_order(middle, "bin").select("bin", "center_ts", "n", F.col("_place").alias("position"))
 
 
 def nearest_frame(frames: DataFrame, centers: DataFrame, by: list[str]) -> DataFrame:
     """For each row of centers (by columns, center_s) the frame of its group nearest in time; the earlier wins ties."""
     gap = F.abs(seconds(F.col("ts")) - F.col("center_s"))
     return frames.join(centers, by).groupBy(*by).agg(F.min_by("stem", F.struct(gap, F.col("ts"), F.col("stem"))).alias("stem"))
+
+
+def luminance_match(composites: DataFrame, by: list[str]) -> DataFrame:
+    """Composites (R, G, B by pixel) scaled to the mean brightness of all: frames under 1e-6 stay as they are. The goal is one row."""
+    own = composites.groupBy(*by).agg(F.avg((F.col("R") + F.col("G") + F.col("B")) / 3).alias("_m"))
+    goal = own.agg(F.avg("_m").alias("_goal"))
+    scale = F.when(F.col("_m") > 1e-6, F.col("_goal") / F.col("_m")).otherwise(1.0)
+    rows = composites.join(own.crossJoin(F.broadcast(goal)).select(*by, scale.alias("_s")), by)
+    return rows.select(*by, "y", "x", *[F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) * F.col("_s"))).alias(c) for c in "RGB"])

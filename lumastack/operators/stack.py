@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumastack.operators.windows import ranked
+
 
 def clip01(v: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
@@ -51,45 +53,52 @@ def disk_median(pixels: DataFrame, by: list[str]) -> DataFrame:
     return middle.join(mean, by).where(F.col("v") > 0.3 * F.col("_m")).groupBy(*by).agg(F.percentile("v", F.lit(0.5)).alias("median"))
 
 
-def brightness_match(pixels: DataFrame, reference: Column, by: str) -> DataFrame:
-    """Adds out: each frame scaled to the disk median of its group's reference frame (where `reference` holds), which stays as it is; groups with a dark reference stay too."""
-    medians = disk_median(pixels, ["frame_id"])
-    ref = pixels.where(reference).select(by, "frame_id").distinct().groupBy(by).agg(F.min("frame_id").alias("ref_id"))
-    target = ref.join(medians.withColumnRenamed("frame_id", "ref_id").withColumnRenamed("median", "_t"), "ref_id")
-    rows = pixels.join(medians, "frame_id", "left").join(target, by, "left")
-    same = (F.col("frame_id") == F.col("ref_id")) | F.coalesce(F.col("_t") < 1e-6, F.lit(True)) | F.coalesce(F.col("median") < 1e-6, F.lit(True))
-    return rows.withColumn("out", F.when(same, F.col("v")).otherwise(clip01(F.col("v") * F.col("_t") / F.col("median")))).drop("median", "_t", "ref_id")
+def brightness_match(frames: DataFrame, reference: Column, by: str) -> DataFrame:
+    """Frames scaled to the disk median of their group's reference frame (the first where `reference` holds), which stays as it is;
+    groups with a dark reference stay too, as do dark frames. Frames are measured and scaled whole; only numbers are joined."""
+    level = F.array_compact(F.transform("px", lambda v, i: F.when(_middle(i), v)))
+    lit = F.transform(F.array(level), lambda m: F.array_sort(F.filter(m, lambda v: v > 0.3 * F.aggregate(m, F.lit(0.0), lambda a, v: a + v) / F.size(m))))[0]
+    median = F.transform(F.array(lit), lambda m: (F.get(m, F.expr("0") + F.floor((F.size(m) - 1) / 2).cast("int")) + F.get(m, F.floor(F.size(m) / 2).cast("int"))) / 2)[0]
+    measured = frames.select("frame_id", by, reference.alias("_ref"), median.alias("_m"))
+    target = measured.where("_ref").groupBy(by).agg(F.min(F.struct("frame_id", "_m")).alias("_t")).select(by, F.col("_t.frame_id").alias("_ref_id"), F.col("_t._m").alias("_goal"))
+    scale = measured.join(target, by, "left").select(F.col("frame_id").alias("_id"), F.when((F.col("frame_id") == F.col("_ref_id")) | F.coalesce(F.col("_goal") < 1e-6, F.lit(True)) | F.coalesce(F.col("_m") < 1e-6, F.lit(True)), F.lit(None)).otherwise(F.col("_goal") / F.col("_m")).alias("_scale"))
+    rows = frames.join(scale, F.col("frame_id") == F.col("_id"))
+    return rows.withColumn("px", F.when(F.col("_scale").isNull(), F.col("px")).otherwise(F.transform("px", lambda v: clip01(v * F.col("_scale"))))).drop("_id", "_scale")
+
+
+def _middle(i: Column) -> Column:
+    """Whether the i-th pixel lies in the central half of the frame in both directions."""
+    h, w = F.col("h"), F.col("w")
+    y, x = F.floor(i / w), i % w
+    return (y >= h / 4) & (y < h * 3 / 4) & (x >= w / 4) & (x < w * 3 / 4)
 
 
 def select_top(scores: DataFrame, by: str, part: float, least: int, score: str = "score", order: str = "frame_id") -> DataFrame:
-    """The best part of each file's frames, at least `least`, with their place from 1; ties to the later frame."""
+    """The best part of each file's frames, at least `least`, with their place from 1; ties to the later frame. Files of any size (ranked)."""
     n = scores.groupBy(by).agg(F.count("*").alias("_n"))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), F.desc(order)))
     wanted = F.least(F.greatest(F.lit(least), F.floor(F.col("_n") * part).cast("int")), F.col("_n"))
-    return scores.withColumn("place", place).join(n, by).where(F.col("place") <= wanted).drop("_n")
+    return ranked(scores, by, F.desc(score), F.desc(order), name="place").join(n, by).where(F.col("place") <= wanted).drop("_n")
 
 
 def reference_band(scores: DataFrame, by: str, n: int, midpoint: float = 0.75, score: str = "score", order: str = "frame_id") -> DataFrame:
-    """n frames of each file around a quantile of quality (ascending), moved in where they would reach over an end."""
+    """n frames of each file around a quantile of quality (ascending; place from 0), moved in where they would reach over an end."""
     total = scores.groupBy(by).agg(F.count("*").alias("_n"))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(score, order)) - 1
     first = F.greatest(F.lit(0), F.least(F.floor(F.col("_n") * midpoint).cast("int") - n // 2, F.col("_n") - n))
-    return scores.withColumn("place", place).join(total, by).where((F.col("place") >= first) & (F.col("place") < first + n)).drop("_n")
+    placed = ranked(scores, by, score, order, name="place").withColumn("place", F.col("place") - 1)
+    return placed.join(total, by).where((F.col("place") >= first) & (F.col("place") < first + n)).drop("_n")
 
 
 def noise_floor_frames(scores: DataFrame, chosen: DataFrame, by: str, part: float = 0.25, score: str = "score", order: str = "frame_id") -> DataFrame:
     """The worst part of each file's frames, without those chosen."""
     n = scores.groupBy(by).agg(F.count("*").alias("_n"))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(score, order))
-    worst = scores.withColumn("_p", place).join(n, by).where(F.col("_p") <= F.floor(F.col("_n") * part)).drop("_p", "_n")
+    worst = ranked(scores, by, score, order, name="_p").join(n, by).where(F.col("_p") <= F.floor(F.col("_n") * part)).drop("_p", "_n")
     return worst.join(chosen.select(by, order), [by, order], "left_anti")
 
 
 def per_ap_top(scores: DataFrame, by: list[str], part: float, order: str = "frame_id") -> DataFrame:
-    """The best frames of each alignment point: the part of them, three at least."""
+    """The best frames of each alignment point: the part of them, three at least. Points are few, so they are ranked by ranges (ranked)."""
     n = scores.groupBy(*by).agg(F.count("*").alias("_n"))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), order))
-    return scores.withColumn("place", place).join(n, by).where(F.col("place") <= F.greatest(F.lit(3), F.floor(F.col("_n") * part))).drop("_n")
+    return ranked(scores, by, F.desc("score"), order, name="place").join(n, by).where(F.col("place") <= F.greatest(F.lit(3), F.floor(F.col("_n") * part))).drop("_n")
 
 
 def ap_grid(patches: DataFrame, step: int, size: int, h: int, w: int, least_std: float, least_of_peak: float) -> DataFrame:
@@ -123,9 +132,13 @@ def warp_field(points: DataFrame, h: int, w: int, sigma: float) -> DataFrame:
     return field.join(top, "frame_id").select("frame_id", "y", "x", F.when(sure, F.try_divide("_x", "_w")).otherwise(0.0).alias("dx"), F.when(sure, F.try_divide("_y", "_w")).otherwise(0.0).alias("dy"))
 
 
-def derotation_field(x: Column, y: Column, cx: float, cy: float, radius: float, ratio: float, delta: Column, pole: Column, scale: float = 0.8) -> Column:
-    """STRUCT(dx, dy): the drift of an oblate disk that has turned by delta degrees, along the pole's direction."""
-    depth2 = F.lit((1.05 * radius) ** 2) - F.pow(x - cx, F.lit(2)) - F.pow((y - cy) / ratio, F.lit(2))
+def derotation_field(x: Column, y: Column, cx: float, cy: float, radius: float, ratio: float, delta: Column, pole: Column, scale: float = 0.8, tilted: bool = False) -> Column:
+    """STRUCT(dx, dy): the drift of an oblate disk that has turned by delta degrees, along the pole's direction; if tilted, the flattening turns with the pole too."""
+    rx, ry = x - cx, y - cy
+    if tilted:
+        c, s = F.cos(F.radians(pole)), F.sin(F.radians(pole))
+        rx, ry = rx * c + ry * s, ry * c - rx * s
+    depth2 = F.lit((1.05 * radius) ** 2) - F.pow(rx, F.lit(2)) - F.pow(ry / ratio, F.lit(2))
     drift = scale * F.radians(delta) * F.sqrt(F.greatest(F.lit(0.0), depth2))
     return F.struct((drift * F.cos(F.radians(pole))).alias("dx"), (drift * F.sin(F.radians(pole))).alias("dy"))
 

@@ -30,19 +30,39 @@ def norm_scores(scores: DataFrame, score_col: str = "raw_score", by: str = "filt
     return scores.join(span, by).withColumn("norm_score", (F.col(score_col) - F.col("_lo")) / width).drop("_lo", "_hi")
 
 
-def ranked(rows: DataFrame, by: str, *order: Column | str) -> DataFrame:
-    """Adds rank from 1 within each value of `by`, for groups of any size.
+def ranked(rows: DataFrame, by: str | list[str], *order: Column | str, name: str = "rank") -> DataFrame:
+    """Adds rank from 1 within each value of `by` (a column or several), for groups of any size; null is a value.
 
     Rows are dealt by ranges of (by, order) and stored with their part; a row's rank is its place in its part plus the
     group's rows in earlier parts, which are counted first. So a group that holds most rows is ranked by all tasks.
     """
+    by = [by] if isinstance(by, str) else by
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialise(rows.repartitionByRange(parts, by, *order).withColumn("_part", F.spark_partition_id()))
-    counts = dealt.groupBy(by, "_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(by, "_part", before.alias("_before"))
-    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_part", by).orderBy(*order)))
-    return own.join(starts, [by, "_part"]).withColumn("rank", (F.col("_own") + F.col("_before")).cast("int")).drop("_part", "_own", "_before")
+    dealt = materialise(rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.struct(*by).alias("_group"), F.col("_part").alias("_of"), before.alias("_before"))
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)))
+    joined = own.join(starts, (F.col("_part") == F.col("_of")) & F.struct(*by).eqNullSafe(F.col("_group")))
+    return joined.withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_part", "_own", "_before", "_group", "_of")
+
+
+def in_order(rows: DataFrame, order: str, gap: float = float("inf")) -> DataFrame:
+    """Adds _place (from 1) and _island (from 0; a new one starts after a step of more than `gap`) over all rows in order of a number.
+
+    Rows are dealt by ranges and stored with their part, so no task has them all. Parts pass on their last value, their rows
+    and their gaps; windows over all see a row for each part.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
+    earlier, own = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_part").orderBy(order)
+    ends = dealt.groupBy("_part").agg(F.max(order).alias("_end")).select("_part", F.max("_end").over(earlier).alias("_last"))
+    step = F.col(order) - F.coalesce(F.lag(order).over(own), F.col("_last"))
+    flagged = dealt.join(ends, "_part").withColumn("_gap", F.coalesce(step > gap, F.lit(False)).cast("bigint")).drop("_last")
+    sums = flagged.groupBy("_part").agg(F.count("*").alias("_n"), F.sum("_gap").alias("_g"))
+    sums = sums.select("_part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before{c}") for c in ("_n", "_g")])
+    place = (F.row_number().over(own) + F.col("_before_n")).cast("int")
+    return flagged.join(sums, "_part").withColumn("_place", place).withColumn("_island", F.sum("_gap").over(own) + F.col("_before_g")).drop("_part", "_gap", "_before_n", "_before_g")
 
 
 def percentiles(rows: DataFrame, by: str, value: str, **at: float) -> DataFrame:

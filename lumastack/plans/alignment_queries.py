@@ -51,7 +51,7 @@ def reference_frame(spark, sf):
 
 @query()
 def per_ap_patch_stack(spark, sf):
-    return alignment.per_ap_patch_stack(frames(spark, sf), picks(spark, sf), references(spark, sf), SIZE)
+    return alignment.per_ap_patch_stack(frames(spark, sf), picks(spark, sf), references(spark, sf), SIZE, rolloff=0.2)
 
 
 @query()

@@ -86,6 +86,17 @@ def pick_reference_file(spark, sf):
     return catalog.pick_reference_file(catalog.capture_catalog(paths(spark, sf)).select("filter", F.col("stem").alias("name")))
 
 
+@query(META_SQL + """, f AS (SELECT coalesce(f0, 'color') AS filter, stem AS name FROM meta), a AS (SELECT 'late' AS pick, filter, name FROM f WHERE filter IN ('B', 'CH4', 'color') UNION ALL SELECT 'forced', filter, name FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY pick ORDER BY name) AS r, count(*) OVER (PARTITION BY pick) AS n FROM a WHERE CASE pick WHEN 'late' THEN filter = 'B' ELSE contains(upper(name), 'AP47') END)
+SELECT pick, filter, name FROM r WHERE r = n // 2 + 1""")
+def pick_reference_late(spark, sf):
+    """The reference where IR, R and G are missing, and with a forced name in another case."""
+    files = catalog.capture_catalog(paths(spark, sf)).select("filter", F.col("stem").alias("name"))
+    late = catalog.pick_reference_file(files.where(F.col("filter").isin("B", "CH4", "color")))
+    forced = catalog.pick_reference_file(files, forced="Ap47")
+    return late.select(F.lit("late").alias("pick"), "filter", "name").unionByName(forced.select(F.lit("forced").alias("pick"), "filter", "name"))
+
+
 @query(f"WITH {CAPTURES_SQL} SELECT filter, count(*) AS n, count(*) >= 12 AS feasible FROM captures GROUP BY filter")
 def preflight_counts(spark, sf):
     return catalog.preflight_counts(captures(spark, sf), 4, 3)
@@ -338,7 +349,8 @@ def stream_cycle_counts(spark, sf):
 @query(f"""WITH {CAPTURES_SQL}, g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY filter ORDER BY s) > 3600 THEN 1 ELSE 0 END AS gap FROM captures), i AS (SELECT *, sum(gap) OVER (PARTITION BY filter ORDER BY s) AS island FROM g)
 SELECT filter, CAST(floor(epoch(min(ts))) AS BIGINT) AS first_s, count(*) AS n FROM i GROUP BY filter, island""")
 def stream_islands(spark, sf):
-    from lumastack.streaming.streams import islands
+    from lumastack.streaming.streams import islands, run_to_end, table_stream
 
-    rows = captures(spark, sf).select("ts", "filter")
-    return islands(rows, SERIES_MINUTES).select("filter", F.floor(F.unix_timestamp(F.col("start"))).alias("first_s"), "n")
+    kinds = F.create_map(*[F.lit(x) for pair in FILTERS.items() for x in pair])
+    rows = table_stream(spark, sf, "events").select("ts", kinds[F.col("event_type")].alias("filter"))
+    return run_to_end(islands(rows, SERIES_MINUTES), "complete").select("filter", F.floor(F.unix_timestamp(F.col("start"))).alias("first_s"), "n")

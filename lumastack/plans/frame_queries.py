@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumastack.operators import composite, kernels, series, stack
+from lumastack.operators import composite, derotate, kernels, series, stack
 from lumastack.operators import frames as fr
-from lumastack.plans.proxies import FRAMES_SQL, PIXELS_SQL, SIDE, frames, pixels
+from lumastack.operators.windows import seconds
+from lumastack.plans.proxies import FRAMES_SQL, PIXELS_SQL, SIDE, frames, frames_of, pixels
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -122,9 +123,34 @@ def screen_stats(spark, sf):
     return fr.screen_stats(fr.screen_shape(boxes(spark, sf))).withColumn("file_id", F.col("file_id").cast("string"))
 
 
-@query()
+SIZE_GATE_SQL = f"""WITH RECURSIVE {BOX_SQL}, o AS (SELECT file_id, frame_id, CAST(bw AS DOUBLE) AS bw, CAST(bh AS DOUBLE) AS bh, row_number() OVER (PARTITION BY file_id ORDER BY frame_id) AS i FROM box),
+s AS (SELECT file_id, frame_id, i, [bw] AS ws, [bh] AS hs, true AS accepted FROM o WHERE i = 1
+ UNION ALL SELECT file_id, nxt, i + 1, CASE WHEN g THEN list_append(ws, bw)[-100:] ELSE ws END, CASE WHEN g THEN list_append(hs, bh)[-100:] ELSE hs END, g
+ FROM (SELECT s.file_id, s.i, s.ws, s.hs, o.frame_id AS nxt, o.bw, o.bh, len(s.ws) < 20 OR (o.bw >= list_aggregate(s.ws, 'median') * 0.95 AND o.bh >= list_aggregate(s.hs, 'median') * 0.95) AS g FROM s JOIN o ON o.file_id = s.file_id AND o.i = s.i + 1))
+SELECT file_id, frame_id AS frame_idx, accepted FROM s"""
+
+
+@query(SIZE_GATE_SQL)
 def size_gate(spark, sf):
-    return fr.size_gate(boxes(spark, sf).withColumn("frame_idx", F.col("frame_id")))
+    return fr.size_gate(fr.lit_boxes(frames(spark, sf), 0.62).withColumn("frame_idx", F.col("frame_id")))
+
+
+@query(SIZE_GATE_SQL)
+def stream_size_gate(spark, sf):
+    from lumastack.streaming.streams import run_to_end, size_gate_stream, table_stream
+
+    sizes = fr.lit_boxes(frames_of(table_stream(spark, sf, "embeddings")), 0.62).withColumn("frame_idx", F.col("frame_id"))
+    return run_to_end(size_gate_stream(sizes.select("file_id", "frame_idx", "bw", "bh")), "append")
+
+
+EDGE_SQL = PIXELS_SQL + """, lit AS (SELECT frame_id, y, x FROM pixels WHERE v > 0.55), box AS (SELECT frame_id, min(x) AS bx, min(y) AS bby, max(x) AS rx, max(y) AS ry FROM lit GROUP BY frame_id),
+e AS (SELECT frame_id, bx, bby, rx - bx + 1 AS bw, ry - bby + 1 AS bh, greatest(count(*) FILTER (y = bby) / (rx - bx + 1), count(*) FILTER (y = ry) / (rx - bx + 1), count(*) FILTER (x = bx) / (ry - bby + 1), count(*) FILTER (x = rx) / (ry - bby + 1)) AS edge FROM lit JOIN box USING (frame_id) GROUP BY frame_id, bx, bby, rx, ry)"""
+
+
+@query(f"WITH {EDGE_SQL} SELECT frame_id, edge, CASE WHEN bx < 0 OR bby < 0 OR bx + bw > 8 OR bby + bh > 8 THEN 'border' WHEN least(bw, bh) / greatest(bw, bh) < 0.3 THEN 'aspect' WHEN edge > 0.5 THEN 'edge' WHEN greatest(bw, bh) < 6 THEN 'small' END AS reject FROM e")
+def screen_edges(spark, sf):
+    """The straight-edge rule on measured boxes, which reach the border in most of the given frames, so no padding is asked."""
+    return fr.screen_shape(fr.lit_boxes(frames(spark, sf), 0.55), 0, 0.7, 0.5, 6).select("frame_id", "edge", "reject")
 
 
 @query(f"WITH {PIXELS_SQL}, c AS (SELECT frame_id, round_even(4 + (frame_id % 5) / 2.0, 0) - 2 AS l, round_even(3.5, 0) - 2 AS t FROM frames), g AS (SELECT frame_id, i, CAST(i // 4 AS INTEGER) AS y, CAST(i % 4 AS INTEGER) AS x, t + i // 4 AS sy, l + i % 4 AS sx FROM c, range(16) r(i)) SELECT g.frame_id, g.y, g.x, coalesce(p.v, 0) AS v FROM g LEFT JOIN pixels p ON p.frame_id = g.frame_id AND p.y = sy AND p.x = sx")
@@ -187,6 +213,11 @@ def ap_score_matrix(spark, sf):
     return fr.ap_scores(frames(spark, sf), APS, 4)
 
 
+@query()
+def ap_score_matrix_log(spark, sf):
+    return fr.log_ap_scores(frames(spark, sf), APS, 4, 1.2)
+
+
 @query(f"""WITH {SCORES_SQL}, k AS (SELECT frame_id, file_id, CASE WHEN frame_id % 2 = 0 THEN score END AS s FROM scores),
 f AS (SELECT *, last_value(CASE WHEN s IS NOT NULL THEN frame_id END IGNORE NULLS) OVER b AS x0, last_value(s IGNORE NULLS) OVER b AS y0, first_value(CASE WHEN s IS NOT NULL THEN frame_id END IGNORE NULLS) OVER a AS x1, first_value(s IGNORE NULLS) OVER a AS y1 FROM k
  WINDOW b AS (PARTITION BY file_id ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY file_id ORDER BY frame_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
@@ -299,6 +330,16 @@ def warp_field(spark, sf):
     return stack.warp_field(points(spark, sf), SIDE, SIDE, 1.8)
 
 
+@query()
+def warp_field_sharpness(spark, sf):
+    """The adaptive field: a point's weight is its confidence times log(1 + the sharpness of its patch), spread further."""
+    sharp = fr.patch_sharpness(frames(spark, sf), APS, 4)
+    at_ = F.array(*[F.struct(F.lit(x).alias("ax"), F.lit(y).alias("ay")) for x, y in APS])
+    sharp = sharp.withColumn("p", F.get(at_, F.col("ap_id"))).select("frame_id", "p.ax", "p.ay", "sharpness")
+    weighed = points(spark, sf).join(sharp, ["frame_id", "ax", "ay"]).withColumn("conf", F.col("conf") * F.log1p("sharpness")).drop("sharpness")
+    return stack.warp_field(weighed, SIDE, SIDE, 64.0)
+
+
 @query(f"WITH {POINTS_SQL} SELECT frame_id, ax, ay, conf >= 0.6 AND sqrt(dx * dx + dy * dy) <= 0.2 AS ok FROM points")
 def confidence_gate(spark, sf):
     return points(spark, sf).select("frame_id", "ax", "ay", stack.gated(F.col("conf"), F.col("dx"), F.col("dy"), 0.6, 0.2).alias("ok"))
@@ -310,6 +351,14 @@ def derotation_field(spark, sf):
     return pix(spark, sf).withColumn("d", field).select("frame_id", "y", "x", "d.dx", "d.dy")
 
 
+@query(f"""WITH {PIXELS_SQL}, c AS (SELECT frame_id, y, x, x - 3.5 AS rx, y - 3.5 AS ry, radians(25.0) AS p, 45.0 * (frame_id - 100) / (9.9281 * 3600) * 360 AS delta FROM pixels),
+d AS (SELECT frame_id, y, x, p, 0.8 * radians(delta) * sqrt(greatest(0, (1.05 * 3) ** 2 - (rx * cos(p) + ry * sin(p)) ** 2 - ((ry * cos(p) - rx * sin(p)) / 0.9) ** 2)) AS drift FROM c) SELECT frame_id, y, x, drift * cos(p) AS dx, drift * sin(p) AS dy FROM d""")
+def derotation_field_tilted(spark, sf):
+    delta = stack.rotation_delta(45.0 * (F.col("frame_id") - 100), 9.9281)
+    field = stack.derotation_field(F.col("x"), F.col("y"), 3.5, 3.5, 3.0, 0.9, delta, F.lit(25.0), tilted=True)
+    return pix(spark, sf).withColumn("d", field).select("frame_id", "y", "x", "d.dx", "d.dy")
+
+
 @query(f"WITH {FRAMES_SQL} SELECT frame_id, 45.0 * frame_id / (9.925 * 3600) * 360 AS delta FROM frames")
 def rotation_delta(spark, sf):
     return frames(spark, sf).select("frame_id", stack.rotation_delta(45.0 * F.col("frame_id"), 9.925).alias("delta"))
@@ -381,6 +430,11 @@ def ncc_shift(spark, sf):
     return fr.shifts_to(frames(spark, sf), reference(spark, sf), "ncc", 0.15)
 
 
+@query()
+def phase_qsf_shift(spark, sf):
+    return fr.phase_qsf_shifts(frames(spark, sf), reference(spark, sf), 0.15, 2.0)
+
+
 @query()
 def shift_frames(spark, sf):
     f = frames(spark, sf).select("frame_id", "filter", "h", "w", "px").withColumn("dx", (F.col("frame_id") % 3) / 2.0).withColumn("dy", F.lit(0.25))
@@ -421,12 +475,13 @@ def mean_stack(spark, sf):
     return stack.mean_stack(pix(spark, sf), ["filter"])
 
 
-@query(f"""WITH {PIXELS_SQL}, {MEDIAN_SQL}, ref AS (SELECT file_id, min(frame_id) AS ref_id FROM frames GROUP BY file_id), t AS (SELECT file_id, ref_id, median AS goal FROM ref JOIN med ON frame_id = ref_id)
+@query(f"""WITH {PIXELS_SQL.replace("pixels AS (", "pixels AS MATERIALIZED (")}, {MEDIAN_SQL.replace("med AS (", "med AS MATERIALIZED (")}, ref AS (SELECT file_id, min(frame_id) AS ref_id FROM frames GROUP BY file_id), t AS MATERIALIZED (SELECT file_id, ref_id, median AS goal FROM ref JOIN med ON frame_id = ref_id)
 SELECT p.frame_id, p.y, p.x, CASE WHEN p.frame_id = ref_id OR goal < 1e-6 OR median < 1e-6 THEN v ELSE greatest(0, least(1, v * goal / median)) END AS out FROM pixels p JOIN med USING (frame_id) JOIN t USING (file_id)""")
 def brightness_match(spark, sf):
-    p = pix(spark, sf)
-    first = p.groupBy("file_id").agg(F.min("frame_id").alias("first_id"))
-    return stack.brightness_match(p.join(first, "file_id"), F.col("frame_id") == F.col("first_id"), "file_id").select("frame_id", "y", "x", "out")
+    f = frames(spark, sf)
+    first = f.groupBy("file_id").agg(F.min("frame_id").alias("first_id"))
+    made = stack.brightness_match(f.join(first, "file_id"), F.col("frame_id") == F.col("first_id"), "file_id")
+    return as_pixels(made).select("frame_id", "y", "x", F.col("v").alias("out"))
 
 
 @query()
@@ -434,6 +489,17 @@ def fourier_stack(spark, sf):
     return as_pixels(fr.fourier_stack(frames(spark, sf), "filter")).select("filter", "y", "x", "v")
 
 
+@query()
+def fourier_stack_full(spark, sf):
+    """With the score's power as factor, the noise floor of the worst frames taken off, the mask of signal to noise and the rolloff."""
+    s = scores(spark, sf)
+    noise = stack.noise_floor_frames(s, stack.select_top(s, "file_id", 0.1, 5), "file_id").select("frame_id")
+    f = frames(spark, sf)
+    floors = fr.spectra_floor(f.join(noise, "frame_id", "left_semi"), "file_id")
+    scored = f.join(s.select("frame_id", "score"), "frame_id")
+    return as_pixels(fr.fourier_stack(scored, "file_id", 1.5, F.pow("score", F.lit(2.0)), floors, 2.0, 0.2)).select("file_id", "y", "x", "v")
+
+
 ROLLOFF_SQL = "exp(-((u * u + w * w) / (2 * 0.2 * 0.2)))"
 
 
@@ -443,14 +509,35 @@ def spectral_rolloff(spark, sf):
     return pix(spark, sf).select("frame_id", "y", "x", (F.col("v") * F.exp(-((u * u + w * w) / (2 * 0.2 * 0.2)))).alias("v"))
 
 
+def timed_frames(spark, sf) -> DataFrame:
+    """Frames with score, the middle of their file's time (center_s) and the pole's angle on that day."""
+    f = frames(spark, sf).join(scores(spark, sf).select("frame_id", "score"), "frame_id")
+    s = seconds(F.col("ts"))
+    middle = f.groupBy("file_id").agg(((F.min(s) + F.max(s)) / 2).alias("center_s"))
+    poles = stack.pole_angle(middle.withColumn("ts", F.timestamp_seconds("center_s").cast("timestamp_ntz")), ephemeris(spark), "599").select("file_id", "center_s", "pole")
+    return f.join(poles, "file_id")
+
+
 @query()
 def derotate_stack(spark, sf):
-    f = frames(spark, sf)
-    ref = f.groupBy("file_id").agg(F.min_by("ts", "frame_id").alias("ref_ts"))
-    dt = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("ref_ts").cast("timestamp"))
-    turned = f.join(ref, "file_id").withColumn("delta", F.pmod(stack.rotation_delta(dt, 9.925), F.lit(5.0))).select("frame_id", "file_id", "filter", "h", "w", "px", "delta")
-    made = as_pixels(fr.derotate_frames(turned, 3.5, 3.5, 3.0))
-    return stack.weighted_stack(made.join(scores(spark, sf).select("frame_id", "score"), "frame_id"), ["file_id", "filter"], F.col("score"))
+    stacked, _ = derotate.derotate_stack(timed_frames(spark, sf), ["file_id", "filter"], "center_s", "pole", 0.3)
+    return as_pixels(stacked).select("file_id", "filter", "y", "x", "v", "n")
+
+
+@query()
+def derotate_log(spark, sf):
+    _, log = derotate.derotate_stack(timed_frames(spark, sf), ["file_id", "filter"], "center_s", "pole", 0.3)
+    return log.drop("ts")
+
+
+STACKED_SQL = SCORES_SQL + ", k AS (SELECT s.*, score >= 0.3 OR NOT bool_or(score >= 0.3) OVER (PARTITION BY file_id, filter) AS kept, (min(epoch(ts)) OVER (PARTITION BY file_id) + max(epoch(ts)) OVER (PARTITION BY file_id)) / 2 AS c FROM scores s)"
+
+
+@query(f"""WITH {STACKED_SQL} SELECT frame_id, file_id, filter, round(epoch(ts) - c, 2) AS dt_sec, round((epoch(ts) - c) / (9.9281 * 3600) * 360, 4) AS delta_lambda_deg, row_number() OVER (PARTITION BY file_id, filter ORDER BY abs(epoch(ts) - c), ts, frame_id) = 1 AS is_reference FROM k WHERE kept""")
+def derotate_selection(spark, sf):
+    """Which frames are stacked, how far they are turned and which one is the reference: the part of the log that needs no resampling."""
+    _, log = derotate.derotate_stack(timed_frames(spark, sf), ["file_id", "filter"], "center_s", "pole", 0.3)
+    return log.select("frame_id", "file_id", "filter", "dt_sec", "delta_lambda_deg", "is_reference")
 
 
 # -- wavelets and tone --------------------------------------------------------------------------------------------------
@@ -596,6 +683,11 @@ def skipped_composites(spark, sf):
     return composite.skipped(frames(spark, sf).withColumn("grp", F.expr("frame_id div 3")), "grp")
 
 
+@query(f'WITH {WIDE_SQL}, m AS (SELECT file_id, name, avg((r + g + b) / 3) AS m FROM wide GROUP BY ALL), goal AS (SELECT avg(m) AS goal FROM m), s AS (SELECT file_id, name, CASE WHEN m > 1e-6 THEN goal / m ELSE 1 END AS s FROM m, goal) SELECT file_id, name, y, x, greatest(0, least(1, r * s)) AS "R", greatest(0, least(1, g * s)) AS "G", greatest(0, least(1, b * s)) AS "B" FROM wide JOIN s USING (file_id, name)')
+def color_luminance_match(spark, sf):
+    return series.luminance_match(composites(spark, sf), ["file_id", "name"])
+
+
 # -- series over frames -------------------------------------------------------------------------------------------------
 @query(f"""WITH {PIXELS_SQL}, k AS (SELECT *, CASE WHEN filter IN ('R', 'G', 'B') THEN 'joint' ELSE filter END AS grp FROM pixels), s AS (SELECT *, avg(v) OVER f AS m, stddev_pop(v) OVER f AS sd, avg(v) OVER g AS gm, stddev_pop(v) OVER g AS gs FROM k WINDOW f AS (PARTITION BY frame_id), g AS (PARTITION BY grp))
 SELECT frame_id, y, x, greatest(0, least(1, (v - m) / greatest(sd, 1e-7) * gs + gm)) AS out FROM s""")

@@ -25,10 +25,15 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame_id, file_id, filter, ts, h, w, px)."""
+    return frames_of(table(spark, sf_dir, "embeddings"))
+
+
+def frames_of(rows: DataFrame) -> DataFrame:
+    """The same from rows of that table, a stream of them too."""
     bands = F.array(*[F.lit(b) for b in BANDS])
     px = F.transform(F.col("embedding").cast("array<double>"), lambda v: (v + 1) / 2)
     ts = F.timestamp_seconds(F.lit(1704067200) + 45 * F.col("vec_id")).cast("timestamp_ntz")
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), F.col("label").alias("file_id"), F.element_at(bands, (F.col("vec_id") % 5 + 1).cast("int")).alias("filter"), ts.alias("ts"), F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), px.alias("px"))
+    return rows.select(F.col("vec_id").alias("frame_id"), F.col("label").alias("file_id"), F.element_at(bands, (F.col("vec_id") % 5 + 1).cast("int")).alias("filter"), ts.alias("ts"), F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), px.alias("px"))
 
 
 def pixels(frames_: DataFrame) -> DataFrame:

@@ -40,26 +40,24 @@ def islands(rows: DataFrame, minutes: float) -> DataFrame:
     return timed.groupBy(F.session_window("ts", gap), "filter").agg(F.count("*").alias("n")).select("filter", F.col("session_window.start").alias("start"), "n")
 
 
-def size_gate_stream(rows: DataFrame, window: int = 20, tolerance: float = 0.2) -> DataFrame:
-    """The size gate as keyed state: rows (file_id, frame_idx, w, h) in order; adds accepted.
-
-    The state of a file is the list of its last `window` accepted sizes.
+def size_gate_stream(rows: DataFrame, window: int = 100, tolerance: float = 0.05, start: int = 20) -> DataFrame:
+    """The size gate as keyed state: rows (file_id, frame_idx, bw, bh); adds accepted. A file's frames must not come back behind
+    an earlier batch; within a batch they are taken in order. The state of a file is the list of its last `window` accepted sizes.
     """
     import pandas as pd
 
+    from lumastack.operators.frames import SizeGate
+
     def gate(key, parts, state):
         ws, hs = map(list, state.get) if state.exists else ([], [])
-        for pdf in parts:
-            flags = []
-            for w, h in zip(pdf["w"], pdf["h"], strict=True):
-                ok = len(ws) < window or (w >= pd.Series(ws).median() * (1 - tolerance) and h >= pd.Series(hs).median() * (1 - tolerance))
-                if ok:
-                    ws, hs = [*ws, float(w)][-window:], [*hs, float(h)][-window:]
-                flags.append(bool(ok))
-            yield pdf[["file_id", "frame_idx"]].assign(accepted=flags)
-        state.update((ws, hs))
-
-    return rows.groupBy("file_id").applyInPandasWithState(gate, "file_id bigint, frame_idx bigint, accepted boolean", "ws array<double>, hs array<double>", "append", "NoTimeout")
+        own = SizeGate(window, tolerance, start, ws, hs)
+        pdf = pd.concat(list(parts)).sort_values(["frame_idx", "bw", "bh"])
+        flags = [own.accepts(w, h) for w, h in zip(pdf["bw"], pdf["bh"], strict=True)]
+        state.update((own.ws, own.hs))
+        yield pdf[["file_id", "frame_idx"]].assign(accepted=flags)
+
+    kinds = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in ("file_id", "frame_idx"))
+    return rows.groupBy("file_id").applyInPandasWithState(gate, f"{kinds}, accepted boolean", "ws array<double>, hs array<double>", "append", "NoTimeout")
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:

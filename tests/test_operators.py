@@ -166,7 +166,7 @@ def test_stream_islands_equal_batch(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "t"))
     want = sorted(map(tuple, islands(rows, 30.0).collect()))
     assert sorted(map(tuple, run_to_end(islands(stream, 30.0), "complete").collect())) == want and len(want) == 3
-    sizes = spark.createDataFrame([(1, i, 50 if i < 24 else 20) for i in range(30)], "file_id long, frame_idx long, w int").withColumn("h", F.col("w"))
+    sizes = spark.createDataFrame([(1, i, 50 if i < 24 else 20) for i in range(30)], "file_id long, frame_idx long, bw int").withColumn("bh", F.col("bw"))
     sizes.coalesce(1).write.parquet(str(tmp_path / "s"))
     flags = run_to_end(size_gate_stream(spark.readStream.schema(sizes.schema).parquet(str(tmp_path / "s"))), "append").orderBy("frame_idx").collect()
     assert [r["accepted"] for r in flags] == [True] * 24 + [False] * 6
@@ -267,7 +267,7 @@ def test_size_gate_holds_no_file(spark):
             ok = len(ws) < 20 or (w >= np.median(ws[-20:]) * 0.8 and h >= np.median(hs[-20:]) * 0.8)
             ws, hs = (ws + [w], hs + [h]) if ok else (ws, hs)
             want[f, i] = ok
-    made = fr.size_gate(spark.createDataFrame(rows, "file_id long, frame_idx long, bw int, bh int").repartition(5))
+    made = fr.size_gate(spark.createDataFrame(rows, "file_id long, frame_idx long, bw int, bh int").repartition(5), window=20, tolerance=0.2)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
         assert {(x["file_id"], x["frame_idx"]): x["accepted"] for x in made.collect()} == want and not all(want.values())
