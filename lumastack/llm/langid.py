@@ -108,8 +108,11 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     rare language keeps its rows as the table grows). The driver gets n-grams only, at most 1 / SHARE a language. Rows
     without a language or text are left out; of rows that repeat id, text and language one is looked at."""
     use = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # tasks send `rows` rows of a language at most
-    last = use.select("lang", "h").withColumn("n", place).where(F.col("n") <= rows).groupBy("lang").agg(F.max("h").alias("last"))
+    # hashes are even, so of n rows some 2 * rows lie under this part of their range: the exact place is sought among these alone
+    sizes = use.groupBy("lang").agg(F.count("*").alias("all"))
+    low = use.select("lang", "h").join(F.broadcast(sizes), "lang").where(F.col("h") / 2.0**64 + 0.5 <= 2.0 * rows / F.col("all")).select("lang", "h").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = low.withColumn("n", place).where(F.col("n") <= rows).groupBy("lang").agg(F.max("h").alias("last"))
     use = use.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last")).dropDuplicates(["lang", "h"])  # a row for each language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
