@@ -150,8 +150,8 @@ def refine(frames: DataFrame, picks: DataFrame, references: DataFrame, size: int
     return references
 
 
-def inner_disk_score(frames: DataFrame, part: float = 0.8, by: str = "file_id") -> DataFrame:
-    """Laplacian variance over mean squared gradient's scale within `part` of the radius of the disk of each file's first frame; the whole frame if that has under 100 pixels."""
+def inner_disk_score(frames: DataFrame, part: float = 0.8, by: str = "file_id", least: int = 100) -> DataFrame:
+    """Variance of the Laplacian and mean squared gradient within `part` of the radius of the disk of each file's first frame; of the whole frame if that has under `least` pixels."""
     first = frames.groupBy(by).agg(F.min_by("px", "frame_id").alias("ref"))
 
     def kernel(a, rows):
@@ -163,7 +163,7 @@ def inner_disk_score(frames: DataFrame, part: float = 0.8, by: str = "file_id")
             lit = r > 0.5 * r.max()
             cy, cx = (float(q[lit].mean()) for q in (y, x))
             mask = (y - cy) ** 2 + (x - cx) ** 2 <= part**2 * lit.sum() / np.pi
-            mask = mask if mask.sum() >= 100 else np.ones_like(mask)
+            mask = mask if mask.sum() >= least else np.ones_like(mask)
             out.append((lap[i][mask].var(), ten[i][mask].mean()))
         return {"laplacian": np.array([o[0] for o in out]), "tenengrad": np.array([o[1] for o in out])}
 

@@ -23,6 +23,19 @@ def score_rows(scores: DataFrame) -> DataFrame:
     return scores.select("ts", "filter", "stem", F.round("raw_score", 2).alias("raw_score"), F.round("norm_score", 6).alias("norm_score"))
 
 
+def score_sink(scores: DataFrame, path: str) -> None:
+    """CSV of all metrics, rounded as they are exported, its files in order of time and filter."""
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digits = {"laplacian": 2, "tenengrad": 2, "norm_variance": 6, "raw_score": 4, "norm_score": 6}
+    rows = scores.select("ts", "filter", "stem", *[F.round(c, n).alias(c) for c, n in digits.items()])
+    rows.repartitionByRange(parts, "ts", "filter").sortWithinPartitions("ts", "filter").write.csv(path, header=True)
+
+
+def window_sink(windows: DataFrame, nested: DataFrame, path: str) -> None:
+    """JSON lines of the chosen windows (with window_index from 1) and their map from filter to figures and captures."""
+    windows.join(nested.drop("center_ts"), "window_id").write.json(path)
+
+
 def present_channels(captures: DataFrame, wanted: list[str]) -> DataFrame:
     """Those of the wanted channels that any capture has."""
     return captures.where(F.col("filter").isin(*wanted)).select(F.col("filter").alias("channel")).distinct()

@@ -167,20 +167,18 @@ def top_overlap(windows: DataFrame, n: int) -> DataFrame:
 def top_disjoint(windows: DataFrame, n: int, minutes: float) -> DataFrame:
     """Best first, each at least `minutes` from all chosen before; with window_index from 1.
 
-    n passes over the stored windows, each a distributed best-of; only the chosen rows reach the driver.
+    The windows are rated once and written. n passes over them, each a best-of without a sort, look only at what is far
+    enough from those chosen; only the chosen rows reach the driver.
     """
     spark, chosen = windows.sparkSession, []
-    stored = windows.withColumn("_c", seconds(F.col("center_ts"))).persist()
-    left = stored
-    try:
-        for i in range(n):
-            best = left.orderBy(F.desc("window_quality"), "center_ts", "window_id").first()
-            if best is None:
-                break
-            chosen.append((*best[:-1], i + 1))
-            left = left.where(F.abs(F.col("_c") - best["_c"]) >= minutes * 60)
-    finally:
-        stored.unpersist()
+    left = materialise(windows.withColumn("_c", seconds(F.col("center_ts"))))
+    order = F.struct(-F.col("window_quality"), "center_ts", "window_id")
+    for i in range(n):
+        best = left.agg(F.min_by(F.struct(*left.columns), order).alias("b")).first()["b"]
+        if best is None:
+            break
+        chosen.append((*best[:-1], i + 1))
+        left = left.where(F.abs(F.col("_c") - best["_c"]) >= minutes * 60)
     return spark.createDataFrame(chosen, T.StructType([*windows.schema.fields, T.StructField("window_index", T.IntegerType())]))
 
 

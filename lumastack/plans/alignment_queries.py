@@ -12,25 +12,13 @@ from lumastack.operators import frames as fr
 from lumastack.plans import capture_queries as cq
 from lumastack.plans import frame_queries as fq
 from lumastack.plans.proxies import PIXELS_SQL, SIDE, captures, frames
+from lumastack.plans.register import registrar
 from lumastack.sources.shared import materialise, shared_dir
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES, ORACLE_SQL, query = registrar()
 SIZE = 4
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with SQL that gives the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def references(spark, sf) -> DataFrame:
     band = stack.reference_band(fq.scores(spark, sf), "file_id", 10)
     return alignment.reference_frame(frames(spark, sf), band)
@@ -77,11 +65,18 @@ def white_balance_disk(spark, sf):
     return alignment.disk_balance(fq.composites(spark, sf), ["file_id", "name"])
 
 
-@query()
+@query(f"WITH {fq.METRICS_SQL} SELECT frame_id, file_id, laplacian, tenengrad FROM metrics")
 def inner_disk_score(spark, sf):
     return alignment.inner_disk_score(frames(spark, sf))
 
 
+@query(f"""WITH {fq.GRADIENT_SQL}, f AS (SELECT file_id, min(frame_id) AS frame_id FROM frames GROUP BY file_id), lit AS (SELECT p.file_id, y, x FROM (SELECT *, max(v) OVER (PARTITION BY frame_id) AS top FROM pixels) p JOIN f USING (frame_id) WHERE v > 0.5 * top),
+d AS (SELECT file_id, avg(x) AS cx, avg(y) AS cy, 0.64 * count(*) / pi() AS r2 FROM lit GROUP BY file_id) SELECT frame_id, g.file_id, var_pop(lap) AS laplacian, avg(g2) AS tenengrad FROM grad g JOIN d USING (file_id) WHERE (x - cx) ** 2 + (y - cy) ** 2 <= r2 GROUP BY ALL""")
+def inner_disk_score_small(spark, sf):
+    """The same where the disk's pixels decide: the least number of them set for frames of this size."""
+    return alignment.inner_disk_score(frames(spark, sf), least=10)
+
+
 @query()
 def log_energy(spark, sf):
     return alignment.log_energy(frames(spark, sf), fq.APS, (2, 4, 6))
@@ -161,13 +156,13 @@ def spectra(spark, sf) -> DataFrame:
     return made.select("frame_id", "file_id", "filter", F.posexplode("m").alias("i", "mag")).select("frame_id", "file_id", "filter", F.expr(f"cast(i div {SIDE} as int)").alias("w"), (F.col("i") % SIDE).alias("u"), "mag")
 
 
-@query()
+@query(f"WITH {PIXELS_SQL}, {fq.DFT_SQL} SELECT filter, w, u, tanh(avg(mag) / (stddev_pop(mag) + 1e-9) / 2) AS mask FROM spec GROUP BY ALL")
 def spectral_snr_mask(spark, sf):
     g = spectra(spark, sf).groupBy("filter", "w", "u").agg(F.avg("mag").alias("m"), F.stddev_pop("mag").alias("s"))
     return g.select("filter", "w", "u", F.tanh(F.col("m") / (F.col("s") + 1e-9) / 2.0).alias("mask"))
 
 
-@query()
+@query(f"WITH {fq.RANKED_SQL}, {fq.DFT_SQL}, fl AS (SELECT file_id, w, u, avg(mag) AS floor FROM spec WHERE frame_id IN (SELECT frame_id FROM ranked WHERE low <= floor(n * 0.25) AND frame_id NOT IN (SELECT frame_id FROM chosen)) GROUP BY ALL) SELECT frame_id, w, u, greatest(mag - floor, 0) AS signal FROM spec JOIN fl USING (file_id, w, u)")
 def spectral_noise_floor(spark, sf):
     s = fq.scores(spark, sf)
     noise = stack.noise_floor_frames(s, stack.select_top(s, "file_id", 0.1, 5), "file_id").select("frame_id")

@@ -2,30 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumastack.operators import catalog, report, series, windows
 from lumastack.plans.proxies import CAPTURES_SQL, FILTERS, PATHS_SQL, captures, paths
+from lumastack.plans.register import registrar
+from lumastack.sources.shared import materialise, shared_dir
 
 REQUIRED = ["IR", "R", "G", "B", "CH4"]
 MINUTES, CYCLE, K, TOP = 60.0, 15.0, 1.5, 3
 SERIES_MINUTES, SERIES_NEEDS = 30.0, ["R", "G", "B"]
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    """Register a query under its function's name, with SQL that gives the same rows."""
-
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLE_SQL[name or f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE_SQL, query = registrar()
 
 
 # -- catalog ------------------------------------------------------------------------------------------------------------
@@ -212,6 +203,25 @@ def quality_scores_sink(spark, sf):
     return report.score_rows(windows.norm_scores(captures(spark, sf)))
 
 
+@query(f"""WITH {WINDOWS_SQL}, top AS (SELECT *, row_number() OVER (ORDER BY window_quality DESC, center_ts, window_id) AS window_index FROM windows QUALIFY row_number() OVER (ORDER BY window_quality DESC, center_ts, window_id) <= {TOP}),
+i AS (SELECT window_id, filter, count(*) FILTER (included) AS n_in, count(*) FILTER (NOT included) AS n_out, min(stem) FILTER (included) AS first_in FROM clipped GROUP BY ALL)
+SELECT CAST(window_index AS INTEGER) AS window_index, window_id, window_quality, rotation_degrees, q.filter, n_total, n_included, filter_quality, n_in, n_out, first_in FROM top JOIN quality q USING (window_id) JOIN i USING (window_id, filter)""")
+def windows_json_sink(spark, sf):
+    """The chosen windows written as nested JSON, and what is read back, flat: a row for each window and filter."""
+    scored = windows.norm_scores(captures(spark, sf))
+    clipped = materialise(windows.sigma_clip(windows.anchor_windows(scored, MINUTES), K))
+    rated_ = windows.filter_quality(clipped, MINUTES / CYCLE)
+    best = windows.top_overlap(windows.complete_windows(rated_, REQUIRED), TOP)
+    place = windows.ranked(best.withColumn("_one", F.lit(1)), "_one", F.desc("window_quality"), "center_ts", "window_id", name="window_index").drop("_one")
+    keep = F.broadcast(place.select("window_id"))  # TOP rows
+    nested = windows.nested(rated_.join(keep, "window_id"), clipped.join(keep, "window_id"))
+    path = f"{shared_dir(spark)}/windows/{uuid.uuid4().hex}"
+    report.window_sink(place, nested, path)
+    schema = place.join(nested.drop("center_ts"), "window_id").schema
+    flat = spark.read.schema(schema).json(path).select("window_index", "window_id", "window_quality", "rotation_degrees", F.explode("per_filter").alias("filter", "f"))
+    return flat.select("window_index", "window_id", "window_quality", "rotation_degrees", "filter", "f.n_total", "f.n_included", "f.filter_quality", F.size("f.included").cast("bigint").alias("n_in"), F.size("f.excluded").cast("bigint").alias("n_out"), F.array_min(F.transform("f.included", lambda c: c["stem"])).alias("first_in"))
+
+
 # -- series -------------------------------------------------------------------------------------------------------------
 CYCLES_SQL = CAPTURES_SQL + f""", b AS (SELECT *, CAST(floor((s - min(s) OVER ()) / {SERIES_MINUTES * 60}) AS BIGINT) AS cycle_id, min(s) OVER () AS t0 FROM captures),
 n AS (SELECT *, t0 + (cycle_id + 0.5) * {SERIES_MINUTES * 60} AS center_s FROM b),

@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumastack.operators import composite, derotate, kernels, series, stack
+from lumastack.operators import composite, derotate, kernels, report, series, stack
 from lumastack.operators import frames as fr
-from lumastack.operators.windows import seconds
+from lumastack.operators.windows import norm_scores, raw_score, seconds
 from lumastack.plans.proxies import FRAMES_SQL, PIXELS_SQL, SIDE, frames, frames_of, pixels
+from lumastack.plans.register import registrar
+from lumastack.sources.shared import shared_dir
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES, ORACLE_SQL, query = registrar()
 APS = [(x, y) for y in (2, 4, 6) for x in (2, 4, 6)]
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with SQL that gives the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def at(dy: int, dx: int, held: str = "l") -> str:
     """SQL for the pixel dy, dx away in a frame's list, mirrored at the borders."""
 
@@ -266,6 +257,18 @@ def luminance(spark, sf):
     return pix(spark, sf).select("frame_id", "y", "x", fr.luminance(v, v * v, v / 2).alias("lum"))
 
 
+@query(f"""WITH {METRICS_SQL}, r AS (SELECT *, 0.5 * laplacian + 0.3 * tenengrad + 0.2 * norm_variance AS raw FROM metrics), s AS (SELECT *, (raw - min(raw) OVER f) / CASE WHEN max(raw) OVER f > min(raw) OVER f THEN max(raw) OVER f - min(raw) OVER f ELSE 1 END AS norm FROM r WINDOW f AS (PARTITION BY filter))
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, filter, CAST(frame_id AS VARCHAR) AS stem, abs(laplacian - round(laplacian, 2)) <= 0.005 AS laplacian_ok, round(norm_variance, 6) AS norm_variance, round(raw, 4) AS raw_score, round(norm, 6) AS norm_score FROM s""")
+def quality_scores_csv(spark, sf):
+    """Scores of every frame written as CSV with all metrics, and read back."""
+    m = metrics(spark, sf).select("ts", "filter", F.col("frame_id").cast("string").alias("stem"), "laplacian", "tenengrad", "norm_variance")
+    scored = norm_scores(m.withColumn("raw_score", raw_score(F.col("laplacian"), F.col("tenengrad"), F.col("norm_variance"))))
+    path = f"{shared_dir(spark)}/scores/{uuid.uuid4().hex}"
+    report.score_sink(scored, path)
+    back = spark.read.schema("ts timestamp_ntz, filter string, stem string, laplacian double, tenengrad double, norm_variance double, raw_score double, norm_score double").option("header", True).csv(path)
+    return back.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "filter", "stem", (F.round("laplacian", 2) == F.col("laplacian")).alias("laplacian_ok"), "norm_variance", "raw_score", "norm_score")
+
+
 # -- selection ----------------------------------------------------------------------------------------------------------
 RANKED_SQL = SCORES_SQL + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, frame_id DESC) AS place, row_number() OVER (PARTITION BY file_id ORDER BY score, frame_id) AS low, count(*) OVER (PARTITION BY file_id) AS n FROM scores), chosen AS (SELECT * FROM ranked WHERE place <= least(greatest(5, CAST(floor(n * 0.1) AS INTEGER)), n))"
 
@@ -435,7 +438,12 @@ def phase_qsf_shift(spark, sf):
     return fr.phase_qsf_shifts(frames(spark, sf), reference(spark, sf), 0.15, 2.0)
 
 
-@query()
+CUBIC_SQL = "CASE WHEN abs({t}) <= 1 THEN 1.25 * abs({t}) ** 3 - 2.25 * abs({t}) ** 2 + 1 WHEN abs({t}) < 2 THEN -0.75 * abs({t}) ** 3 + 3.75 * abs({t}) ** 2 - 6 * abs({t}) + 3 ELSE 0 END"
+
+
+@query(f"""WITH {LIST_SQL}, m AS (SELECT frame_id, filter, y, x, l, x + (frame_id % 3) / 2.0 AS sx, y + 0.25 AS sy FROM grid),
+t AS (SELECT *, CAST(floor(sx) AS INTEGER) + i AS fx, CAST(floor(sy) AS INTEGER) + j AS fy FROM m, range(-1, 3) a(i), range(-1, 3) b(j))
+SELECT frame_id, filter, y, x, greatest(0, least(1, sum(({CUBIC_SQL.format(t="(sx - fx)")}) * ({CUBIC_SQL.format(t="(sy - fy)")}) * l[greatest(0, least(7, fy)) * 8 + greatest(0, least(7, fx)) + 1]))) AS v FROM t GROUP BY frame_id, filter, y, x""")
 def shift_frames(spark, sf):
     f = frames(spark, sf).select("frame_id", "filter", "h", "w", "px").withColumn("dx", (F.col("frame_id") % 3) / 2.0).withColumn("dy", F.lit(0.25))
     return as_pixels(fr.shift_frames(f)).select("frame_id", "filter", "y", "x", "v")
@@ -484,12 +492,22 @@ def brightness_match(spark, sf):
     return as_pixels(made).select("frame_id", "y", "x", F.col("v").alias("out"))
 
 
-@query()
+#: Spectra by plain sums; u and w are the frequencies along x and y.
+DFT_SQL = "freq AS (SELECT CAST(a AS INTEGER) AS w, CAST(b AS INTEGER) AS u FROM range(8) p(a), range(8) q(b)), dft AS MATERIALIZED (SELECT frame_id, file_id, filter, w, u, sum(v * cos(2 * pi() * ((u * x + w * y) % 8) / 8)) AS re, -sum(v * sin(2 * pi() * ((u * x + w * y) % 8) / 8)) AS im FROM pixels, freq GROUP BY ALL), spec AS MATERIALIZED (SELECT *, sqrt(re * re + im * im) AS mag FROM dft)"
+INVERSE_SQL = "greatest(0, least(1, sum(re * cos(2 * pi() * ((u * x + w * y) % 8) / 8) - im * sin(2 * pi() * ((u * x + w * y) % 8) / 8)) / 64))"
+
+
+@query(f"""WITH {PIXELS_SQL}, {DFT_SQL}, s AS (SELECT filter, w, u, sum(mag * re) / sum(mag) AS re, sum(mag * im) / sum(mag) AS im FROM spec GROUP BY ALL), xy AS (SELECT DISTINCT y, x FROM pixels)
+SELECT filter, y, x, {INVERSE_SQL} AS v FROM s, xy GROUP BY ALL""")
 def fourier_stack(spark, sf):
     return as_pixels(fr.fourier_stack(frames(spark, sf), "filter")).select("filter", "y", "x", "v")
 
 
-@query()
+@query(f"""WITH {RANKED_SQL}, {DFT_SQL}, noise AS (SELECT frame_id FROM ranked WHERE low <= floor(n * 0.25) AND frame_id NOT IN (SELECT frame_id FROM chosen)),
+fl AS (SELECT file_id, w, u, avg(mag) AS floor FROM spec WHERE frame_id IN (SELECT frame_id FROM noise) GROUP BY ALL),
+k AS (SELECT s.*, greatest(score ** 2, 1e-9) * greatest(mag - coalesce(floor, 0), 0) ** 1.5 AS wt FROM spec s JOIN scores USING (frame_id) LEFT JOIN fl ON fl.file_id = s.file_id AND fl.w = s.w AND fl.u = s.u),
+g AS (SELECT file_id, w, u, CASE WHEN sum(wt) > 1e-12 THEN sum(wt * re) / sum(wt) ELSE 0 END AS r0, CASE WHEN sum(wt) > 1e-12 THEN sum(wt * im) / sum(wt) ELSE 0 END AS i0, tanh(avg(mag) / (stddev_pop(mag) + 1e-9) / 2) * exp(-(pow((CASE WHEN u < 4 THEN u ELSE u - 8 END) / 8.0, 2) + pow((CASE WHEN w < 4 THEN w ELSE w - 8 END) / 8.0, 2)) / (2 * 0.2 * 0.2)) AS f FROM k GROUP BY file_id, w, u),
+s AS (SELECT file_id, w, u, r0 * f AS re, i0 * f AS im FROM g), xy AS (SELECT DISTINCT y, x FROM pixels) SELECT file_id, y, x, {INVERSE_SQL} AS v FROM s, xy GROUP BY ALL""")
 def fourier_stack_full(spark, sf):
     """With the score's power as factor, the noise floor of the worst frames taken off, the mask of signal to noise and the rolloff."""
     s = scores(spark, sf)
@@ -597,7 +615,17 @@ def levels_adjust(spark, sf):
     return pix(spark, sf).select("frame_id", "y", "x", composite.levels_adjust(F.col("v"), 0.3, 0.7, 1.2).alias("v"))
 
 
-@query()
+def mosaic_sql(color: str) -> str:
+    """SQL for one colour of an RGGB mosaic: the pixel itself if it has it, else the weighted mean of those around that have."""
+    held = {"R": (0,), "G": (1, 2), "B": (3,)}[color]
+    has = lambda dy, dx: f"(((y + {dy + 2}) % 2) * 2 + (x + {dx + 2}) % 2) IN {held if len(held) > 1 else f'({held[0]})'}"
+    near = [(dy, dx, float((2 - abs(dy)) * (2 - abs(dx)))) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    total = " + ".join(f"CASE WHEN {has(dy, dx)} THEN {w} * {at(dy, dx)} ELSE 0 END" for dy, dx, w in near)
+    weight = " + ".join(f"CASE WHEN {has(dy, dx)} THEN {w} ELSE 0 END" for dy, dx, w in near)
+    return f"SELECT frame_id, y, x, '{color}' AS c, CASE WHEN {has(0, 0)} THEN v ELSE ({total}) / ({weight}) END AS v FROM grid"
+
+
+@query(f"WITH {LIST_SQL} " + " UNION ALL ".join(map(mosaic_sql, "RGB")))
 def debayer(spark, sf):
     made = fr.per_stack(frames(spark, sf), lambda a, _: {"rgb": kernels.debayer(a).reshape(len(a), -1)}, "rgb array<double>")
     return made.select("frame_id", F.posexplode("rgb").alias("i", "v")).select("frame_id", F.expr("cast(i div 24 as int)").alias("y"), F.expr("cast(i div 3 as int) % 8").alias("x"), F.element_at(F.array(*map(F.lit, "RGB")), F.col("i") % 3 + 1).alias("c"), "v")
@@ -651,11 +679,31 @@ def lab_round_trip(spark, sf):
     return back.select("file_id", "name", "y", "x", *[(F.abs(F.col(f"rgb.{k}") - F.col(k.upper())) < 0.001).alias(k) for k in "rgb"])
 
 
-@query()
+def rgb_sql(light: str, a: str, b: str) -> str:
+    """SQL for r, g, b of Lab, the inverse of lab_sql."""
+    big = f"({light} > 7.9996)"
+    y = f"(CASE WHEN {big} THEN pow(({light} + 16) / 116.0, 3) ELSE {light} / 903.3 END)"
+    fy = f"(CASE WHEN {big} THEN ({light} + 16) / 116.0 ELSE 7.787 * {light} / 903.3 + 16.0 / 116 END)"
+    back = lambda f: f"(CASE WHEN {f} > 0.206893 THEN pow({f}, 3) ELSE ({f} - 16.0 / 116) / 7.787 END)"
+    x, z = back(f"({fy} + {a} / 500.0)") + " * 0.950456", back(f"({fy} - {b} / 200.0)") + " * 1.088754"
+    rows = ((3.240479, -1.537150, -0.498535), (-0.969256, 1.875991, 0.041556), (0.055648, -0.204043, 1.057311))
+    lin = [f"({m[0]} * {x} + ({m[1]}) * {y} + ({m[2]}) * {z})" for m in rows]
+    return ", ".join(f"greatest(0, least(1, CASE WHEN {c} > 0.0031308 THEN 1.055 * pow(greatest({c}, 0), 1 / 2.4) - 0.055 ELSE 12.92 * {c} END)) AS {n}" for c, n in zip(lin, ('"R"', '"G"', '"B"'), strict=True))
+
+
+@query(f"WITH {WIDE_SQL}, lab AS (SELECT file_id, name, y, x, l, {lab_sql('r', 'g', 'b')} FROM wide), m AS (SELECT *, 0.7 * l * 100 + (1 - 0.7) * lab_l AS lt FROM lab WHERE l IS NOT NULL) SELECT file_id, name, y, x, {rgb_sql('lt', 'lab_a', 'lab_b')} FROM m")
 def compose_lrgb(spark, sf):
     return composite.compose_lrgb(composites(spark, sf), 0.7)
 
 
+@query(f"WITH {WIDE_SQL}, lab AS (SELECT file_id, name, y, x, {lab_sql('r', 'g', 'b')} FROM wide) SELECT file_id, name, y, x, {rgb_sql('lab_l * 0.9', 'lab_a * 1.5', 'lab_b * 1.5')} FROM lab")
+def lab_to_rgb(spark, sf):
+    """Colours made stronger and a little darker in Lab, and back."""
+    c = composites(spark, sf).withColumn("lab", composite.rgb_to_lab(F.col("R"), F.col("G"), F.col("B")))
+    back = c.withColumn("rgb", composite.lab_to_rgb(F.col("lab.l") * 0.9, F.col("lab.a") * 1.5, F.col("lab.b") * 1.5))
+    return back.select("file_id", "name", "y", "x", *[F.col(f"rgb.{k}").alias(k.upper()) for k in "rgb"])
+
+
 @query(f"WITH {WIDE_SQL}, lab AS (SELECT file_id, name, {lab_sql('r', 'g', 'b')} FROM wide), p AS (SELECT file_id, name, quantile_cont(sqrt(lab_a * lab_a + lab_b * lab_b), 0.995) AS p FROM lab GROUP BY ALL) SELECT file_id, name, CASE WHEN p < 1e-3 THEN 1 ELSE greatest(1, least(2, 114.3 / p)) END AS gain FROM p")
 def auto_saturate(spark, sf):
     c = composites(spark, sf).withColumn("lab", composite.rgb_to_lab(F.col("R"), F.col("G"), F.col("B")))
