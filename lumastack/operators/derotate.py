@@ -31,6 +31,18 @@ def derotated(frame: np.ndarray, delta: float, disk: tuple[float, float, float],
     return np.clip(inner * kernels.remap(frame, sx, sy, "zero", clip=False) + (1 - inner) * kernels.remap_linear(frame, sx, sy), 0, 1)
 
 
+def turned(frames: DataFrame, scale: float = 0.8) -> DataFrame:
+    """Frames (with columns delta and pole, degrees) each turned back by delta about its own disk."""
+
+    def kernel(a, rows):
+        e = ellipses(a)
+        ratio = np.clip(e["semi_minor"] / np.maximum(e["semi_major"], 1.0), FLATTEST, ROUNDEST)
+        cells = zip(a, rows.column("delta").to_pylist(), e["cx"], e["cy"], e["semi_major"], ratio, rows.column("pole").to_pylist(), strict=True)
+        return {"px": np.stack([derotated(f, d, (cx, cy, r), q, p, scale) for f, d, cx, cy, r, q, p in cells])}
+
+    return per_stack(frames, kernel, "px array<double>", tuple(c for c in frames.columns if c != "px"))
+
+
 def disk_level(a: np.ndarray) -> np.ndarray:
     """For each frame the median of the pixels over 0.3 of the mean, in the middle box of half the shorter side."""
     h, w = a.shape[1:]

@@ -359,19 +359,6 @@ def shift_frames(frames: DataFrame, border: str = "edge") -> DataFrame:
     return per_stack(frames, kernel, "h int, w int, px array<double>", keep).drop("dx", "dy")
 
 
-def derotate_frames(frames: DataFrame, cx: float, cy: float, radius: float, ratio: float = 0.9, scale: float = 0.8) -> DataFrame:
-    """Frames (with a column delta, degrees) warped by the drift of an oblate disk; zero outside."""
-
-    def kernel(a, rows):
-        y, x = np.mgrid[: a.shape[1], : a.shape[2]].astype(float)
-        depth = np.sqrt(np.maximum(0, (1.05 * radius) ** 2 - (x - cx) ** 2 - ((y - cy) / ratio) ** 2))
-        made = [kernels.remap(f, x + scale * np.radians(d) * depth, y, "zero") for f, d in zip(a, rows.column("delta").to_pylist(), strict=True)]
-        return {"h": np.full(len(a), a.shape[1], np.int32), "w": np.full(len(a), a.shape[2], np.int32), "px": np.stack(made)}
-
-    keep = tuple(c for c in frames.columns if c not in ("h", "w", "px"))
-    return per_stack(frames, kernel, "h int, w int, px array<double>", keep)
-
-
 #: Frequencies that one row of partial spectra has at most.
 FREQUENCIES = 16_384
 

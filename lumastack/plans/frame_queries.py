@@ -451,8 +451,10 @@ def shift_frames(spark, sf):
 
 @query()
 def derotate_frames(spark, sf):
-    f = frames(spark, sf).select("frame_id", "h", "w", "px").withColumn("delta", (F.col("frame_id") % 7) / 10.0)
-    return as_pixels(fr.derotate_frames(f, 3.5, 3.5, 3.0)).select("frame_id", "y", "x", "v")
+    """Every frame turned to the middle of its file's time, about its own disk, with the pole's angle of that day."""
+    f = timed_frames(spark, sf)
+    f = f.withColumn("delta", stack.rotation_delta(seconds(F.col("ts")) - F.col("center_s"), 9.9281))
+    return as_pixels(derotate.turned(f.select("frame_id", "h", "w", "px", "delta", "pole"))).select("frame_id", "y", "x", "v")
 
 
 # -- stacks -------------------------------------------------------------------------------------------------------------
