@@ -87,14 +87,19 @@ def derotated_frames(frames: DataFrame, by: list[str], center: str, pole: str |
     def kernel(a, table):
         refs = table.column("ref").flatten().to_numpy(zero_copy_only=False).reshape(a.shape)
         out = {"px": [], "dx": [], "dy": [], "method": []}
+        goals: dict = {}  # a group's reference is turned, and its level taken, once a batch
         cells = zip(a, refs, *(table.column(c).to_pylist() for c in ("frame_id", "ref_id", "disk", "delta", "_ref_delta", "_pole")), strict=True)
         for f, r, i, ref_id, (cx, cy, radius, ratio), delta, ref_delta, tilt in cells:
-            goal = derotated(r, ref_delta, (cx, cy, radius), ratio, tilt, scale)
+            group = (ref_id, ref_delta, tilt, r.tobytes())
+            if group not in goals:
+                goal = derotated(r, ref_delta, (cx, cy, radius), ratio, tilt, scale)
+                goals[group] = goal, disk_level(goal[None])[0]
+            goal, wanted = goals[group]
             own = goal if i == ref_id else derotated(f, delta, (cx, cy, radius), ratio, tilt, scale)
             dx, dy, method = 0.0, 0.0, "reference"
             if i != ref_id:
                 if match:
-                    level, wanted = disk_level(np.stack((own, goal)))
+                    level = disk_level(own[None])[0]
                     own = np.clip(own * wanted / level, 0, 1) if wanted >= 1e-6 and level > 1e-6 else own
                 method = "none"
                 if align:
