@@ -70,8 +70,11 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
     return 0.2126 * r + 0.7152 * g + 0.0722 * b
 
 
-def crop_center(frames: DataFrame, size: int, cx: Column, cy: Column) -> DataFrame:
-    """Square crops around (cx, cy), rounded half to even; zeros outside the frame."""
+def crop_center(frames: DataFrame, size: int, cx: Column, cy: Column, bayer: bool = False) -> DataFrame:
+    """Square crops around (cx, cy), rounded half to even; zeros outside the frame. With a colour mosaic the centre is rounded to
+    even pixels and the size down to an even one."""
+    if bayer:
+        size, cx, cy = size // 2 * 2, 2 * F.bround(cx / 2, 0), 2 * F.bround(cy / 2, 0)
     left = (F.bround(cx, 0) - size // 2).cast("int")
     top = (F.bround(cy, 0) - size // 2).cast("int")
     placed = frames.withColumn("_l", left).withColumn("_t", top)

@@ -150,6 +150,12 @@ def crop_center(spark, sf):
     return as_pixels(made).select("frame_id", "y", "x", "v")
 
 
+@query(f"WITH {PIXELS_SQL}, c AS (SELECT frame_id, 2 * round_even((4 + (frame_id % 5) / 2.0) / 2, 0) - 2 AS l, 2 * round_even(3.5 / 2, 0) - 2 AS t FROM frames), g AS (SELECT frame_id, i, CAST(i // 4 AS INTEGER) AS y, CAST(i % 4 AS INTEGER) AS x, t + i // 4 AS sy, l + i % 4 AS sx FROM c, range(16) r(i)) SELECT g.frame_id, g.y, g.x, coalesce(p.v, 0) AS v FROM g LEFT JOIN pixels p ON p.frame_id = g.frame_id AND p.y = sy AND p.x = sx")
+def crop_center_bayer(spark, sf):
+    made = fr.crop_center(frames(spark, sf), 5, 4 + (F.col("frame_id") % 5) / 2.0, F.lit(3.5), bayer=True)
+    return as_pixels(made).select("frame_id", "y", "x", "v")
+
+
 # -- metrics ------------------------------------------------------------------------------------------------------------
 @query(f"WITH {METRICS_SQL} SELECT frame_id, laplacian FROM metrics")
 def laplacian_var(spark, sf):
