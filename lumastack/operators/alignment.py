@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumastack.operators import kernels
 from lumastack.operators.frames import ellipses, per_stack, with_px
-from lumastack.operators.stack import clip01
+from lumastack.operators.stack import clip01, covered
 
 
 def pixel_table(frames: DataFrame, *keep: str) -> DataFrame:
@@ -209,8 +209,8 @@ def ap_grid_adaptive(energies: DataFrame) -> DataFrame:
 def ap_grid_multiscale(patches: DataFrame, sizes: tuple[int, ...], points: list[tuple[int, int]], contrast: float, dark: float) -> DataFrame:
     """(frame_id, ax, ay, size): the smallest size at each point with enough contrast, unless a smaller one is dark or reaches over the border."""
     spark = patches.sparkSession
-    cover = spark.createDataFrame([(x, y, s, yy, xx) for x, y in points for s in sizes for yy in range(y - s // 2, y + s // 2) for xx in range(x - s // 2, x + s // 2)], "ax int, ay int, size int, y int, x int")
-    g = patches.join(F.broadcast(cover), ["y", "x"]).groupBy("frame_id", "ax", "ay", "size").agg(F.count("*").alias("n"), F.stddev_pop("v").alias("s"), F.avg("v").alias("m"))
+    cover = covered(spark.createDataFrame([(x, y, s) for x, y in points for s in sizes], "ax int, ay int, size int"))
+    g = patches.join(cover, ["y", "x"]).groupBy("frame_id", "ax", "ay", "size").agg(F.count("*").alias("n"), F.stddev_pop("v").alias("s"), F.avg("v").alias("m"))
     g = g.withColumn("stop", (F.col("n") < F.col("size") * F.col("size")) | (F.col("m") < dark)).withColumn("fit", F.col("s") >= contrast)
     stopped = F.max(F.col("stop").cast("int")).over(Window.partitionBy("frame_id", "ax", "ay").orderBy("size"))
     return g.withColumn("stopped", stopped).where("fit AND stopped = 0").groupBy("frame_id", "ax", "ay").agg(F.min("size").alias("size"))

@@ -101,6 +101,13 @@ def per_ap_top(scores: DataFrame, by: list[str], part: float, order: str = "fram
     return ranked(scores, by, F.desc("score"), order, name="place").join(n, by).where(F.col("place") <= F.greatest(F.lit(3), F.floor(F.col("_n") * part))).drop("_n")
 
 
+def covered(points: DataFrame) -> DataFrame:
+    """(ax, ay, size, y, x): the pixels that each point's patch covers, made in tasks. Spark broadcasts them or not by their size."""
+    half = F.expr("size div 2").cast("int")
+    rows = points.withColumn("y", F.explode(F.sequence(F.col("ay") - half, F.col("ay") + half - 1)))
+    return rows.withColumn("x", F.explode(F.sequence(F.col("ax") - half, F.col("ax") + half - 1)))
+
+
 def ap_grid(patches: DataFrame, step: int, size: int, h: int, w: int, least_std: float, least_of_peak: float) -> DataFrame:
     """(frame_id, ax, ay): grid points whose patch varies enough and is bright enough against the frame's peak.
 
@@ -109,9 +116,9 @@ def ap_grid(patches: DataFrame, step: int, size: int, h: int, w: int, least_std:
     half = size // 2
     points = [(x, y) for y in range(half, h - half + 1, step) for x in range(half, w - half + 1, step)]
     spark = patches.sparkSession
-    cover = spark.createDataFrame([(x, y, yy, xx) for x, y in points for yy in range(y - half, y + half) for xx in range(x - half, x + half)], "ax int, ay int, y int, x int")
+    cover = covered(spark.createDataFrame([(x, y, size) for x, y in points], "ax int, ay int, size int")).drop("size")
     peak = patches.groupBy("frame_id").agg(F.max("v").alias("_p"))
-    g = patches.join(F.broadcast(cover), ["y", "x"]).groupBy("frame_id", "ax", "ay").agg(F.stddev_pop("v").alias("_s"), F.avg("v").alias("_m")).join(peak, "frame_id")
+    g = patches.join(cover, ["y", "x"]).groupBy("frame_id", "ax", "ay").agg(F.stddev_pop("v").alias("_s"), F.avg("v").alias("_m")).join(peak, "frame_id")
     return g.where((F.col("_s") >= least_std) & (F.col("_m") >= least_of_peak * F.col("_p"))).select("frame_id", "ax", "ay")
 
 
