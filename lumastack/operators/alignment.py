@@ -234,53 +234,3 @@ def remap_frames(frames: DataFrame, fields: DataFrame, gx: Column, gy: Column) -
         return {"px": np.stack(out)}
 
     return per_stack(rows, kernel, "px array<double>", ("frame_id", "h", "w", "field", "gx", "gy")).drop("field", "gx", "gy")
-
-
-def log_decompose(a: np.ndarray, levels: int) -> list[np.ndarray]:
-    """Details as blob responses of the frame itself at doubling scales, and what is left."""
-    details = [-0.25 * kernels.laplacian(kernels.separable(a, kernels.gauss_taps(0.75 * 2**i))) for i in range(levels)]
-    return [*details, a - sum(details)]
-
-
-def bilateral_decompose(a: np.ndarray, levels: int, color: float = 0.08) -> list[np.ndarray]:
-    """Details against edge-preserving smoothing at doubling scales, and the rest."""
-    out = []
-    for i in range(levels):
-        sigma = 0.75 * 2**i
-        reach = max(1, round(2 * sigma))
-        total = weight = 0.0
-        for dy in range(-reach, reach + 1):
-            for dx in range(-reach, reach + 1):
-                near = np.take(np.take(a, kernels.mirrored(a.shape[1], dy), 1), kernels.mirrored(a.shape[2], dx), 2)
-                w = np.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma) - (near - a) ** 2 / (2 * color * color))
-                total, weight = total + w * near, weight + w
-        out.append(a - total / weight)
-        a = total / weight
-    return [*out, a]
-
-
-def feathered_sharpen(a: np.ndarray, amounts: list[float], factor: float = 1.0) -> np.ndarray:
-    """Sharpening faded at the limb of each frame's disk: per level, a cosine ramp of 2^level times factor pixels inside the radius."""
-    y, x = np.mgrid[: a.shape[1], : a.shape[2]]
-    out = a.copy()
-    lit = a > 0.5 * a.max((1, 2), keepdims=True)
-    n = np.maximum(lit.sum((1, 2)), 1)[:, None, None]
-    cx, cy = (lit * x).sum((1, 2), keepdims=True) / n, (lit * y).sum((1, 2), keepdims=True) / n
-    inside = np.sqrt(n / np.pi) - np.sqrt((x - cx) ** 2 + (y - cy) ** 2)
-    for level, (detail, gain) in enumerate(zip(kernels.atrous(a, len(amounts)), kernels.level_gains(amounts), strict=False)):
-        t = np.clip(inside / (2**level * factor), 0, 1)
-        out += gain * detail * 0.5 * (1 - np.cos(np.pi * t))
-    return np.clip(out, 0, 1)
-
-
-def feather_width(a: np.ndarray, angles: int = 36) -> np.ndarray:
-    """For each frame half the median width, over angles, of the fall of brightness at the limb, in 1..8 pixels."""
-    n, h, w = a.shape
-    r = np.arange(0.0, min(h, w) / 2, 0.5)
-    t = np.linspace(0, 2 * np.pi, angles, endpoint=False)
-    y = np.clip(np.rint(h / 2 + r[None] * np.sin(t)[:, None]).astype(int), 0, h - 1)
-    x = np.clip(np.rint(w / 2 + r[None] * np.cos(t)[:, None]).astype(int), 0, w - 1)
-    fall = np.maximum(0, -np.diff(a[:, y, x], axis=2))
-    top = fall.max(2, keepdims=True)
-    width = (fall > 0.5 * np.maximum(top, 1e-12)).sum(2) * 0.5
-    return np.clip(np.median(width, axis=1) / 2, 1, 8)

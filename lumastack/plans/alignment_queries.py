@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumastack.operators import alignment, catalog, composite, kernels, series, stack, windows
+from lumastack.operators import alignment, catalog, composite, kernels, sequence, series, sharpen, stack, windows
 from lumastack.operators import frames as fr
 from lumastack.plans import capture_queries as cq
 from lumastack.plans import frame_queries as fq
-from lumastack.plans.proxies import PIXELS_SQL, SIDE, captures, frames
+from lumastack.plans.proxies import BANDS, PIXELS_SQL, SIDE, captures, frames
 from lumastack.plans.register import registrar
 from lumastack.sources.shared import materialise, shared_dir
 
@@ -119,24 +119,61 @@ def warp_field_adaptive(spark, sf):
     return stack.warp_field(weighed, SIDE, SIDE, 2.5)
 
 
-@query()
+BELL, BEND = sharpen.blob_taps(0.75)
+BLOB_SQL = " + ".join(f"{float(BELL[i] * BEND[j] + BEND[i] * BELL[j])!r} * {fq.at(i - 2, j - 2)}" for i in range(5) for j in range(5))
+
+
+@query(f"WITH {fq.LIST_SQL} SELECT frame_id, y, x, {BLOB_SQL} AS v FROM grid")
 def log_decompose(spark, sf):
-    return fq.as_pixels(fr.with_px(frames(spark, sf), lambda a: alignment.log_decompose(a, 2)[0])).select("frame_id", "y", "x", "v")
+    return fq.as_pixels(fr.with_px(frames(spark, sf), lambda a: sharpen.log_decompose(a, 2)[0])).select("frame_id", "y", "x", "v")
 
 
-@query()
+NEAR_SQL = [(dy, dx, f"exp(-{(dx * dx + dy * dy) / 1.125!r} - ({fq.at(dy, dx)} - v) ** 2 / 0.0128)") for dy in (-1, 0, 1) for dx in (-1, 0, 1) if abs(dx) + abs(dy) < 2]
+
+
+@query(f"WITH {fq.LIST_SQL} SELECT frame_id, y, x, v - ({' + '.join(f'{w} * {fq.at(dy, dx)}' for dy, dx, w in NEAR_SQL)}) / ({' + '.join(w for _, _, w in NEAR_SQL)}) AS v FROM grid")
 def bilateral_decompose(spark, sf):
-    return fq.as_pixels(fr.with_px(frames(spark, sf), lambda a: alignment.bilateral_decompose(a, 2)[0])).select("frame_id", "y", "x", "v")
+    return fq.as_pixels(fr.with_px(frames(spark, sf), lambda a: sharpen.bilateral_decompose(a, 2)[0])).select("frame_id", "y", "x", "v")
+
+
+#: The least radius of a disk that counts, for frames of this size.
+LEAST = 1.5
 
 
 @query()
 def sharpen_disk_aware(spark, sf):
-    return fq.as_pixels(fr.with_px(frames(spark, sf), lambda a: alignment.feathered_sharpen(a, [100.0, 50.0]))).select("frame_id", "y", "x", "v")
+    return fq.as_pixels(sharpen.sharpened(frames(spark, sf), [100.0, 50.0], least=LEAST, auto=False, feather=1.0, expand=0.5, denoise=(0.1,))).select("frame_id", "y", "x", "v")
 
 
 @query()
 def auto_wavelet_params(spark, sf):
-    return fr.per_stack(frames(spark, sf), lambda a, _: {"feather": alignment.feather_width(a)}, "feather double")
+    return sharpen.auto_params(frames(spark, sf))
+
+
+def dimmed(spark, sf) -> DataFrame:
+    """Frames less half of the range, so that they have dark borders."""
+    return frames(spark, sf).withColumn("px", F.transform("px", lambda v: F.greatest(v - 0.55, F.lit(0.0))))
+
+
+@query(f"""WITH {PIXELS_SQL}, d AS (SELECT frame_id, y, x, greatest(v - 0.55, 0) AS v FROM pixels), p AS (SELECT frame_id, max(v) AS peak FROM d GROUP BY frame_id),
+r AS (SELECT frame_id, 'r' AS side, y AS i, avg(v) AS m FROM d GROUP BY ALL UNION ALL SELECT frame_id, 'c', x, avg(v) FROM d GROUP BY ALL),
+e AS (SELECT frame_id, side, coalesce(min(i) FILTER (m > 0.3 * peak), 8) AS a, coalesce(7 - max(i) FILTER (m > 0.3 * peak), 8) AS z FROM r JOIN p USING (frame_id) GROUP BY ALL),
+g AS (SELECT frame_id, side, greatest(0, least(3, a - 1)) AS a, greatest(0, least(3, z - 1)) AS z FROM e)
+SELECT p.frame_id, CASE WHEN peak < 1e-6 THEN 0 ELSE r.a END AS top, CASE WHEN peak < 1e-6 THEN 0 ELSE r.z END AS bottom, CASE WHEN peak < 1e-6 THEN 0 ELSE c.a END AS "left", CASE WHEN peak < 1e-6 THEN 0 ELSE c.z END AS "right" FROM p JOIN g r ON p.frame_id = r.frame_id AND r.side = 'r' JOIN g c ON p.frame_id = c.frame_id AND c.side = 'c'""")
+def safe_taper_widths(spark, sf):
+    """Widths of the taper that each frame has room for on its four sides."""
+
+    def kernel(a, _):
+        return dict(zip(("top", "bottom", "left", "right"), sharpen.safe_taper_widths(a, 3, 1, 0.3).astype("int32").T, strict=True))
+
+    return fr.per_stack(dimmed(spark, sf), kernel, "top int, bottom int, left int, right int")
+
+
+@query()
+def preview_sharpen(spark, sf):
+    """Every capture by itself: tapered where it has room, sharpened without a disk, stretched to 0.8."""
+    made = fq.as_pixels(sharpen.sharpened(frames(spark, sf), [200.0, 200.0, 200.0], ("frame_id", "filter"), disk=False, taper=2, gate=0.1))
+    return composite.stretched(made, ["frame_id"], 0.0, 0.99, 0.8).select("frame_id", "filter", "y", "x", F.col("out").alias("v"))
 
 
 @query()
@@ -222,8 +259,53 @@ def series_frames(spark, sf):
     return composite.compose_rgb(scaled, "file_id")
 
 
+#: Minutes of a cycle of frames, the cycles of one stack, and the score under which a frame counts as weak.
+FRAME_CYCLE, FRAME_SPAN, WEAK = 5.0, 3, 0.3
+MEMBERS_SQL = fq.SCORES_SQL + f""", b AS (SELECT frame_id, filter, ts, epoch_us(ts) / 1e6 AS s, min(epoch_us(ts) / 1e6) OVER () AS t0 FROM frames), b2 AS (SELECT *, CAST(floor((s - t0) / {FRAME_CYCLE * 60}) AS BIGINT) AS cycle_id FROM b),
+bins AS (SELECT *, t0 + (cycle_id + 0.5) * {FRAME_CYCLE * 60} AS center_s FROM b2 QUALIFY row_number() OVER (PARTITION BY cycle_id, filter ORDER BY abs(s - (t0 + (cycle_id + 0.5) * {FRAME_CYCLE * 60})), ts, frame_id) = 1),
+one AS (SELECT DISTINCT cycle_id, center_s FROM bins), gaps AS (SELECT *, CASE WHEN center_s - lag(center_s) OVER (ORDER BY center_s) > {2 * FRAME_CYCLE * 60} THEN 1 ELSE 0 END AS gap FROM one),
+isl AS (SELECT cycle_id, sum(gap) OVER (ORDER BY center_s) AS island, row_number() OVER (ORDER BY center_s) AS position FROM gaps),
+mem AS (SELECT a.cycle_id, m.filter, m.frame_id, m.ts, m.s, sc.score FROM isl a JOIN isl c ON a.island = c.island AND abs(a.position - c.position) <= {FRAME_SPAN // 2} JOIN bins m ON m.cycle_id = c.cycle_id JOIN scores sc ON sc.frame_id = m.frame_id),
+mid AS (SELECT cycle_id, (min(s) + max(s)) / 2 AS mid_s FROM mem GROUP BY cycle_id),
+wm AS (SELECT mem.*, s - mid_s AS dt, greatest(score * score, 0.05) / sum(greatest(score * score, 0.05)) OVER (PARTITION BY cycle_id, filter) AS weight FROM mem JOIN mid USING (cycle_id))"""
+
+
+def scored_frames(spark, sf) -> DataFrame:
+    return frames(spark, sf).join(fq.scores(spark, sf).select("frame_id", "score"), "frame_id")
+
+
+@query(f"WITH {MEMBERS_SQL} SELECT cycle_id, filter, frame_id, dt AS dt_sec, weight FROM wm")
+def series_members(spark, sf):
+    """The frames of each cycle's stacks, with their weights and times against its middle."""
+    f = scored_frames(spark, sf).withColumnRenamed("frame_id", "stem")
+    return sequence.members(f.select("stem", "ts", "filter"), FRAME_CYCLE, FRAME_SPAN, None, f, WEAK).select("cycle_id", "filter", F.col("stem").alias("frame_id"), "dt_sec", "weight")
+
+
+@query(f"WITH {MEMBERS_SQL} SELECT cycle_id, filter, count(*) AS n_used, count(*) FILTER (score < {WEAK}) AS n_below, sum(weight * dt) AS avg_dt_sec FROM wm GROUP BY ALL")
+def series_frame_log(spark, sf):
+    f = scored_frames(spark, sf).withColumnRenamed("frame_id", "stem")
+    rows = sequence.members(f.select("stem", "ts", "filter"), FRAME_CYCLE, FRAME_SPAN, None, f, WEAK)
+    return rows.groupBy("cycle_id", "filter").agg(F.count("*").alias("n_used"), F.first("n_below").alias("n_below"), F.sum(F.col("weight") * F.col("dt_sec")).alias("avg_dt_sec"))
+
+
+@query()
+def series_frames_full(spark, sf):
+    """The series from end to end: cycles, neighbourhoods, de-rotated and weighted stacks, centred, sharpened, normalised, composed, scaled."""
+    made, _ = sequence.series_frames(scored_frames(spark, sf), FRAME_CYCLE, FRAME_SPAN, least=LEAST, least_score=WEAK, amounts=[100.0, 50.0])
+    return made
+
+
+@query()
+def series_frames_single(spark, sf):
+    """The same of single cycles, whose channels are aligned."""
+    made, _ = sequence.series_frames(scored_frames(spark, sf), FRAME_CYCLE, 1, least=LEAST, least_score=WEAK)
+    return made
+
+
 @query()
 def master_sharpen(spark, sf):
+    """The stack of every file and filter, tapered and sharpened about its own disk; a filter that a file lacks has one row without values."""
     stacked = stack.weighted_stack(fq.scored_pixels(spark, sf), ["file_id", "filter"], F.col("score"))
-    made = alignment.as_frames(stacked, "file_id", "filter")
-    return fq.as_pixels(fr.with_px(made, lambda a: kernels.sharpen(a, [100.0, 50.0], denoise=0.1), ("file_id", "filter", "h", "w"))).select("file_id", "filter", "y", "x", "v")
+    made = sharpen.sharpened(alignment.as_frames(stacked, "file_id", "filter"), [100.0, 50.0], ("file_id", "filter"), taper=2, least=LEAST, denoise=(0.1, 0.1))
+    wanted = frames(spark, sf).select("file_id").distinct().select("file_id", F.explode(F.array(*[F.lit(b) for b in BANDS])).alias("filter"))
+    return wanted.join(fq.as_pixels(made).select("file_id", "filter", "y", "x", "v"), ["file_id", "filter"], "left")
