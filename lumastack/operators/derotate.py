@@ -18,10 +18,11 @@ LIMB_FADE, PADDING, FLATTEST, ROUNDEST = 12.0, 1.05, 0.85, 1.0
 def derotated(frame: np.ndarray, delta: float, disk: tuple[float, float, float], ratio: float, pole: float, scale: float) -> np.ndarray:
     """One frame turned back by delta degrees: each pixel is fetched against the drift of an oblate disk (cx, cy, radius) whose axis is tilted by pole degrees.
 
-    Cubic resampling inside, linear from the limb outwards; zero outside the frame.
+    Cubic resampling inside, linear from the limb outwards; zero outside the frame. A stack is turned frame by frame where the
+    numbers are (n, 1, 1).
     """
     cx, cy, radius = disk
-    y, x = np.mgrid[: frame.shape[0], : frame.shape[1]].astype(float)
+    y, x = np.mgrid[: frame.shape[-2], : frame.shape[-1]].astype(float)
     c, s = np.cos(np.radians(pole)), np.sin(np.radians(pole))
     rx, ry = x - cx, y - cy
     depth2 = (PADDING * radius) ** 2 - (rx * c + ry * s) ** 2 - ((ry * c - rx * s) / ratio) ** 2
@@ -31,14 +32,24 @@ def derotated(frame: np.ndarray, delta: float, disk: tuple[float, float, float],
     return np.clip(inner * kernels.remap(frame, sx, sy, "zero", clip=False) + (1 - inner) * kernels.remap_linear(frame, sx, sy), 0, 1)
 
 
+#: Pixels that are resampled at once, which takes some twenty times their memory.
+AT_ONCE = 500_000
+
+
+def in_parts(a: np.ndarray, job, *numbers: np.ndarray) -> np.ndarray:
+    """job(frames, numbers as (n, 1, 1)) over parts of a stack of at most AT_ONCE pixels."""
+    step = max(1, AT_ONCE // (a.shape[1] * a.shape[2]))
+    return np.concatenate([job(a[i : i + step], *(v[i : i + step, None, None] for v in numbers)) for i in range(0, len(a), step)])
+
+
 def turned(frames: DataFrame, scale: float = 0.8) -> DataFrame:
     """Frames (with columns delta and pole, degrees) each turned back by delta about its own disk."""
 
     def kernel(a, rows):
         e = ellipses(a)
         ratio = np.clip(e["semi_minor"] / np.maximum(e["semi_major"], 1.0), FLATTEST, ROUNDEST)
-        cells = zip(a, rows.column("delta").to_pylist(), e["cx"], e["cy"], e["semi_major"], ratio, rows.column("pole").to_pylist(), strict=True)
-        return {"px": np.stack([derotated(f, d, (cx, cy, r), q, p, scale) for f, d, cx, cy, r, q, p in cells])}
+        numbers = [rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("delta", "pole")]
+        return {"px": in_parts(a, lambda f, d, p, cx, cy, r, q: derotated(f, d, (cx, cy, r), q, p, scale), *numbers, e["cx"], e["cy"], e["semi_major"], ratio)}
 
     return per_stack(frames, kernel, "px array<double>", tuple(c for c in frames.columns if c != "px"))
 
@@ -135,7 +146,6 @@ BLOCK = 16_384
 
 def block_sums(rows: DataFrame, by: list[str], groups: int = 64) -> DataFrame:
     """(by, h, w, block, n, w_sum, total, one): sums of _w * px by blocks of pixels; `one` are some frame's pixels. A task holds at most `groups` groups."""
-    import pandas as pd
     import pyarrow as pa
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -168,11 +178,36 @@ def block_sums(rows: DataFrame, by: list[str], groups: int = 64) -> DataFrame:
                     held[key] = (1, weight, weight * px, px)
         yield from told(held)
 
-    def add(key, pdf):
-        total = np.sum(np.stack(pdf["total"].to_numpy()), 0)
-        return pd.DataFrame([(*key, int(pdf["n"].sum()), float(pdf["w_sum"].sum()), total, pdf["one"].iloc[0])], columns=made.names)
+    def merged(batches):
+        """Rows come in order of their keys, so only the sums of one key are held."""
+        names, schema = (*by, "h", "w", "block"), to_arrow_schema(made)
+        key, sums, done = None, [], []
 
-    return rows.where("px IS NOT NULL").mapInArrow(partial, made).groupBy(*by, "h", "w", "block").applyInPandas(add, made)
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in names), strict=True)
+            numbers = zip(batch.column("n").to_pylist(), batch.column("w_sum").to_pylist(), strict=True)
+            totals, ones = batch.column("total"), batch.column("one")
+            for i, (new, (n, weight)) in enumerate(zip(keys, numbers, strict=True)):
+                total = totals[i].values.to_numpy(zero_copy_only=False)
+                if new == key:
+                    sums = [sums[0] + n, sums[1] + weight, sums[2] + total, sums[3]]
+                    continue
+                if key is not None:
+                    done.append((*key, *sums))
+                if len(done) >= groups:
+                    yield batch_of(done)
+                    done = []
+                key, sums = new, [n, weight, total, ones[i].values.to_numpy(zero_copy_only=False)]
+        if key is not None:
+            done.append((*key, *sums))
+        if done:
+            yield batch_of(done)
+
+    order = (*by, "h", "w", "block")
+    return rows.where("px IS NOT NULL").mapInArrow(partial, made).repartition(*order).sortWithinPartitions(*order).mapInArrow(merged, made)
 
 
 def derotate_stack(frames: DataFrame, by: list[str], center: str, pole: str | None = None, threshold: float = 0.0, **options) -> tuple[DataFrame, DataFrame]:

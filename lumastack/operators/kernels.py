@@ -151,10 +151,11 @@ def cubic(t: np.ndarray, a: float = -0.75) -> np.ndarray:
 
 
 def remap(frame: np.ndarray, sx: np.ndarray, sy: np.ndarray, border: str = "mirror", clip: bool = True) -> np.ndarray:
-    """One frame fetched at places (sx, sy) by cubic convolution; border `mirror`, `edge` or `zero`; clipped to 0..1 unless told otherwise."""
-    h, w = frame.shape
+    """One frame, or each of a stack, fetched at places (sx, sy) by cubic convolution; border `mirror`, `edge` or `zero`; clipped to 0..1 unless told otherwise."""
+    h, w = frame.shape[-2:]
+    each = (np.arange(len(frame))[:, None, None],) if frame.ndim == 3 else ()
     fx, fy = np.floor(sx).astype(int), np.floor(sy).astype(int)
-    out = np.zeros(sx.shape)
+    out = np.zeros(np.broadcast_shapes(np.shape(sx), np.shape(sy), frame.shape))
     for j in range(-1, 3):
         for i in range(-1, 3):
             x, y = fx + i, fy + j
@@ -163,19 +164,20 @@ def remap(frame: np.ndarray, sx: np.ndarray, sy: np.ndarray, border: str = "mirr
                 weight = weight * ((x >= 0) & (x < w) & (y >= 0) & (y < h))
             if border == "mirror":
                 x, y = (np.where((p := np.abs(q) % max(1, 2 * n - 2)) < n, p, 2 * n - 2 - p) for q, n in ((x, w), (y, h)))
-            out += weight * frame[np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)]
+            out += weight * frame[(*each, np.clip(y, 0, h - 1), np.clip(x, 0, w - 1))]
     return np.clip(out, 0, 1) if clip else out
 
 
 def remap_linear(frame: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> np.ndarray:
-    """One frame fetched at places (sx, sy) by linear interpolation; zero outside."""
-    h, w = frame.shape
-    padded = np.pad(frame, 1)
+    """One frame, or each of a stack, fetched at places (sx, sy) by linear interpolation; zero outside."""
+    h, w = frame.shape[-2:]
+    each = (np.arange(len(frame))[:, None, None],) if frame.ndim == 3 else ()
+    padded = np.pad(frame, [(0, 0)] * len(each) + [(1, 1)] * 2)
     x, y = np.clip(sx + 1, 0, w + 1), np.clip(sy + 1, 0, h + 1)
     ix, iy = np.minimum(x.astype(int), w), np.minimum(y.astype(int), h)
     tx, ty = x - ix, y - iy
-    top = (1 - tx) * padded[iy, ix] + tx * padded[iy, ix + 1]
-    return (1 - ty) * top + ty * ((1 - tx) * padded[iy + 1, ix] + tx * padded[iy + 1, ix + 1])
+    top = (1 - tx) * padded[(*each, iy, ix)] + tx * padded[(*each, iy, ix + 1)]
+    return (1 - ty) * top + ty * ((1 - tx) * padded[(*each, iy + 1, ix)] + tx * padded[(*each, iy + 1, ix + 1)])
 
 
 def rolloff(h: int, w: int, sigma: float) -> np.ndarray:
@@ -189,9 +191,9 @@ def rolled_off(a: np.ndarray, sigma: float) -> np.ndarray:
     return np.clip(np.real(np.fft.ifft2(np.fft.fft2(a) * rolloff(*a.shape[1:], sigma))), 0, 1)
 
 
-def shift(frame: np.ndarray, dx: float, dy: float, border: str = "edge") -> np.ndarray:
-    """One frame moved by (dx, dy)."""
-    h, w = frame.shape
+def shift(frame: np.ndarray, dx: float | np.ndarray, dy: float | np.ndarray, border: str = "edge") -> np.ndarray:
+    """One frame moved by (dx, dy), or each of a stack by its own, given as (n, 1, 1)."""
+    h, w = frame.shape[-2:]
     y, x = np.mgrid[:h, :w].astype(float)
     return remap(frame, x - dx, y - dy, border)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumastack.operators import kernels, series
 from lumastack.operators.alignment import align_channels, pixel_table
 from lumastack.operators.composite import compose_rgb
-from lumastack.operators.derotate import FLATTEST, ROUNDEST, derotated, stacked_frames
+from lumastack.operators.derotate import FLATTEST, ROUNDEST, derotated, in_parts, stacked_frames
 from lumastack.operators.frames import disk_ellipse, ellipses, per_stack
 from lumastack.operators.sharpen import sharpened
 from lumastack.operators.windows import seconds
@@ -60,13 +60,19 @@ def turned_members(frames: DataFrame, rows: DataFrame, period_hours: float, scal
     turn = 360 / (period_hours * 3600)
 
     def kernel(a, table):
-        out = []
-        for f, disk, dt in zip(a, table.column("disk").to_pylist(), table.column("dt_sec").to_pylist(), strict=True):
-            cx, cy, major, minor = disk[:4] if disk else (float(v[0]) for k, v in ellipses(f[None]).items() if k != "angle")
-            made = derotated(f, dt * turn, (cx, cy, major), float(np.clip(minor / max(major, 1.0), FLATTEST, ROUNDEST)), 0.0, scale)
-            rest = (1 - scale) * np.radians(dt * turn) * major
-            out.append(kernels.shift(made, rest, 0.0) if disk and abs(dt) > 0.5 else made)
-        return {"px": np.stack(out)}
+        lone = np.array([d is None for d in table.column("disk").to_pylist()])
+        found = np.array([d[:4] if d else (0.0,) * 4 for d in table.column("disk").to_pylist()])
+        if lone.any():
+            found[lone] = np.stack([v for k, v in ellipses(a[lone]).items() if k != "angle"], 1)
+        cx, cy, major, minor = found.T
+        ratio = np.clip(minor / np.maximum(major, 1.0), FLATTEST, ROUNDEST)
+        dt = table.column("dt_sec").to_numpy(zero_copy_only=False)
+        rest = np.where(lone | (np.abs(dt) <= 0.5), 0.0, (1 - scale) * np.radians(dt * turn) * major)
+
+        def job(f, d, x, y, r, q, left):
+            return kernels.shift(derotated(f, d * turn, (x, y, r), q, 0.0, scale), left, 0.0)
+
+        return {"px": in_parts(a, job, dt, cx, cy, major, ratio, rest)}
 
     return per_stack(held, kernel, "px array<double>", ("cycle_id", "filter", "weight", "dt_sec", "disk", "h", "w")).drop("dt_sec", "disk")
 
@@ -78,7 +84,8 @@ def centred(stacks: DataFrame, by: str, least: float) -> DataFrame:
 
     def kernel(a, table):
         h, w = a.shape[1:]
-        return {"px": np.stack([kernels.shift(f, w / 2 - d[0], h / 2 - d[1]) if d else f for f, d in zip(a, table.column("disk").to_pylist(), strict=True)])}
+        by_ = np.array([(w / 2 - d[0], h / 2 - d[1]) if d else (0.0, 0.0) for d in table.column("disk").to_pylist()])
+        return {"px": in_parts(a, kernels.shift, *by_.T)}
 
     return per_stack(rows, kernel, "px array<double>", (by, "filter", "h", "w", "disk")).drop("disk")
 
@@ -104,7 +111,7 @@ def shifted_back(stacks: DataFrame, by: str) -> DataFrame:
     found = align_channels(stacks, by).select(by, "filter", "dx", "dy")
 
     def kernel(a, table):
-        return {"px": np.stack([kernels.shift(f, -x, -y) if x or y else f for f, x, y in zip(a, table.column("dx").to_pylist(), table.column("dy").to_pylist(), strict=True)])}
+        return {"px": in_parts(a, kernels.shift, *(-table.column(c).to_numpy(zero_copy_only=False) for c in ("dx", "dy")))}
 
     return per_stack(stacks.join(found, [by, "filter"]), kernel, "px array<double>", (by, "filter", "h", "w", "dx", "dy")).drop("dx", "dy")
 
