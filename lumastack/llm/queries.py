@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,7 +88,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, ids=False, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_best_fit_packing, op4_nearest, op5_secrets, op6_substring_dedup, op7_language_id, op8_simhash, op9_exact_dedup, op10_byte_bpe)}
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumastack.llm.sharding import shard_documents
+
+    found = shard_documents(table(spark, sf_dir, "documents"), 40, law="bytes")
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumastack.llm.middle import fill_in_middle
+
+    return fill_in_middle(table(spark, sf_dir, "documents"), seed=1, outputs=False, digests=True)
+
+
+#: A CRC32 by half bytes: what each value of the lower four bits adds when they are shifted out.
+CRC_STEPS = [functools.reduce(lambda c, _: (c >> 1) ^ (0xEDB88320 if c & 1 else 0), range(4), i) for i in range(16)]
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_best_fit_packing, op4_nearest, op5_secrets, op6_substring_dedup, op7_language_id, op8_simhash, op9_exact_dedup, op10_byte_bpe, op11_shards, op12_fill_in_middle)}
 
 ORACLE_SQL = {
     "op2_warc": """
@@ -132,5 +151,22 @@ SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha2
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(n.norm) AS text_sha256 FROM n JOIN g ON n.norm = g.norm
+""",
+    "op11_shards": f"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, length(h) // 2 + 16 AS size, list_transform(list_filter(string_split(regexp_replace(h, '(.)(.)', '\\2\\1', 'g'), ''), lambda x: x <> ''), lambda x: CAST(instr('0123456789ABCDEF', x) - 1 AS BIGINT)) AS half FROM b),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), half), lambda c, x: xor(c >> 4, ({CRC_STEPS}::BIGINT[])[(xor(c, x) & 15) + 1])), 4294967295) AS text_crc32 FROM n),
+s AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM c),
+k AS (SELECT *, CAST((2 * upto - size) * 40 // (2 * total) AS INTEGER) AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM k
+""",
+    "op12_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT doc_id, t, u, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
 """,
 }
