@@ -12,6 +12,8 @@ from lumastack.llm.shared import fold
 
 WORD_FILE = "word_bpe_49k.json"
 RANK_FILE = "byte_bpe_50k.tiktoken"
+JSON_FILE = "byte_bpe_50k.json"
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,11 +103,17 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(table(spark, sf_dir, "documents"), seed=1, outputs=False, digests=True)
 
 
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumastack.llm.crosstoken import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(JSON_FILE), public_tokenizers.path(PIECE_FILE), groups=False, digests=True)
+
+
 #: A CRC32 by half bytes: what each value of the lower four bits adds when they are shifted out.
 CRC_STEPS = [functools.reduce(lambda c, _: (c >> 1) ^ (0xEDB88320 if c & 1 else 0), range(4), i) for i in range(16)]
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_best_fit_packing, op4_nearest, op5_secrets, op6_substring_dedup, op7_language_id, op8_simhash, op9_exact_dedup, op10_byte_bpe, op11_shards, op12_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_best_fit_packing, op4_nearest, op5_secrets, op6_substring_dedup, op7_language_id, op8_simhash, op9_exact_dedup, op10_byte_bpe, op11_shards, op12_fill_in_middle, op13_cross_tokenizer)}
 
 ORACLE_SQL = {
     "op2_warc": """
