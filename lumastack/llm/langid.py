@@ -106,10 +106,12 @@ class LanguageFilters:
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> LanguageFilters:
     """Filters of all languages, from at most `rows` labelled rows of each (those with the smallest hashes of id and text; so a
     rare language keeps its rows as the table grows). The driver gets n-grams only, at most 1 / SHARE a language. Rows
-    without a language or text are left out; of rows that repeat id, text and language one is looked at."""
+    without a language or text are left out. Rows that repeat id, text and language count once, in the sample as in its size, so a
+    language with many repeated rows keeps as many different ones as any other."""
     use = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    # hashes are even, so of n rows some 2 * rows lie under this part of their range: the exact place is sought among these alone
-    sizes = use.groupBy("lang").agg(F.count("*").alias("all"))
+    # hashes are even, so of n different rows (their number need not be exact) some 2 * rows lie under this part of their range: the exact
+    # place is sought among these alone
+    sizes = use.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("all"))
     low = use.select("lang", "h").join(F.broadcast(sizes), "lang").where(F.col("h") / 2.0**64 + 0.5 <= 2.0 * rows / F.col("all")).select("lang", "h").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     last = low.withColumn("n", place).where(F.col("n") <= rows).groupBy("lang").agg(F.max("h").alias("last"))

@@ -66,8 +66,9 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     return looked.join(stored, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
-def near_groups(docs: DataFrame, distance: int = 3, size: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, carried columns, fingerprint (bigint) and component_id, the smallest id that links reach.
+def near_groups(docs: DataFrame, distance: int = 3, size: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), *, with_root: bool = False) -> DataFrame:
+    """One row per document: id, carried columns, fingerprint (bigint) and component_id, the smallest id that links reach; with with_root also
+    root, a fingerprint that names the component (two components have one id where that id has several texts).
 
     Documents with one fingerprint are one node, so large groups of copies cost one row each; only links between different
     fingerprints are made. Components are found by contraction (lumastack.llm.graph). Null ids are never the component's
@@ -78,5 +79,5 @@ def near_groups(docs: DataFrame, distance: int = 3, size: int = 3, id_col: str =
     roots = components(links(nodes.select("fingerprint"), distance))
     named = materialise(nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")))
     best = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = materialise(named.join(best, "root").select("fingerprint", "component_id"))
-    return prints.join(named, "fingerprint").select(F.col("id").alias(id_col), *carry, "fingerprint", "component_id")
+    named = materialise(named.join(best, "root").select("fingerprint", "component_id", "root"))
+    return prints.join(named, "fingerprint").select(F.col("id").alias(id_col), *carry, "fingerprint", "component_id", *["root"] * with_root)

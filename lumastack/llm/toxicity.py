@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +18,12 @@ from lumastack.llm.shared import doc_chunks, gather, materialise, text_blocks, w
 
 #: Labelled rows that the fit looks at, at most: those with the smallest hashes of their ids.
 FIT_ROWS = 12_000
-#: A stem is learned as an insult from this part of the toxic rows on, with at least this log-odds.
-SUPPORT, LEAST_WEIGHT = 0.02, 2.5
+#: A stem is learned from this part of the toxic rows on, with at least this log-odds; as a threat if at least THREATENS of its toxic rows
+#: have it shortly after a word of intent, else as an insult.
+SUPPORT, LEAST_WEIGHT, THREATENS = 0.02, 2.5, 0.5
 
-OTHER, NEGATION, REPORT, TARGET, INTENT, THREAT, INSULT, STRONG, END, OPEN, CLOSE, QUOTE = range(12)
-#: Closed word classes of the grammar, in four languages. Insults are learned.
+OTHER, NEGATION, REPORT, TARGET, INTENT, THREAT, INSULT, STRONG, END, OPEN, CLOSE, QUOTE, PARAGRAPH = range(13)
+#: Closed word classes of the grammar, in four languages. Insults, and threats beside these verbs, are learned.
 WORDS = {
     NEGATION: "not never no isn't aren't don't doesn't nicht nie kein keine pas jamais aucun nunca jamás tampoco",
     REPORT: "said says say told wrote quoted reported called claimed dit disait écrit sagte sagt schrieb meldete dijo dice escribió",
@@ -31,15 +33,17 @@ WORDS = {
     STRONG: "such so very total totally complete utter utterly absolute really sehr völlig absolut très vraiment tellement muy totalmente tan",
 }
 CLASS = {w: c for c, words in WORDS.items() for w in words.split()}
-SIGNS = {c: END for c in ".!?;\n"} | {'"': QUOTE, "“": OPEN, "„": OPEN, "«": OPEN, "”": CLOSE, "»": CLOSE}
-PART = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;\n]|[\"“”„«»]")
+SIGNS = {c: END for c in ".!?;"} | {'"': QUOTE, "“": OPEN, "„": OPEN, "«": OPEN, "”": CLOSE, "»": CLOSE, "¶": PARAGRAPH}
+PART = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;]|[\"“”„«»¶]")
+#: A blank line ends a paragraph.
+BLANK_LINE = r"\n[ \t\r]*\n"
 KINDS, MODES = ("insult", "threat", "intent"), ("plain", "negated", "reported", "denied")
 #: What the grammar counts: clauses by the best path through them, kind x (with target or without) x mode; the clauses that match at all; the weight of all by the length of the text.
 FEATURES = [f"{kind}{at}_{mode}" for kind in KINDS for at in ("", "_at_target") for mode in MODES] + ["clauses", "density"]
 #: Weights that the transducers put on a path.
 STRONGER, INTENDED, AIMED, NEGATED, REPORTED = 1.25, 1.5, 1.5, 0.4, 0.5
-#: Words of a clause that the transducers look over, and the clause ends that close a quotation left open.
-REACH, NEGATION_REACH, REPORT_REACH, QUOTE_ENDS = 4, 3, 8, 3
+#: Words of a clause that the transducers look over.
+REACH, NEGATION_REACH, REPORT_REACH = 4, 3, 8
 
 
 @dataclass
@@ -55,7 +59,7 @@ def reach(opens: int, words: int) -> Transducer:
 
     def step(left, symbol):
         if symbol >= END:
-            return (0 if symbol == END else left), False
+            return (0 if symbol in (END, PARAGRAPH) else left), False
         return (words if symbol == opens else max(0, left - 1)), left > 0
 
     return Transducer(0, step)
@@ -104,22 +108,23 @@ def negation() -> Transducer:
 
 
 def reported() -> Transducer:
-    """Says whether a word is reported speech: after a verb of speech in the clause, or in a quotation that is not yet closed."""
+    """Says whether a word is reported speech: after a verb of speech in the clause, or in a quotation. A quotation goes on over clauses to
+    its closing sign, however far; one that is left open ends with its paragraph."""
     verb = reach(REPORT, REPORT_REACH)
 
     def step(state, symbol):
         left, quoted = state
         left, near = verb.step(left, symbol)
-        said = near or quoted > 0
+        said = near or quoted
         if symbol == OPEN or symbol == QUOTE and not quoted:
-            quoted = QUOTE_ENDS
+            quoted = True
         elif symbol in (CLOSE, QUOTE):
-            quoted, left = 0, 0
-        elif symbol == END:
-            quoted = max(0, quoted - 1)
+            quoted, left = False, 0
+        elif symbol == PARAGRAPH:
+            quoted = False
         return (left, quoted), said
 
-    return Transducer((0, 0), step)
+    return Transducer((0, False), step)
 
 
 class Composed:
@@ -132,7 +137,7 @@ class Composed:
         self.parts = [insult(), threat(), target(), negation(), reported()]
         first = tuple(p.start for p in self.parts)
         self.states, self.index = [first], {first: 0}
-        self.rows: list[list] = [[None] * 12]
+        self.rows: list[list] = [[None] * 13]
 
     def meet(self, state: int, symbol: int) -> tuple:
         stepped = [p.step(s, symbol) for p, s in zip(self.parts, self.states[state], strict=True)]
@@ -140,7 +145,7 @@ class Composed:
         if onward not in self.index:
             self.index[onward] = len(self.states)
             self.states.append(onward)
-            self.rows.append([None] * 12)
+            self.rows.append([None] * 13)
         bad, menace, aimed, negated, said = (x for _, x in stepped)
         found = True if symbol == TARGET and aimed else None
         if bad is not None or menace is not None:
@@ -155,7 +160,7 @@ class Composed:
         state, best, last = 0, None, None
         for symbol, weight in zip(symbols, weights, strict=True):
             state, found = self.rows[state][symbol] or self.meet(state, symbol)
-            if symbol == END:
+            if symbol in (END, PARAGRAPH):
                 if best:
                     yield best[1], best[0]
                 best = last = None
@@ -187,9 +192,10 @@ def stems(word: str) -> tuple[str, ...]:
 
 @dataclass
 class Grammar:
-    """Learned insult stems with weights, and the logistic weights of the features."""
+    """Learned stems of insults and of threats with weights, and the logistic weights of the features."""
 
     lexicon: dict[str, float] = field(default_factory=dict)
+    threats: dict[str, float] = field(default_factory=dict)
     center: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES)))
     scale: np.ndarray = field(default_factory=lambda: np.ones(len(FEATURES)))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES) + 1))
@@ -202,16 +208,16 @@ class Grammar:
                 symbols.append(SIGNS[part])
                 weights.append(0.0)
                 continue
-            insult = max((self.lexicon.get(s, 0.0) for s in stems(part)), default=0.0)
-            symbols.append(INSULT if insult else CLASS.get(part, OTHER))
-            weights.append(insult or 1.0)
+            insult, menace = (max(known.get(s, 0.0) for s in stems(part)) for known in (self.lexicon, self.threats))
+            symbols.append(THREAT if menace > insult else INSULT if insult else CLASS.get(part, OTHER))
+            weights.append(max(insult, menace) or 1.0)
         return symbols, weights
 
     def features(self, texts: pa.Array) -> np.ndarray:
         """Sums of the clauses' weights for each text and feature. Only texts with an insult or a threat are walked through."""
         clauses = FEATURES.index("clauses")
         out = np.zeros((len(texts), len(FEATURES)))
-        words, flat, starts = words_of(texts)
+        words, flat, starts = words_of(pc.replace_substring_regex(texts, pattern=BLANK_LINE, replacement=" ¶ "))
         found = [self.classes(w) for w in words.to_pylist()]
         at = np.cumsum([0, *(len(s) for s, _ in found)])
         symbols = np.array([x for s, _ in found for x in s], np.int8)
@@ -252,7 +258,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Labels other than 0 and 1 are left out; of labels that repeat an id the larger one counts, and of documents that repeat
     a labelled id one text, the smallest. Documents are read once for the fit: the sample's texts are stored. Without
-    labels of both kinds nothing is learned, and all scores are 0.5.
+    labels of both kinds nothing is learned, and all scores are 0.5. A learned stem is one of threats if most of its toxic rows
+    have it at most REACH words after a word of intent.
     """
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     marks = marks.orderBy(F.xxhash64("id"), "id").limit(rows)
@@ -266,15 +273,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for block in text_blocks(iter([batch])):
                 words, flat, starts = words_of(block.column("text"))
-                known = [tuple({s for p in parts_of(w) if p[0].isalnum() for s in stems(p)}) for w in words.to_pylist()]
+                parts = [parts_of(w) for w in words.to_pylist()]
+                known = [tuple({s for p in own if p[0].isalnum() for s in stems(p)}) for own in parts]
+                will = np.array([any(CLASS.get(p) == INTENT for p in own) for own in parts], bool)
                 for label, i, j in zip(block.column("label").to_pylist(), starts, starts[1:], strict=False):
                     total[label] += 1
+                    near = np.convolve(will[flat[i:j]], np.ones(REACH), "full")[: j - i] if j > i else np.zeros(0)
+                    after = np.concatenate(([False], near[:-1] > 0))[: j - i]
                     for s in {s for w in np.unique(flat[i:j]).tolist() for s in known[w]}:
                         seen.setdefault(s, Counter())[label] += 1
-        rows = [("", total[1], total[0])] + [(s, c[1], c[0]) for s, c in seen.items() if c[1]] + [(s, 0, c[0]) for s, c in seen.items() if not c[1]]
-        yield pa.RecordBatch.from_pydict({"stem": pa.array([r[0] for r in rows], pa.string()), "toxic": pa.array([r[1] for r in rows], pa.int64()), "clean": pa.array([r[2] for r in rows], pa.int64())})
+                    if label:
+                        for s in {s for w in np.unique(flat[i:j][after]).tolist() for s in known[w]}:
+                            seen[s]["after"] += 1
+        rows = [("", total[1], total[0], 0)] + [(s, c[1], c[0], c["after"]) for s, c in seen.items()]
+        yield pa.RecordBatch.from_pydict({"stem": pa.array([r[0] for r in rows], pa.string())} | {name: pa.array([r[k] for r in rows], pa.int64()) for k, name in enumerate(("toxic", "clean", "after"), 1)})
 
-    counted = use.mapInArrow(count, "stem string, toxic bigint, clean bigint").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = use.mapInArrow(count, "stem string, toxic bigint, clean bigint, after bigint").groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "after")])
     counted = materialise(counted)
     totals = counted.where("stem = ''").first()
     n1, n0 = (totals["toxic"], totals["clean"]) if totals else (0, 0)
@@ -282,8 +296,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return own
     enough = max(5, SUPPORT * n1)
     weight = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    frequent = counted.where((F.col("stem") != "") & (F.col("toxic") >= enough)).select("stem", weight.alias("w")).where(F.col("w") >= LEAST_WEIGHT)
-    own.lexicon = {r["stem"]: float(r["w"]) for r in frequent.collect()}
+    frequent = counted.where((F.col("stem") != "") & (F.col("toxic") >= enough)).select("stem", weight.alias("w"), (F.col("after") >= THREATENS * F.col("toxic")).alias("threat")).where(F.col("w") >= LEAST_WEIGHT)
+    learned = frequent.collect()
+    own.lexicon, own.threats = ({r["stem"]: float(r["w"]) for r in learned if r["threat"] == kind} for kind in (False, True))
     held = docs.sparkSession.sparkContext.broadcast(own)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,8 +316,8 @@ def score(docs: DataFrame, model: Grammar, id_col: str = "doc_id", text_col: str
 
     Each word belongs to a class. Five weighted transducers read the classes as one composed machine: insults and threats
     start a path, targets before or after them, negation and reported speech (verbs of speech, quotations) change its
-    weight. A clause counts once, by its best path, under that path's kind, target and mode; lone insults are clauses of the
-    plain kind. Logistic weights turn the sums into a score. A null or empty text has the score of a text without matches.
+    weight. A quotation goes on to its closing sign; one left open ends with its paragraph (at a blank line). A clause counts
+    once, by its best path, under that path's kind, target and mode; lone insults are clauses of the plain kind. Logistic weights turn the sums into a score. A null or empty text has the score of a text without matches.
     Whole texts count. The model is broadcast; its size is bounded by SUPPORT and the rows of the fit.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -50,6 +50,40 @@ def test_stages_on_nothing(spark, none, name):
     assert STAGES[name](spark, none, None).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    """Groups are decided apart: an id may have unlike texts, and its own text may be the copy in another group."""
+    a, b = ("the quick brown fox jumps over a lazy dog near the river bank", "seven old sailors told stories of whales and storms last night")
+    for id_a, id_b in ((5, 5), (None, None)):
+        docs = spark.createDataFrame([(id_a, a), (id_b, b), (6, b.upper()), (7, b.title()), (8, "quite another text with words of its own here")], "doc_id long, text string")
+        got = texts(STAGES["SimHash near-dedup"](spark, docs, None))
+        kept = [t.lower() for _, t in got]
+        assert sorted(kept) == sorted([a, b, "quite another text with words of its own here"])
+        assert (id_a, a) in got and (6 if id_b is None else 5) in {i for i, t in got if t.lower() == b}
+
+
+def brute_near(rows):
+    """One row of each group of near texts: that with the smallest id, of several the text with the smallest MD5; ids may repeat."""
+    import hashlib
+
+    prints = [plain_simhash(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if (prints[i] ^ prints[j]).bit_count() <= 3:
+                    group[i] = group[j] = min(group[i], group[j])
+    return sorted(min(((rows[k][0], hashlib.md5(rows[k][1].encode()).hexdigest(), rows[k][1]) for k in range(len(rows)) if group[k] == g)) for g in set(group))
+
+
+def test_near_duplicates_equal_brute_force_with_repeated_ids(spark):
+    r = np.random.default_rng(8)
+    base = [" ".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 40)) for _ in range(12)]
+    rows = [(int(r.integers(0, 10)), t.title() if r.integers(2) else t + (" end" if r.integers(3) == 0 else "")) for t in base for _ in range(4)]
+    rows = sorted(set(rows))
+    got = texts(STAGES["SimHash near-dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), None))
+    assert sorted(got) == [(i, t) for i, _, t in brute_near(rows)]
+
+
 def test_live_secrets_are_cut_out(spark):
     rows = [(i, f"see token=SHAREDSHARED{0} here", f"s{i}", 30) for i in range(4)] + [(8, "my password = 'Qq12345678' ok", "s1", 29), (9, None, "s1", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
@@ -118,7 +152,7 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 def test_registered(spark, sf):
     names = entry.queries()
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.QUERIES}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in queries.QUERIES}
     assert set(queries.QUERIES) <= set(names)
     for name in ("op1_toxicity", "op7_language_id"):
         rows = names[name](spark, sf).collect()

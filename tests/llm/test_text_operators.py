@@ -422,7 +422,11 @@ BAD = {"=idiot": 2.0, "=scum": 3.0}
     ("I will kill you", [("intent_at_target_plain", 2.25)]),
     ('"you idiot" she is fine', [("insult_at_target_reported", 1.5)]),
     ('She is "fine" . idiot', [("insult_plain", 2.0)]),
-    ("“one. two. three. idiot", [("insult_plain", 2.0)]),
+    ("“one. two. three. idiot", [("insult_reported", 1.0)]),
+    ('He said "one. two. three. four. you idiot" and left', [("insult_at_target_reported", 1.5)]),
+    ('He said "one. two. three. four." you idiot', [("insult_at_target_plain", 3.0)]),
+    ("“one. two. three. ¶ idiot", [("insult_plain", 2.0)]),
+    ("not here ¶ idiot", [("insult_plain", 2.0)]),
     ("she said he is not an idiot", [("insult_at_target_denied", 0.6)]),
     ("idiot scum idiot; scum", [("insult_plain", 3.0), ("insult_plain", 3.0)]),
     ("such an idiot", [("insult_plain", 2.5)]),
@@ -435,10 +439,11 @@ def test_clauses(text, want):
 def plain_features(text, lexicon):
     """The grammar's rules word by word, looking back over each clause, without any machine."""
     t = toxicity
-    tokens = [p for w in SPACE.findall(text or "") for p in t.parts_of(w)]
+    paragraphs = re.split(r"\n[ \t\r]*\n", text or "")
+    tokens = [p for w in SPACE.findall(" ¶ ".join(paragraphs)) for p in t.parts_of(w)]
     kind = [t.SIGNS[p] if p in t.SIGNS else t.INSULT if any(s in lexicon for s in t.stems(p)) else t.CLASS.get(p, t.OTHER) for p in tokens]
     out = np.zeros(len(t.FEATURES))
-    quoted, clause, at = 0, [], 0
+    quoted, clause, at = False, [], 0
     cut = lambda k, n, words: any(c == k for c, *_ in words[-n:])
     spoken = 0  # the first word of the clause that a verb of speech still reaches
 
@@ -450,21 +455,21 @@ def plain_features(text, lexicon):
             out[-2] += 1
 
     for token, c in [*zip(tokens, kind, strict=True), ("", t.END)]:
-        if c == t.END:
+        if c in (t.END, t.PARAGRAPH):
             close()
-            clause, quoted, spoken = [], max(0, quoted - 1), 0
+            clause, quoted, spoken = [], quoted and c == t.END, 0
         elif c in (t.OPEN, t.CLOSE, t.QUOTE):
             if c == t.OPEN or c == t.QUOTE and not quoted:
-                quoted = t.QUOTE_ENDS
+                quoted = True
             else:
-                quoted, spoken = 0, len(clause)
+                quoted, spoken = False, len(clause)
         else:
             weight = k = mode = 0
             if c in (t.INSULT, t.THREAT):
                 weight = max((lexicon.get(s, 0.0) for s in t.stems(token)), default=0.0) or 1.0
                 k = 0 if c == t.INSULT else 2 if cut(t.INTENT, t.REACH, clause) else 1
                 weight *= t.STRONGER if c == t.INSULT and cut(t.STRONG, 2, clause) else t.INTENDED if k == 2 else 1
-                negated, said = cut(t.NEGATION, t.NEGATION_REACH, clause), quoted > 0 or cut(t.REPORT, t.REPORT_REACH, clause[spoken:])
+                negated, said = cut(t.NEGATION, t.NEGATION_REACH, clause), quoted or cut(t.REPORT, t.REPORT_REACH, clause[spoken:])
                 weight *= (t.NEGATED if negated else 1) * (t.REPORTED if said else 1)
                 mode = 2 * said + negated
             if c == t.TARGET:
@@ -473,14 +478,14 @@ def plain_features(text, lexicon):
                     clause[near[-1]][4] = True
             clause.append([c, weight, k, mode, bool(weight) and cut(t.TARGET, t.REACH, clause)])
         at += 1
-    out[-1] = 100 * out[:-2].sum() / np.sqrt(max(25, len(SPACE.findall(text or ""))))
+    out[-1] = 100 * out[:-2].sum() / np.sqrt(max(25, len(SPACE.findall(" ¶ ".join(paragraphs)))))
     return np.log1p(out)
 
 
 def test_features_equal_plain_rules(messy):
     r = np.random.default_rng(12)
     pool = [*"you not said kill will such idiot scum word other . ; “ ” \" »".split(), "he's", "Idiot!", "END.", "x"]
-    rows = [" ".join(r.choice(pool, int(r.integers(0, 60)))) for _ in range(400)] + [t for _, t in texts(messy)]
+    rows = [" ".join(r.choice([*pool, "\n\n", "\n \t\n", "¶", "\n"], int(r.integers(0, 60)))) for _ in range(400)] + [t for _, t in texts(messy)]
     got = toxicity.Grammar(BAD).features(pa.array(rows, pa.string()))
     assert np.allclose(got, [plain_features(t, BAD) for t in rows])
 
@@ -503,3 +508,35 @@ def test_repeated_labelled_ids_count_once(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (1, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, rows=30)
     assert model.lexicon and toxicity.score(docs, model).where("doc_id > 1").groupBy().agg(F.min(F.expr("predicted = doc_id % 2"))).first()[0]
+
+
+def test_threats_are_learned_apart_from_insults(spark):
+    """A verb that stands after words of intent in toxic rows is a threat, also where no one aims it; other words of toxic rows are insults."""
+    kinds = ["I will grindle you all now, wait", "you are a grumblefoot, all of you now", "they will come and all of you can wait now"]
+    docs = spark.createDataFrame([(i, f"{kinds[i % 3]} number{i}") for i in range(120)], "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 3 < 2).cast("int").alias("toxic")))
+    assert "=grindle" in model.threats and "=grumblefoot" in model.lexicon and not set(model.threats) & set(model.lexicon)
+    found = [toxicity.FEATURES[i] for i in np.flatnonzero(model.features(pa.array(["we will grindle you"]))[0])]
+    assert found[0] == "intent_at_target_plain" and model.classes("grindle")[0] == [toxicity.THREAT]
+    probe = spark.createDataFrame([(1, "We will grindle you"), (2, "We will come to you")], "doc_id long, text string")
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(probe, model).collect()} == {1: 1, 2: 0}
+
+
+# languages of repeated rows --------------------------------------------------------------------------------------------
+def test_a_language_of_equal_rows_stays(spark):
+    many = spark.range(200_000).select(F.lit(9).cast("long").alias("doc_id"), F.lit("zorp vlim kwex zorp").alias("text"), F.lit("xx").alias("lang"))
+    en = spark.range(2000).select((F.col("id") + 100).alias("doc_id"), F.concat(F.lit("the house of "), F.col("id").cast("string"), F.lit(" people and the sea")).alias("text"), F.lit("en").alias("lang"))
+    filters = langid.fit(many.unionByName(en))
+    assert filters.languages == ["en", "xx"]
+    probe = spark.createDataFrame([(1, "zorp kwex vlim"), (2, "people of the sea")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(probe, filters).collect()} == {1: "xx", 2: "en"}
+
+
+def test_fifty_languages_of_repeated_rows_stay(spark):
+    names = [f"l{i:02d}" for i in range(50)]
+    signs = "bcdfghjklmnpqrstvwxz"
+    rows = [(i, " ".join(f"{signs[i % 20]}{v}{signs[i // 20]}{w}{signs[(i * 7) % 20]}" for v in "aeiou" for w in "aeiou"), name) for i, name in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(1000))))
+    assert langid.fit(docs).languages == names
+    spread = docs.withColumn("text", F.concat("text", F.lit(" "), F.col("n").cast("string")))  # ... and of 5,000 different rows, 2,500 are looked at
+    assert langid.fit(spread.where("doc_id < 3"), rows=100).languages == names[:3]
