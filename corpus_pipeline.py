@@ -41,11 +41,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose fingerprints (as in op8: three-word shingles) links of 3 bits or fewer connect, that with the smallest
-    id goes on. Rows that share an id count as one document, of which one text stays."""
+    id goes on; where that id has several texts in one group, the one with the smallest hash. Each group is decided by itself, so rows that
+    share an id and have unlike texts are documents of their own."""
     rows = rows_of(docs)
-    groups = near_groups(rows.select("_id", "_text", "_hash"), distance=3, size=3, id_col="_id", text_col="_text", carry=("_hash",))
-    first = groups.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id").agg(F.min("_hash").alias("_hash"))
-    first = materialise(first)
+    groups = near_groups(rows.select("_id", "_text", "_hash"), distance=3, size=3, id_col="_id", text_col="_text", carry=("_hash",), with_root=True)
+    first = groups.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("_hash", "_id")).alias("f"))
+    first = materialise(first.select("f._id", "f._hash").distinct())
     right = first.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"))
     return rows.join(right, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left_semi").select("_row.*")
 
