@@ -7,6 +7,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumastack.llm.bpe import Coder, join_words
+from lumastack.llm.bpe import Coder
 from lumastack.llm.perfect import Counts, counted
 from lumastack.llm.shared import doc_chunks, gather, intern_lists, materialise, text_blocks
 
@@ -28,6 +29,12 @@ LOOKUP_PAIRS = 4_000_000
 CUT = r"([^\x00-\x20\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]) "
 
 
+def joined(parts: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of many texts as one array, and where each text starts."""
+    flat = [np.fromiter(chain.from_iterable(lists), np.int32) for lists in parts]
+    return np.concatenate([np.zeros(0, np.int32), *flat]), np.cumsum([0, *(n for lists in parts for n in map(len, lists))])
+
+
 class JsonCoder(Coder):
     """A byte-level tokenizer file of the library `tokenizers`; the strings of special tokens are ordinary text."""
 
@@ -50,8 +57,7 @@ class JsonCoder(Coder):
         self.token_bytes, self.token_starts = np.frombuffer(b"".join(table), np.uint8), np.cumsum([0, *map(len, table)])
 
     def encode_new(self, texts: list[str], part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-        words = [np.array(e.ids, np.int32) for i in range(0, len(texts), part) for e in self.library.encode_batch(texts[i : i + part], add_special_tokens=False)]
-        return join_words(words)
+        return joined([[e.ids for e in self.library.encode_batch_fast(texts[i : i + part], add_special_tokens=False)] for i in range(0, len(texts), part)])
 
 
 class PieceCoder(Coder):
@@ -72,11 +78,8 @@ class PieceCoder(Coder):
         self.space = self.library.piece_to_id("▁")
 
     def encode_new(self, texts: list[str], part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-        words = [np.array(ids, np.int32) for i in range(0, len(texts), part) for ids in self.library.encode([t[1:] for t in texts[i : i + part]], num_threads=1)]
-        for i, t in enumerate(texts):
-            if t == " ":  # the library gives an empty text no tokens
-                words[i] = np.array([self.space], np.int32)
-        return join_words(words)
+        # the library gives an empty text no tokens: it stands for a space alone
+        return joined([[ids or [self.space] for ids in self.library.encode([t[1:] for t in texts[i : i + part]], num_threads=1)] for i in range(0, len(texts), part)])
 
 
 def units(texts: pa.Array, cuttable: bool = True) -> pa.Array:
