@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumastack.operators.intervals import clipped_windows
 from lumastack.sources.shared import materialise
 
 
@@ -137,6 +138,19 @@ def filter_quality(clipped: DataFrame, expected: float) -> DataFrame:
     return g.withColumn("filter_quality", F.round(F.col("quality_post") * F.col("snr_factor") * F.col("stability"), 4))
 
 
+def rated_windows(captures: DataFrame, minutes: float, expected: float, k: float = 1.5, anchor: str = "IR") -> DataFrame:
+    """The same figures as filter_quality(sigma_clip(anchor_windows(...))), from sums instead of a row for each window and member
+    (lumastack.operators.intervals). Captures without a score are in no window."""
+    found = clipped_windows(captures, captures.where(F.col("filter") == anchor), minutes, k)
+    kind = captures.schema["ts"].dataType
+    cv = F.when(F.col("mean_in") <= 1e-9, 1.0).otherwise(F.try_divide(F.sqrt(F.col("squares_in") / F.col("n_in")), F.col("mean_in")))
+    snr = F.least(F.lit(1.0), F.sqrt(F.col("n_in") / F.lit(float(expected))))
+    times = {"center_ts": "c", "first_ts": "first_t", "last_ts": "last_t"}
+    rows = found.select("window_id", "filter", F.col("n").alias("n_total"), F.col("n_in").alias("n_included"), F.col("mean").alias("quality_pre"), F.col("mean_in").alias("quality_post"), snr.alias("snr_factor"), (1 / (1 + cv)).alias("stability"), *[F.timestamp_micros(c).cast(kind).alias(name) for name, c in times.items()])
+    rows = rows.withColumn("filter_quality", F.round(F.col("quality_post") * F.col("snr_factor") * F.col("stability"), 4))
+    return rows.select("window_id", "center_ts", "filter", "n_total", "n_included", "quality_pre", "quality_post", "snr_factor", "stability", "filter_quality", "first_ts", "last_ts")
+
+
 def complete_windows(quality: DataFrame, required: list[str]) -> DataFrame:
     """Windows that have every required filter: (window_id, center_ts, n_filters, window_quality, rotation_degrees).
 
@@ -155,7 +169,7 @@ def complete_windows(quality: DataFrame, required: list[str]) -> DataFrame:
 def search(captures: DataFrame, required: list[str], minutes: float, cycle: float, k: float = 1.5, threshold: float = 0.0) -> DataFrame:
     """Every complete window: score, filter, clip and rate the captures around each anchor."""
     scored = min_quality(norm_scores(captures), threshold)
-    rated = filter_quality(sigma_clip(anchor_windows(scored, minutes, "IR" if "IR" in required else required[0]), k), minutes / cycle)
+    rated = rated_windows(scored, minutes, minutes / cycle, k, "IR" if "IR" in required else required[0])
     return complete_windows(rated, required)
 
 

@@ -113,8 +113,7 @@ windows AS (SELECT window_id, center_ts, n_filters, CASE WHEN least_q > 0 THEN r
 
 
 def rated(spark, sf):
-    members = windows.anchor_windows(windows.norm_scores(captures(spark, sf)), MINUTES)
-    return windows.filter_quality(windows.sigma_clip(members, K), MINUTES / CYCLE)
+    return windows.rated_windows(windows.norm_scores(captures(spark, sf)), MINUTES, MINUTES / CYCLE, K)
 
 
 @query(f"WITH {CAPTURES_SQL} SELECT stem, 0.5 * raw_score + 0.3 * (raw_score / 2) + 0.2 * (raw_score / 4) AS raw FROM captures")
