@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumastack.operators import kernels
+from lumastack.operators import contours, kernels
+from lumastack.operators.contours import ellipses
 
 #: Pixels that one kernel call takes at most.
 STACK = 4_000_000
@@ -304,25 +305,20 @@ def disk_moments(frames: DataFrame, threshold: int = 127) -> DataFrame:
     return per_stack(frames, kernel, "n bigint, cx double, cy double").withColumn("cx", F.when(F.col("n") > 0, F.col("cx"))).withColumn("cy", F.when(F.col("n") > 0, F.col("cy")))
 
 
-def ellipses(a: np.ndarray, margin: float = 0.1) -> dict[str, np.ndarray]:
-    """Centre, half axes and angle of the bright disk of each frame of a stack."""
-    g = kernels.gray8(a)
-    rows = []
-    for image, t in zip(g, kernels.otsu(g), strict=True):
-        part = kernels.largest_component(image > max(1, t * (1 - margin)))
-        h, w = image.shape
-        if part is None or part.sum() < 5:
-            rows.append((w / 2, h / 2, min(h, w) / 4, min(h, w) / 4, 0.0))
-            continue
-        y, x = np.nonzero(part)
-        values, vectors = np.linalg.eigh(np.cov(np.stack((x, y)), bias=True) + np.eye(2) / 12)
-        rows.append((x.mean(), y.mean(), 2 * np.sqrt(values[1]), 2 * np.sqrt(values[0]), np.degrees(np.arctan2(vectors[1, 1], vectors[0, 1])) % 180))
-    return {k: np.array([r[i] for r in rows]) for i, k in enumerate(("cx", "cy", "semi_major", "semi_minor", "angle"))}
-
-
-def disk_ellipse(frames: DataFrame, margin: float = 0.1) -> DataFrame:
-    """Centre, half axes and angle of the bright disk from its second moments; quarter-frame circle where nothing is found."""
-    return per_stack(frames, lambda a, _: ellipses(a, margin), "cx double, cy double, semi_major double, semi_minor double, angle double")
+def disk_ellipse(frames: DataFrame, margin: float = 0.1, fixed: int = 0) -> DataFrame:
+    """Centre, half axes and angle of the bright disk from the ellipse through its outline (contours.ellipses); quarter-frame circle where nothing is found."""
+    return per_stack(frames, lambda a, _: ellipses(a, margin, fixed), "cx double, cy double, semi_major double, semi_minor double, angle double")
+
+
+def closed_disks(frames: DataFrame, margin: float = 0.1, fixed: int = 0) -> DataFrame:
+    """(frame_id, n_lit, n_closed, closed): pixels of the disk's mask before and after closing, and the closed mask row by row as text of 0 and 1."""
+
+    def kernel(a, _):
+        before = contours.lit(a, margin, fixed)
+        after = contours.close(before)
+        return {"n_lit": before.sum((1, 2)), "n_closed": after.sum((1, 2)), "closed": ["".join(map(str, m.ravel().astype(int))) for m in after]}
+
+    return per_stack(frames, kernel, "n_lit bigint, n_closed bigint, closed string")
 
 
 def shifts_to(frames: DataFrame, reference: list[list[float]], method: str = "phase", confidence: float = 0.0, most: float = 20.0) -> DataFrame:

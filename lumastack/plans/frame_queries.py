@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumastack.operators import composite, derotate, kernels, report, series, stack
+from lumastack.operators import composite, contours, derotate, kernels, report, series, stack
 from lumastack.operators import frames as fr
 from lumastack.operators.windows import norm_scores, raw_score, seconds
 from lumastack.plans.proxies import FRAMES_SQL, PIXELS_SQL, SIDE, frames, frames_of, pixels
@@ -249,6 +249,17 @@ def disk_ellipse(spark, sf):
     return fr.disk_ellipse(frames(spark, sf))
 
 
+ELEMENT_SQL = "k AS (SELECT dy, dx FROM (VALUES " + ", ".join(f"({dy}, {reach})" for dy, reach in contours.round_element()) + ") r(dy, reach), range(-3, 4) s(dx) WHERE abs(dx) <= reach)"
+
+
+@query(f"""WITH {PIXELS_SQL}, {ELEMENT_SQL}, m AS (SELECT frame_id, y, x, floor(v * 255) > 127 AS lit FROM pixels),
+big AS (SELECT m.frame_id, m.y, m.x, bool_or(o.lit) AS lit FROM m, k JOIN m o ON o.frame_id = m.frame_id AND o.y = m.y + dy AND o.x = m.x + dx GROUP BY ALL),
+done AS (SELECT b.frame_id, b.y, b.x, bool_and(o.lit) AS lit FROM big b, k JOIN big o ON o.frame_id = b.frame_id AND o.y = b.y + dy AND o.x = b.x + dx GROUP BY ALL)
+SELECT frame_id, count(*) FILTER (m.lit) AS n_lit, count(*) FILTER (d.lit) AS n_closed, string_agg(CAST(CAST(d.lit AS INTEGER) AS VARCHAR), '' ORDER BY y, x) AS closed FROM m JOIN done d USING (frame_id, y, x) GROUP BY frame_id""")
+def disk_closing(spark, sf):
+    return fr.closed_disks(frames(spark, sf), fixed=127)
+
+
 MEDIAN_SQL = "mid AS (SELECT frame_id, v, avg(v) OVER (PARTITION BY frame_id) AS m FROM pixels WHERE y >= 2 AND y < 6 AND x >= 2 AND x < 6), med AS (SELECT frame_id, quantile_cont(v, 0.5) AS median FROM mid WHERE v > 0.3 * m GROUP BY frame_id)"
 
 

@@ -48,7 +48,8 @@ def test_components_thresholds_ellipse(spark):
     assert found[1]["bx"] > 10
     assert found[2]["bx"] is None or found[2]["area"] > 0
     e = {r["frame_id"]: r for r in fr.disk_ellipse(frame_rows(spark, [disk(cx=30, cy=33)])).collect()}[0]
-    assert abs(e["cx"] - 30) < 0.5 and abs(e["cy"] - 33) < 0.5 and abs(e["semi_major"] - 15) < 0.5 and abs(e["semi_minor"] - 12) < 0.5
+    assert abs(e["cx"] - 30) < 0.5 and abs(e["cy"] - 33) < 0.5
+    assert 0 <= 15 - e["semi_major"] < 1 and 0 <= 12 - e["semi_minor"] < 1  # the ellipse runs through the outermost pixels' centres, inside the disk's edge
 
 
 def test_screen_reasons(spark):
