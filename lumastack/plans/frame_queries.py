@@ -782,3 +782,48 @@ def stretch_comparison(spark, sf):
     return first.join(then, ["filter", "y", "x"]).select("filter", "y", "x", (F.col("a") - F.col("b")).alias("difference"))
 
 
+# -- video files --------------------------------------------------------------------------------------------------------
+VIDEO_SQL = FRAMES_SQL + """, video AS (SELECT 'f' || CAST(file_id AS VARCHAR) || '.ser' AS file, CAST(row_number() OVER (PARTITION BY file_id ORDER BY frame_id) - 1 AS INTEGER) AS frame_idx, ts,
+  list_sum(list_transform(embedding, lambda v: round_even(greatest(0, least(1, (CAST(v AS DOUBLE) + 1) / 2)) * 65535, 0))) AS total FROM frames)"""
+
+
+def video_files(spark: SparkSession, sf: str) -> str:
+    """The folder of a shared one that the frames are written to, a video file for each file_id."""
+    from lumastack.sources.ser import SerSource, write_ser
+
+    folder = f"{shared_dir(spark)}/video/{uuid.uuid4().hex}"
+    named = frames(spark, sf).withColumn("file", F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit(".ser")))
+    write_ser(named, folder).count()
+    spark.dataSource.register(SerSource)
+    return folder
+
+
+@query(f"WITH {VIDEO_SQL} SELECT file, frame_idx, ts, 8 AS h, 8 AS w, total FROM video")
+def ser_round_trip(spark, sf):
+    """All frames written as video files and read back."""
+    from lumastack.sources.ser import frame_time
+
+    read = spark.read.format("ser").option("path", video_files(spark, sf)).load()
+    return read.select("file", "frame_idx", frame_time("ts_ticks").cast("timestamp_ntz").alias("ts"), "h", "w", F.aggregate("px", F.lit(0.0), lambda s, v: s + v).alias("total"))
+
+
+@query(f"WITH {VIDEO_SQL} SELECT file, frame_idx, ts FROM video WHERE frame_idx BETWEEN 3 AND 7 AND file IN ('f1.ser', 'f3.ser')")
+def ser_frame_range(spark, sf):
+    """Some frames of some files: the others are not opened or read, and no pixel is."""
+    from lumastack.sources.ser import frame_time
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    read = spark.read.format("ser").schema("file string, frame_idx int, ts_ticks bigint").option("pushdown", "true").option("path", video_files(spark, sf)).load()
+    some = read.where(F.col("frame_idx").between(3, 7) & F.col("file").isin("f1.ser", "f3.ser"))
+    return some.select("file", "frame_idx", frame_time("ts_ticks").cast("timestamp_ntz").alias("ts"))
+
+
+@query(f"WITH {VIDEO_SQL} SELECT file, count(*) AS n, max(ts) AS last_ts FROM video GROUP BY file")
+def stream_ser_files(spark, sf):
+    """The files as a stream of frames, counted by file."""
+    from lumastack.sources.ser import frame_time
+    from lumastack.streaming.streams import run_to_end
+
+    stream = spark.readStream.format("ser").schema("file string, frame_idx int, ts_ticks bigint").option("path", video_files(spark, sf)).load()
+    seen = run_to_end(stream.select("file", frame_time("ts_ticks").cast("timestamp_ntz").alias("ts")), "append")
+    return seen.groupBy("file").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
