@@ -1,8 +1,11 @@
-"""SQL names for operators that are expressions of columns."""
+"""SQL names for operators that are expressions of columns, and table functions."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from lumastack.operators.grids import AP_GRID_TYPE, ApGrid
 
 #: name(parameters), type and body of each function.
 FUNCTIONS = {
@@ -17,6 +20,7 @@ FUNCTIONS = {
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Make the functions known to SQL in this session."""
+    """Make the functions, and the table function ap_grid, known to SQL in this session."""
     for head, (kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
+    spark.udtf.register("ap_grid", F.arrow_udtf(ApGrid, returnType=AP_GRID_TYPE))

@@ -108,20 +108,6 @@ def covered(points: DataFrame) -> DataFrame:
     return rows.withColumn("x", F.explode(F.sequence(F.col("ax") - half, F.col("ax") + half - 1)))
 
 
-def ap_grid(patches: DataFrame, step: int, size: int, h: int, w: int, least_std: float, least_of_peak: float) -> DataFrame:
-    """(frame_id, ax, ay): grid points whose patch varies enough and is bright enough against the frame's peak.
-
-    Each pixel goes to the patches that cover it, found from its own place, so no pixel meets all points.
-    """
-    half = size // 2
-    points = [(x, y) for y in range(half, h - half + 1, step) for x in range(half, w - half + 1, step)]
-    spark = patches.sparkSession
-    cover = covered(spark.createDataFrame([(x, y, size) for x, y in points], "ax int, ay int, size int")).drop("size")
-    peak = patches.groupBy("frame_id").agg(F.max("v").alias("_p"))
-    g = patches.join(cover, ["y", "x"]).groupBy("frame_id", "ax", "ay").agg(F.stddev_pop("v").alias("_s"), F.avg("v").alias("_m")).join(peak, "frame_id")
-    return g.where((F.col("_s") >= least_std) & (F.col("_m") >= least_of_peak * F.col("_p"))).select("frame_id", "ax", "ay")
-
-
 def warp_field(points: DataFrame, h: int, w: int, sigma: float) -> DataFrame:
     """(frame_id, y, x, dx, dy): displacements at alignment points (frame_id, ax, ay, dx, dy, conf) spread by a Gaussian.
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumastack.operators import composite, contours, derotate, kernels, report, series, stack
+from lumastack.operators import composite, contours, derotate, grids, kernels, report, series, stack
 from lumastack.operators import frames as fr
 from lumastack.operators.windows import norm_scores, raw_score, seconds
 from lumastack.plans.proxies import FRAMES_SQL, PIXELS_SQL, SIDE, frames, frames_of, pixels
@@ -318,7 +318,26 @@ def per_ap_top(spark, sf):
 
 @query(f"WITH {PIXELS_SQL}, aps AS (SELECT CAST(a * 2 AS INTEGER) AS ax, CAST(b * 2 AS INTEGER) AS ay FROM range(1, 4) p(a), range(1, 4) q(b)), g AS (SELECT frame_id, ax, ay, stddev_pop(v) AS s, avg(v) AS m FROM pixels JOIN aps ON x >= ax - 2 AND x < ax + 2 AND y >= ay - 2 AND y < ay + 2 GROUP BY ALL) SELECT frame_id, ax, ay FROM g JOIN (SELECT frame_id, max(v) AS p FROM pixels GROUP BY 1) USING (frame_id) WHERE s >= 0.055 AND m >= 0.75 * p")
 def ap_grid_uniform(spark, sf):
-    return stack.ap_grid(pix(spark, sf), 2, 4, SIDE, SIDE, 0.055, 0.75)
+    return grids.ap_grid(frames(spark, sf), 2, 4, 0.055, 0.75, to_the_end=True)
+
+
+GRID_SQL = PIXELS_SQL + """, d AS (SELECT frame_id, sum(x) / count(*) AS cx, sum(y) / count(*) AS cy, sqrt(count(*) / pi()) AS radius FROM pixels WHERE floor(v * 255) > 127 GROUP BY frame_id),
+g AS (SELECT frame_id, ax, ay, stddev_pop(v) AS s, avg(v) AS m FROM pixels JOIN (SELECT CAST(a AS INTEGER) AS ax, CAST(b AS INTEGER) AS ay FROM range(2, 6) p(a), range(2, 6) q(b)) ON x >= ax - 2 AND x < ax + 2 AND y >= ay - 2 AND y < ay + 2 GROUP BY ALL)"""
+
+
+@query(f"WITH {GRID_SQL} SELECT CAST(frame_id AS VARCHAR) AS frame_id, ax, ay FROM g LEFT JOIN d USING (frame_id) JOIN (SELECT frame_id, max(v) AS p FROM pixels GROUP BY 1) USING (frame_id) WHERE s >= 0.05 AND m >= 0.6 * p AND coalesce((ax - cx) * (ax - cx) + (ay - cy) * (ay - cy) < radius * radius, true)")
+def ap_grid_function(spark, sf):
+    """The table function in SQL: points on the disk that the lit pixels' centre and number give."""
+    from lumastack.functions.sql import register_functions
+
+    register_functions(spark)
+    lit = F.filter(F.transform("px", lambda v, i: F.when(F.floor(v * 255) > 127, i)), lambda i: i.isNotNull())
+    n, add = F.size("_lit"), lambda s, v: s + v
+    rows = frames(spark, sf).withColumn("_lit", lit)
+    mean = lambda f: F.try_divide(F.aggregate(F.transform("_lit", f), F.lit(0).cast("bigint"), add), n)
+    rows = rows.select("frame_id", "h", "w", "px", mean(lambda i: (i % F.col("w")).cast("bigint")).alias("cx"), mean(lambda i: F.floor(i / F.col("w"))).alias("cy"), F.when(n > 0, F.sqrt(n / F.pi())).alias("radius"))
+    rows.createOrReplaceTempView("ap_grid_frames")
+    return spark.sql("SELECT * FROM ap_grid(TABLE(SELECT * FROM ap_grid_frames) PARTITION BY (frame_id), 1, 4, 0.05D, 0.6D)")
 
 
 @query()
@@ -328,9 +347,9 @@ def ap_grid_poisson(spark, sf):
 
 @query(f"WITH {PIXELS_SQL}, g AS (SELECT s * 2 AS size, CAST(s + 2 * a AS INTEGER) AS ax, CAST(s + 2 * b AS INTEGER) AS ay FROM range(1, 4) z(s), range(4) p(a), range(4) q(b) WHERE s + 2 * a <= 8 - s AND s + 2 * b <= 8 - s), m AS (SELECT frame_id, ax, ay, size, stddev_pop(v) AS d, avg(v) AS m FROM pixels JOIN g ON x >= ax - size / 2 AND x < ax + size / 2 AND y >= ay - size / 2 AND y < ay + size / 2 GROUP BY ALL) SELECT frame_id, ax, ay, CAST(size AS INTEGER) AS size FROM m JOIN (SELECT frame_id, max(v) AS p FROM pixels GROUP BY 1) USING (frame_id) WHERE d >= 0.05 AND m >= 0.7 * p")
 def ap_grid_layers(spark, sf):
-    p = pix(spark, sf)
-    grids = [stack.ap_grid(p, 2, size, SIDE, SIDE, 0.05, 0.7).withColumn("size", F.lit(size)) for size in (2, 4, 6)]
-    return grids[0].unionByName(grids[1]).unionByName(grids[2])
+    f = frames(spark, sf)
+    layers = [grids.ap_grid(f, 2, size, 0.05, 0.7, to_the_end=True).withColumn("size", F.lit(size)) for size in (2, 4, 6)]
+    return layers[0].unionByName(layers[1]).unionByName(layers[2])
 
 
 # -- geometry -----------------------------------------------------------------------------------------------------------
