@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumastack.operators import kernels
+from lumastack.operators.fields import patch_stack
 from lumastack.operators.frames import ellipses, per_stack, with_px
 from lumastack.operators.stack import clip01, covered
 
@@ -85,68 +86,15 @@ def disk_balance(composites: DataFrame, by: list[str], most: float = 20.0) -> Da
     return per_stack(rows, kernel, "gain_r double, gain_b double, dx_r double, dy_r double, dx_b double, dy_b double", (*by, "_r", "_b")).drop("_r", "_b")
 
 
-def patch_parts(frames: DataFrame, picks: DataFrame, references: DataFrame, size: int, by: str = "file_id") -> DataFrame:
-    """(by, ap_id, ax, ay, y, x, wv, w): what each frame adds to the patches it was picked for.
-
-    picks has by, frame_id, ap_id, ax, ay, weight: at most one row a point and frame. A patch is aligned to the same place
-    of the reference by cross-correlation; a shift over half the patch counts as none. Patches are twice the size, fetched
-    between pixels.
-    """
-    half = size // 2
-    point = F.struct("ap_id", "ax", "ay", "weight")
-    own = picks.groupBy(by, "frame_id").agg(F.collect_list(point).alias("aps"))
-    rows = frames.join(own, [by, "frame_id"]).join(references.select(by, F.col("px").alias("ref")), by)
-
-    def kernel(a, table):
-        refs = table.column("ref").flatten().to_numpy(zero_copy_only=False).reshape(a.shape)
-        n, h, w = a.shape
-        out = []
-        for f, r, aps in zip(a, refs, table.column("aps").to_pylist(), strict=True):
-            parts = []
-            for p in aps:
-                y0, y1, x0, x1 = max(0, p["ay"] - half), min(h, p["ay"] + half), max(0, p["ax"] - half), min(w, p["ax"] + half)
-                dx, dy, _ = kernels.ncc_shift(r[y0:y1, x0:x1], f[None, y0:y1, x0:x1])[0]
-                if max(abs(dx), abs(dy)) > half:
-                    dx = dy = 0.0
-                ys, xs = np.mgrid[max(0, p["ay"] - size) : min(h, p["ay"] + size), max(0, p["ax"] - size) : min(w, p["ax"] + size)]
-                fx, fy = np.clip(xs + dx, 0, w - 1), np.clip(ys + dy, 0, h - 1)
-                ix, iy = np.minimum(fx.astype(int), w - 2), np.minimum(fy.astype(int), h - 2)
-                tx, ty = fx - ix, fy - iy
-                v = (1 - ty) * ((1 - tx) * f[iy, ix] + tx * f[iy, ix + 1]) + ty * ((1 - tx) * f[iy + 1, ix] + tx * f[iy + 1, ix + 1])
-                parts += [{"ap_id": p["ap_id"], "ax": p["ax"], "ay": p["ay"], "y": y, "x": x, "wv": p["weight"] * u, "w": p["weight"]} for y, x, u in zip(ys.ravel().tolist(), xs.ravel().tolist(), v.ravel().tolist(), strict=True)]
-            out.append(parts)
-        return {"parts": out}
-
-    made = per_stack(rows, kernel, "parts array<struct<ap_id:int,ax:int,ay:int,y:int,x:int,wv:double,w:double>>", (by, "aps", "ref"))
-    return made.select(by, F.explode("parts").alias("p")).select(by, "p.*")
-
-
 def per_ap_patch_stack(frames: DataFrame, picks: DataFrame, references: DataFrame, size: int, by: str = "file_id", base: DataFrame | None = None, rolloff: float = 0.0) -> DataFrame:
-    """(by, y, x, v): the patches of each alignment point averaged over the frames picked for it, then blended by a Gaussian of 2 size / 3 around the points.
-
-    Two aggregations, by point and pixel and by pixel, both combined before the shuffle. Where no patch reaches, 0; with a
-    base (by, y, x, v), that, added to all with a weight of 0.001, and the Gaussian is of size / 4. A rolloff over 0 is the
-    deviation of a Gaussian over frequencies that the stack is faded by in the end.
-    """
-    patches = patch_parts(frames, picks, references, size, by).groupBy(by, "ap_id", "ax", "ay", "y", "x").agg((F.sum("wv") / F.sum("w")).alias("v"))
-    sigma = 2 * size / 3 if base is None else size / 4
-    g = F.exp(-(F.pow(F.col("x") - F.col("ax"), F.lit(2)) + F.pow(F.col("y") - F.col("ay"), F.lit(2))) / (2 * sigma * sigma))
-    parts = patches.select(by, "y", "x", (g * F.col("v")).alias("_a"), g.alias("_g"))
-    if base is not None:
-        parts = parts.unionByName(base.select(by, "y", "x", (1e-3 * F.col("v")).alias("_a"), F.lit(1e-3).alias("_g")))
-    blended = parts.groupBy(by, "y", "x").agg(clip01(F.sum("_a") / F.sum("_g")).alias("v"))
-    grid = references.select(by, "h", "w", F.explode(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1)).alias("_i")).select(by, F.expr("cast(_i div w as int)").alias("y"), (F.col("_i") % F.col("w")).alias("x"))
-    whole = grid.join(blended, [by, "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
-    if not rolloff:
-        return whole
-    return pixel_table(with_px(as_frames(whole, by), lambda a: kernels.rolled_off(a, rolloff), (by, "h", "w")), by)
+    """(by, y, x, v): fields.patch_stack as a row for each pixel of the stacks; base likewise (by, y, x, v)."""
+    return pixel_table(patch_stack(frames, picks, references, size, by, None if base is None else as_frames(base, by), rolloff), by)
 
 
 def refine(frames: DataFrame, picks: DataFrame, references: DataFrame, size: int, rounds: int, store) -> DataFrame:
     """The patch stack taken as reference again, `rounds` times (a small fixed number); store() writes each round's frames and reads them again."""
     for _ in range(rounds):
-        stacked = per_ap_patch_stack(frames, picks, references, size)
-        references = store(as_frames(stacked, "file_id"))
+        references = store(patch_stack(frames, picks, references, size))
     return references
 
 
@@ -214,23 +162,3 @@ def ap_grid_multiscale(patches: DataFrame, sizes: tuple[int, ...], points: list[
     g = g.withColumn("stop", (F.col("n") < F.col("size") * F.col("size")) | (F.col("m") < dark)).withColumn("fit", F.col("s") >= contrast)
     stopped = F.max(F.col("stop").cast("int")).over(Window.partitionBy("frame_id", "ax", "ay").orderBy("size"))
     return g.withColumn("stopped", stopped).where("fit AND stopped = 0").groupBy("frame_id", "ax", "ay").agg(F.min("size").alias("size"))
-
-
-def remap_frames(frames: DataFrame, fields: DataFrame, gx: Column, gy: Column) -> DataFrame:
-    """Frames resampled once at their pixel's place plus the local field (frame_id, y, x, dx, dy) plus the global shift (gx, gy)."""
-    field = fields.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "dx", "dy"))).alias("field"))
-    rows = frames.join(field, "frame_id").withColumn("gx", gx.cast("double")).withColumn("gy", gy.cast("double"))
-
-    def kernel(a, table):
-        n, h, w = a.shape
-        y, x = np.mgrid[:h, :w].astype(float)
-        out = []
-        for f, held, sx, sy in zip(a, table.column("field").to_pylist(), table.column("gx").to_pylist(), table.column("gy").to_pylist(), strict=True):
-            mx, my = x + sx, y + sy
-            for p in held:
-                mx[p["y"], p["x"]] += p["dx"]
-                my[p["y"], p["x"]] += p["dy"]
-            out.append(kernels.remap(f, mx, my, "mirror"))
-        return {"px": np.stack(out)}
-
-    return per_stack(rows, kernel, "px array<double>", ("frame_id", "h", "w", "field", "gx", "gy")).drop("field", "gx", "gy")

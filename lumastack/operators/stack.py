@@ -108,23 +108,6 @@ def covered(points: DataFrame) -> DataFrame:
     return rows.withColumn("x", F.explode(F.sequence(F.col("ax") - half, F.col("ax") + half - 1)))
 
 
-def warp_field(points: DataFrame, h: int, w: int, sigma: float) -> DataFrame:
-    """(frame_id, y, x, dx, dy): displacements at alignment points (frame_id, ax, ay, dx, dy, conf) spread by a Gaussian.
-
-    The weight of a point is its confidence, once in the sum and once more in the shift; pixels with under 5 % of the
-    frame's largest weight, and frames with fewer than three points, get 0.
-    """
-    reach = int(3 * sigma) + 1
-    near = points.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("ay") - reach), F.least(F.lit(h - 1), F.col("ay") + reach))).alias("y"))
-    near = near.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("ax") - reach), F.least(F.lit(w - 1), F.col("ax") + reach))).alias("x"))
-    g = F.exp(-(F.pow(F.col("x") - F.col("ax"), F.lit(2)) + F.pow(F.col("y") - F.col("ay"), F.lit(2))) / (2 * sigma * sigma))
-    c = F.col("conf")
-    field = near.groupBy("frame_id", "y", "x").agg(F.sum(g * c).alias("_w"), F.sum(g * F.col("dx") * c * c).alias("_x"), F.sum(g * F.col("dy") * c * c).alias("_y"))
-    top = field.groupBy("frame_id").agg(F.max("_w").alias("_t")).join(points.groupBy("frame_id").agg(F.count("*").alias("_n")), "frame_id")
-    sure = (F.col("_w") >= 0.05 * F.col("_t")) & (F.col("_n") >= 3)
-    return field.join(top, "frame_id").select("frame_id", "y", "x", F.when(sure, F.try_divide("_x", "_w")).otherwise(0.0).alias("dx"), F.when(sure, F.try_divide("_y", "_w")).otherwise(0.0).alias("dy"))
-
-
 def derotation_field(x: Column, y: Column, cx: float, cy: float, radius: float, ratio: float, delta: Column, pole: Column, scale: float = 0.8, tilted: bool = False) -> Column:
     """STRUCT(dx, dy): the drift of an oblate disk that has turned by delta degrees, along the pole's direction; if tilted, the flattening turns with the pole too."""
     rx, ry = x - cx, y - cy

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumastack.operators import alignment, catalog, composite, kernels, sequence, series, sharpen, stack, windows
+from lumastack.operators import alignment, catalog, composite, fields, kernels, sequence, series, sharpen, stack, windows
 from lumastack.operators import frames as fr
 from lumastack.plans import capture_queries as cq
 from lumastack.plans import frame_queries as fq
@@ -108,15 +108,14 @@ def session_aps(spark, sf):
 
 @query()
 def remap(spark, sf):
-    field = stack.warp_field(fq.points(spark, sf), SIDE, SIDE, 1.8)
-    made = alignment.remap_frames(frames(spark, sf).select("frame_id", "h", "w", "px"), field, (F.col("frame_id") % 3) / 4.0, F.lit(0.0))
+    made = fields.remap_frames(frames(spark, sf).select("frame_id", "h", "w", "px"), fq.points(spark, sf), 1.8, (F.col("frame_id") % 3) / 4.0, F.lit(0.0))
     return fq.as_pixels(made).select("frame_id", "y", "x", "v")
 
 
 @query(fq.ORACLE_SQL["warp_field"].replace("1.8 * 1.8", "2.5 * 2.5").replace("<= 6", "<= 8").replace("conf AS c FROM", "conf * ln(1 + ax) AS c FROM"))
 def warp_field_adaptive(spark, sf):
     weighed = fq.points(spark, sf).withColumn("conf", F.col("conf") * F.log1p(F.col("ax").cast("double")))
-    return stack.warp_field(weighed, SIDE, SIDE, 2.5)
+    return fields.warp_field(weighed, SIDE, SIDE, 2.5)
 
 
 BELL, BEND = sharpen.blob_taps(0.75)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumastack.operators import composite, contours, derotate, grids, kernels, report, series, stack
+from lumastack.operators import composite, contours, derotate, fields, grids, kernels, report, series, stack
 from lumastack.operators import frames as fr
 from lumastack.operators.windows import norm_scores, raw_score, seconds
 from lumastack.plans.proxies import FRAMES_SQL, PIXELS_SQL, SIDE, frames, frames_of, pixels
@@ -366,7 +366,7 @@ def points(spark, sf) -> DataFrame:
 w AS (SELECT frame_id, y, x, sum(g * c) AS w, sum(g * dx * c * c) AS sx, sum(g * dy * c * c) AS sy FROM f GROUP BY ALL), t AS (SELECT *, max(w) OVER (PARTITION BY frame_id) AS top FROM w)
 SELECT frame_id, y, x, CASE WHEN w >= 0.05 * top THEN sx / w ELSE 0 END AS dx, CASE WHEN w >= 0.05 * top THEN sy / w ELSE 0 END AS dy FROM t""")
 def warp_field(spark, sf):
-    return stack.warp_field(points(spark, sf), SIDE, SIDE, 1.8)
+    return fields.warp_field(points(spark, sf), SIDE, SIDE, 1.8)
 
 
 @query()
@@ -376,7 +376,7 @@ def warp_field_sharpness(spark, sf):
     at_ = F.array(*[F.struct(F.lit(x).alias("ax"), F.lit(y).alias("ay")) for x, y in APS])
     sharp = sharp.withColumn("p", F.get(at_, F.col("ap_id"))).select("frame_id", "p.ax", "p.ay", "sharpness")
     weighed = points(spark, sf).join(sharp, ["frame_id", "ax", "ay"]).withColumn("conf", F.col("conf") * F.log1p("sharpness")).drop("sharpness")
-    return stack.warp_field(weighed, SIDE, SIDE, 64.0)
+    return fields.warp_field(weighed, SIDE, SIDE, 64.0)
 
 
 @query(f"WITH {POINTS_SQL} SELECT frame_id, ax, ay, conf >= 0.6 AND sqrt(dx * dx + dy * dy) <= 0.2 AS ok FROM points")
