@@ -6,6 +6,8 @@ import numpy as np
 
 from lumastack.operators import kernels
 
+#: Pixels whose parts are looked for together.
+TOGETHER = 1_000_000
 #: Side of the round structuring element that closes gaps in a disk.
 CLOSING = 7
 
@@ -33,40 +35,51 @@ def close(masks: np.ndarray, side: int = CLOSING) -> np.ndarray:
     return ~dilate(~dilate(masks, side), side)
 
 
-def parts(mask: np.ndarray, *, corners: bool) -> np.ndarray:
-    """The connected parts of one mask, each pixel labelled by the smallest place in its part (size of the mask: not set)."""
-    h, w = mask.shape
-    steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if corners or not (dy and dx)]
-    label = np.where(mask, np.arange(h * w).reshape(h, w), h * w)
+def parts(masks: np.ndarray, *, corners: bool) -> np.ndarray:
+    """The connected parts of n masks, each pixel labelled by the smallest place in its part (size of all masks: not set).
+
+    Labels spread to neighbours in all masks at once, and each label is followed to its own label, so rounds stay few.
+    """
+    n, h, w = masks.shape
+    none = masks.size
+    steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy or dx) and (corners or not (dy and dx))]
+    label = np.where(masks, np.arange(none).reshape(masks.shape), none)
     while True:
-        padded = np.pad(label, 1, constant_values=h * w)
-        low = np.where(mask, np.min([padded[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy, dx in steps], axis=0), h * w)
-        follow = np.append(low.ravel(), h * w)
-        for _ in range(3):  # a label's own label, and its label
+        padded = np.pad(label, ((0, 0), (1, 1), (1, 1)), constant_values=none)
+        low = label.copy()
+        for dy, dx in steps:
+            np.minimum(low, padded[:, 1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w], out=low)
+        low[~masks] = none
+        follow = np.append(low.ravel(), none)
+        for _ in range(3):
             low = follow[low]
         if (low == label).all():
             return label
         label = low
 
 
-def outline(mask: np.ndarray) -> np.ndarray | None:
-    """The outer boundary pixels, as (x, y), of the part of a mask whose outline encloses the largest area; None without any part.
+def outlines(masks: np.ndarray) -> list[np.ndarray | None]:
+    """For each mask the outer boundary pixels, as (x, y), of the part whose outline encloses the largest area; None without any part.
 
     The boundary of a part are its pixels with a side on the background that reaches the frame's edge, so holes, and what lies in
     them, do not count. The area within the pixels' centres follows from their numbers: pixels inside and half of those on it, less one.
     """
-    if not mask.any():
-        return None
-    free = parts(np.pad(~mask, 1, constant_values=True), corners=False)
-    outside = free == free[0, 0]
-    label, filled = parts(mask, corners=True), ~outside[1:-1, 1:-1]
-    edge = mask & (outside[:-2, 1:-1] | outside[2:, 1:-1] | outside[1:-1, :-2] | outside[1:-1, 2:])
+    free = parts(np.pad(~masks, ((0, 0), (1, 1), (1, 1)), constant_values=True), corners=False)
+    outside = free == free[:, :1, :1]
+    filled = ~outside[:, 1:-1, 1:-1]
+    edge = masks & (outside[:, :-2, 1:-1] | outside[:, 2:, 1:-1] | outside[:, 1:-1, :-2] | outside[:, 1:-1, 2:])
     whole = parts(filled, corners=True)
     names, inside = np.unique(whole[filled], return_counts=True)
     on = np.bincount(np.searchsorted(names, whole[edge]), minlength=len(names))
-    largest = names[np.argmax(inside - on / 2 - 1)]
-    y, x = np.nonzero(edge & (whole == largest) & (label < mask.size))
-    return np.column_stack((x, y))
+    area, frame, found = inside - on / 2 - 1, names // max(1, masks[0].size), []
+    for k in range(len(masks)):
+        i, j = np.searchsorted(frame, (k, k + 1))
+        if i == j:
+            found.append(None)
+            continue
+        y, x = np.nonzero(edge[k] & (whole[k] == names[i + int(np.argmax(area[i:j]))]))
+        found.append(np.column_stack((x, y)))
+    return found
 
 
 def fit_ellipse(points: np.ndarray) -> tuple[float, float, float, float, float] | None:
@@ -112,9 +125,9 @@ def ellipses(stack: np.ndarray, margin: float = 0.1, fixed: int = 0) -> dict[str
     quarter of the frame in its middle.
     """
     h, w = stack.shape[1:]
-    rows = []
-    for mask in close(lit(stack, margin, fixed)):
-        points = outline(mask)
+    rows, each = [], max(1, TOGETHER // (h * w))
+    masks = lit(stack, margin, fixed)
+    for points in (o for i in range(0, len(masks), each) for o in outlines(close(masks[i : i + each]))):
         if points is None:
             rows.append((w / 2, h / 2, min(h, w) / 4, min(h, w) / 4, 0.0))
             continue

@@ -10,6 +10,7 @@ from lumastack.operators import kernels
 from lumastack.operators.frames import ellipses, per_stack
 from lumastack.operators.stack import rotation_delta
 from lumastack.operators.windows import seconds
+from lumastack.sources.shared import materialise
 
 #: Pixels over which cubic resampling fades to linear at the limb, the padding of the warp's radius, and the bounds of a measured flattening.
 LIMB_FADE, PADDING, FLATTEST, ROUNDEST = 12.0, 1.05, 0.85, 1.0
@@ -64,16 +65,23 @@ def disk_level(a: np.ndarray) -> np.ndarray:
 
 
 def references(frames: DataFrame, by: list[str], center: str) -> DataFrame:
-    """(by, ref_id, ref, disk): the frame of each group nearest in time to the group's `center` (seconds), the earlier of equals, and its disk (cx, cy, radius, ratio)."""
-    near = F.struct(F.abs(seconds(F.col("ts")) - F.col(center)), F.col("ts"), F.col("frame_id"))
-    chosen = frames.groupBy(*by).agg(F.min_by(F.struct("frame_id", "h", "w", "px"), near).alias("r")).select(*by, F.col("r.frame_id").alias("ref_id"), "r.h", "r.w", "r.px")
+    """(by, ref_id, ref_dt, ref, disk): the frame of each group nearest in time to the group's `center` (seconds), the earlier of equals, its time against
+    that, and its disk (cx, cy, radius, ratio). The frame is chosen by its numbers; only the pixels of those chosen are looked up."""
+    dt = seconds(F.col("ts")) - F.col(center)
+    near = F.struct(F.abs(dt), F.col("ts"), F.col("frame_id"))
+    best = frames.groupBy(*by).agg(F.min_by(F.struct("frame_id", dt.alias("dt")), near).alias("r")).select(*by, F.col("r.frame_id").alias("ref_id"), F.col("r.dt").alias("ref_dt"))
+    own = frames.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("frame_id").alias("_id"), "h", "w", "px")
+    same = F.col("_id") == F.col("ref_id")
+    for k in by:
+        same &= F.col(f"_{k}").eqNullSafe(F.col(k))
+    chosen = own.join(best, same).select(*by, "ref_id", "ref_dt", "h", "w", "px")
 
     def kernel(a, _):
         e = ellipses(a)
         ratio = np.clip(e["semi_minor"] / np.maximum(e["semi_major"], 1.0), FLATTEST, ROUNDEST)
         return {"ref": a, "disk": np.stack((e["cx"], e["cy"], e["semi_major"], ratio), 1)}
 
-    return per_stack(chosen, kernel, "ref array<double>, disk array<double>", (*by, "ref_id"))
+    return per_stack(chosen, kernel, "ref array<double>, disk array<double>", (*by, "ref_id", "ref_dt"))
 
 
 def over_threshold(frames: DataFrame, by: list[str], threshold: float, score: str = "score") -> DataFrame:
@@ -92,37 +100,38 @@ def derotated_frames(frames: DataFrame, by: list[str], center: str, pole: str |
     """
     refs = references(frames, by, center)
     rows = frames.join(refs, by).withColumn("dt_sec", seconds(F.col("ts")) - F.col(center)).withColumn("_pole", F.coalesce(F.col(pole), F.lit(0.0)) if pole else F.lit(0.0))
-    first = F.min_by("dt_sec", F.when(F.col("frame_id") == F.col("ref_id"), 0).otherwise(1))
-    rows = rows.join(rows.groupBy(*by).agg(first.alias("_ref_dt")), by).withColumn("delta", rotation_delta(F.col("dt_sec"), period_hours)).withColumn("_ref_delta", rotation_delta(F.col("_ref_dt"), period_hours))
+    rows = rows.withColumn("delta", rotation_delta(F.col("dt_sec"), period_hours)).withColumn("_ref_delta", rotation_delta(F.col("ref_dt"), period_hours))
+
+    def turn(f, d, p, cx, cy, r, q):
+        return derotated(f, d, (cx, cy, r), q, p, scale)
 
     def kernel(a, table):
-        refs = table.column("ref").flatten().to_numpy(zero_copy_only=False).reshape(a.shape)
-        out = {"px": [], "dx": [], "dy": [], "method": []}
-        goals: dict = {}  # a group's reference is turned, and its level taken, once a batch
-        cells = zip(a, refs, *(table.column(c).to_pylist() for c in ("frame_id", "ref_id", "disk", "delta", "_ref_delta", "_pole")), strict=True)
-        for f, r, i, ref_id, (cx, cy, radius, ratio), delta, ref_delta, tilt in cells:
-            group = (ref_id, ref_delta, tilt, r.tobytes())
-            if group not in goals:
-                goal = derotated(r, ref_delta, (cx, cy, radius), ratio, tilt, scale)
-                goals[group] = goal, disk_level(goal[None])[0]
-            goal, wanted = goals[group]
-            own = goal if i == ref_id else derotated(f, delta, (cx, cy, radius), ratio, tilt, scale)
-            dx, dy, method = 0.0, 0.0, "reference"
-            if i != ref_id:
-                if match:
-                    level = disk_level(own[None])[0]
-                    own = np.clip(own * wanted / level, 0, 1) if wanted >= 1e-6 and level > 1e-6 else own
-                method = "none"
-                if align:
-                    e = ellipses(own[None])
-                    dx, dy, method = float(cx - e["cx"][0]), float(cy - e["cy"][0]), "limb"
-                    if e["semi_major"][0] < 5 or max(abs(dx), abs(dy)) > 15 or dx == dy == 0:
-                        px, py, _ = kernels.phase_shift(goal, own[None])[0]
-                        dx, dy, method = -float(px), -float(py), "phase"
-                    own = kernels.shift(own, dx, dy)
-            for k, v in (("px", own), ("dx", dx), ("dy", dy), ("method", method)):
-                out[k].append(v)
-        return out | {"px": np.stack(out["px"])}
+        """A batch step by step: all its frames are turned, levelled and measured together; a group's reference is turned once."""
+        ref = table.column("ref").flatten().to_numpy(zero_copy_only=False).reshape(a.shape)
+        disk = table.column("disk").flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1)
+        delta, ref_delta, pole_ = (table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("delta", "_ref_delta", "_pole"))
+        groups: dict = {}
+        group = np.array([groups.setdefault(key, len(groups)) for key in zip(*(table.column(c).to_pylist() for c in (*by, "_pole")), strict=True)])
+        first = np.unique(group, return_index=True)[1]
+        goals = in_parts(ref[first], turn, ref_delta[first], pole_[first], *disk[first].T)
+        own = in_parts(a, turn, delta, pole_, *disk.T)
+        other = np.array([i != r for i, r in zip(table.column("frame_id").to_pylist(), table.column("ref_id").to_pylist(), strict=True)], bool)
+        own[~other] = goals[group[~other]]
+        if match:
+            wanted, level = disk_level(goals)[group], disk_level(own)
+            at = other & (wanted >= 1e-6) & (level > 1e-6)
+            own[at] = np.clip(own[at] * (wanted[at] / level[at])[:, None, None], 0, 1)
+        dx, dy, method = np.zeros(len(a)), np.zeros(len(a)), np.where(other, "none", "reference").astype(object)
+        if align and other.any():
+            e = ellipses(own[other])
+            dx[other], dy[other], method[other] = disk[other, 0] - e["cx"], disk[other, 1] - e["cy"], "limb"
+            off = np.maximum(np.abs(dx[other]), np.abs(dy[other]))
+            for i in np.flatnonzero(other)[(e["semi_major"] < 5) | (off > 15) | (off == 0)].tolist():
+                px, py, _ = kernels.phase_shift(goals[group[i]], own[i][None])[0]
+                dx[i], dy[i], method[i] = -px, -py, "phase"
+            for i in np.flatnonzero(other).tolist():
+                own[i] = kernels.shift(own[i], dx[i], dy[i])
+        return {"px": own, "dx": dx, "dy": dy, "method": method.tolist()}
 
     keep = (*by, "frame_id", "ts", "score", "ref_id", "dt_sec", "delta", "disk", "h", "w", "ref", "_ref_delta", "_pole")
     return per_stack(rows, kernel, "px array<double>, dx double, dy double, method string", keep).drop("ref", "_ref_delta", "_pole")
@@ -211,8 +220,11 @@ def block_sums(rows: DataFrame, by: list[str], groups: int = 64) -> DataFrame:
 
 
 def derotate_stack(frames: DataFrame, by: list[str], center: str, pole: str | None = None, threshold: float = 0.0, **options) -> tuple[DataFrame, DataFrame]:
-    """The stack (by, h, w, px, n) of each group's de-rotated frames, weighted by score, and the log: a row for each frame."""
-    made = derotated_frames(over_threshold(frames, by, threshold), by, center, pole, **options)
+    """The stack (by, h, w, px, n) of each group's de-rotated frames, weighted by score, and the log: a row for each frame.
+
+    The frames given are stored once, so that what scored and timed them runs once, whatever is asked of stack and log.
+    """
+    made = derotated_frames(over_threshold(materialise(frames), by, threshold), by, center, pole, **options)
     log = made.select(*by, "frame_id", "ts", F.round("score", 4).alias("norm_score"), F.round("dt_sec", 2).alias("dt_sec"), F.transform(F.slice("disk", 1, 2), lambda v: F.round(v, 2)).alias("disk_center_px"), F.round(F.col("disk")[2], 2).alias("disk_radius_px"),
                       F.round("delta", 4).alias("delta_lambda_deg"), F.array(F.round("dx", 3), F.round("dy", 3)).alias("align_shift_px"), F.col("method").alias("align_method"), (F.col("frame_id") == F.col("ref_id")).alias("is_reference"))
     return stacked_frames(made, by), log

@@ -80,9 +80,9 @@ def test_closing_and_outline_equal_plain_loops(k):
     mask = shapes()[k]
     assert (contours.close(mask[None])[0] == plain_close(mask)).all()
     closed = contours.close(mask[None])[0]
-    assert sorted(map(tuple, contours.outline(closed).tolist())) == plain_outline(closed)
+    assert sorted(map(tuple, contours.outlines(closed[None])[0].tolist())) == plain_outline(closed)
     if k not in (5, 7, 8):  # thin parts of a comb or of noise may enclose like areas
-        assert sorted(map(tuple, contours.outline(mask).tolist())) == plain_outline(mask)
+        assert sorted(map(tuple, contours.outlines(mask[None])[0].tolist())) == plain_outline(mask)
 
 
 @pytest.mark.parametrize(("a", "b", "degrees"), [(30, 20, 0), (30, 20, 35), (30, 20, 90), (28, 26, 120), (31, 12, 170)])
@@ -131,3 +131,13 @@ def test_degenerate_disks_and_thresholds(spark):
     got = {r["frame_id"]: r for r in fr.disk_ellipse(df, fixed=100).collect()}
     assert got[1]["cx"] == 9.5 and fr.disk_ellipse(df.limit(0)).count() == 0
     assert [r["n_lit"] for r in fr.closed_disks(df, fixed=100).orderBy("frame_id").collect()] == [25, 1]
+
+
+def test_frames_of_a_stack_do_not_meet(monkeypatch):
+    r = np.random.default_rng(2)
+    stack = r.random((40, 17, 13)) * (r.random((40, 1, 1)) > 0.2)
+    alone = [contours.ellipses(a[None], fixed=190) for a in stack]
+    for together in (1, 500, 1_000_000):
+        monkeypatch.setattr(contours, "TOGETHER", together)
+        whole = contours.ellipses(stack, fixed=190)
+        assert all(np.allclose(whole[k], [e[k][0] for e in alone]) for k in whole)
