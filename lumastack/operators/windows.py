@@ -141,7 +141,7 @@ def filter_quality(clipped: DataFrame, expected: float) -> DataFrame:
 def rated_windows(captures: DataFrame, minutes: float, expected: float, k: float = 1.5, anchor: str = "IR") -> DataFrame:
     """The same figures as filter_quality(sigma_clip(anchor_windows(...))), from sums instead of a row for each window and member
     (lumastack.operators.intervals). Captures without a score are in no window."""
-    found = clipped_windows(captures, captures.where(F.col("filter") == anchor), minutes, k)
+    found = clipped_windows(captures, anchor, minutes, k)
     kind = captures.schema["ts"].dataType
     cv = F.when(F.col("mean_in") <= 1e-9, 1.0).otherwise(F.try_divide(F.sqrt(F.col("squares_in") / F.col("n_in")), F.col("mean_in")))
     snr = F.least(F.lit(1.0), F.sqrt(F.col("n_in") / F.lit(float(expected))))

@@ -29,7 +29,8 @@ def captures(spark, rows):
 
 
 def found(df, k):
-    rows = intervals.clipped_windows(df, df.where("filter = 'IR'"), 10.0, k).collect()
+    rows = intervals.clipped_windows(df, "IR", 10.0, k).collect()
+    assert sorted(rows) == sorted(intervals.clipped_windows(df, df.where("filter = 'IR'"), 10.0, k).collect())
     assert len({(r["window_id"], r["c"], r["filter"]) for r in rows}) == len(rows)
     root = lambda r, s, n: (r[s] / r[n]) ** 0.5
     return {(r["window_id"], r["c"] / 1e6, r["filter"]): (r["n"], r["mean"], root(r, "squares", "n"), r["n_in"], r["mean_in"], root(r, "squares_in", "n_in"), r["first_t"] / 1e6, r["last_t"] / 1e6) for r in rows}
@@ -49,7 +50,7 @@ def test_windows_equal_members(spark, monkeypatch, bits, k):
     rows = [(f"s{i}", float(r.integers(0, 4000)) + 0.25 * float(r.integers(4)), "IR R G".split()[int(r.integers(3))], float(np.round(r.random() ** 3, 2))) for i in range(150)]
     rows += [(f"d{i}", 5000.0 + (i % 3), "IR" if i % 20 == 0 else "R", 0.5) for i in range(60)]  # dense and equal
     rows += [(f"e{i}", 9000.0 + 600.0 * i, "IR", 0.1 * i) for i in range(4)]  # windows that end on other captures
-    rows += [("n1", None, "IR", 0.4), ("n2", 100.0, "R", None), ("n3", 120.0, "R", float("nan"))]
+    rows += [("n0", 7000.0, "IR", None), ("n4", 7100.0, "R", 0.3), ("n1", None, "IR", 0.4), ("n2", 100.0, "R", None), ("n3", 120.0, "R", float("nan"))]
     equal(found(captures(spark, rows), k), plain(rows, "IR", 300.0, k))
 
 
