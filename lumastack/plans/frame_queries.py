@@ -337,7 +337,7 @@ def ap_grid_function(spark, sf):
     mean = lambda f: F.try_divide(F.aggregate(F.transform("_lit", f), F.lit(0).cast("bigint"), add), n)
     rows = rows.select("frame_id", "h", "w", "px", mean(lambda i: (i % F.col("w")).cast("bigint")).alias("cx"), mean(lambda i: F.floor(i / F.col("w"))).alias("cy"), F.when(n > 0, F.sqrt(n / F.pi())).alias("radius"))
     rows.createOrReplaceTempView("ap_grid_frames")
-    return spark.sql("SELECT * FROM ap_grid(TABLE(SELECT * FROM ap_grid_frames) PARTITION BY (frame_id), 1, 4, 0.05D, 0.6D)")
+    return spark.sql("SELECT * FROM ap_grid(TABLE(SELECT * FROM ap_grid_frames), 1, 4, 0.05D, 0.6D)")
 
 
 @query()
