@@ -197,7 +197,7 @@ class Sink:
         self.system.create_dir(inner, recursive=True)
         context = TaskContext.get()
         self.final, self.part = f"{inner}/{self.name}", f"{inner}/.{self.name}.{context.taskAttemptId() if context else 0}"
-        self.out, self.ticks, self.done, self.bytes = self.system.open_output_stream(self.part), [], 0, 1 if self.depth <= 8 else 2
+        self.out, self.ticks, self.done, self.n, self.bytes = self.system.open_output_stream(self.part), [], 0, n, 1 if self.depth <= 8 else 2
         self.out.write(b"LUCAM-RECORDER" + struct.pack("<7I", 0, color_id, 0, w, h, self.depth, n) + b"\0" * 136)
 
     def add(self, px, ticks: int | None) -> None:
@@ -208,6 +208,8 @@ class Sink:
         self.done += 1
 
     def close(self) -> int:
+        if self.done != self.n:
+            raise ValueError(f"{self.name} has {self.done} of {self.n} frames")
         if None not in self.ticks:
             self.out.write(struct.pack(f"<{len(self.ticks)}Q", *self.ticks))
         self.out.close()
@@ -218,13 +220,16 @@ class Sink:
 def write_ser(frames: DataFrame, folder: str, order: str = "frame_id", depth: int = 16) -> DataFrame:
     """Writes frames (file, h, w, px of 0..1, `order`; ts, a timestamp in UTC, if there is one) as a file for each value of `file`, and returns (file, frames).
 
-    A file's frames come in order through one task, one at a time, since a file is one object; their number is counted before.
+    A file's frames come in order through one task, one at a time, since a file is one object; their number is counted before, and comes
+    ahead of them as a row of its own. Rows are dealt by a number made of the file's name: a join or grouping by the name itself would let
+    Spark leave out this exchange and split what it has dealt before. A file that has not all its frames is an error.
     A task that is tried again writes its files anew. Files of one name are replaced. Frames without a file, or with pixels that are null
     or fewer or more than h times w, are left out; all frames of a file must have one size. A frame without ts leaves its file without timestamps.
     """
     timed = F.expr(f"unix_micros(cast(ts as timestamp)) * 10 + {EPOCH_TICKS}") if "ts" in frames.columns else F.lit(None).cast("bigint")
     rows = frames.where(F.col("file").isNotNull() & (F.size("px") == F.col("h") * F.col("w"))).select(F.col("file").cast("string").alias("file"), F.col(order).alias("at"), F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), timed.alias("ticks"), F.col("px").cast("array<double>").alias("px"))
     sizes = rows.groupBy("file").agg(F.count("*").alias("n"))
+    both = sizes.unionByName(rows.withColumn("n", F.lit(None).cast("bigint")), allowMissingColumns=True)
 
     def write(batches):
         import pyarrow as pa
@@ -233,16 +238,21 @@ def write_ser(frames: DataFrame, folder: str, order: str = "frame_id", depth: in
         for batch in batches:
             pixels = batch.column("px")
             for i, row in enumerate(batch.drop_columns("px").to_pylist()):
-                if now is None or row["file"] != now.name:
+                if row["n"] is not None:
                     if now:
                         yield pa.RecordBatch.from_pydict({"file": [now.name], "frames": [now.close()]})
-                    now, shape = Sink(folder, row["file"], depth), (row["h"], row["w"])
-                    now.open(row["n"], *shape, 0)
+                    now, n, shape = Sink(folder, row["file"], depth), row["n"], None
+                    continue
+                if now is None or row["file"] != now.name:
+                    raise ValueError(f"frames of {row['file']} came without their number")
+                if shape is None:
+                    shape = row["h"], row["w"]
+                    now.open(n, *shape, 0)
                 if (row["h"], row["w"]) != shape:
                     raise ValueError(f"frames of {now.name} differ in size")
                 now.add(pixels[i].values.to_numpy(zero_copy_only=False), row["ticks"])
         if now:
             yield pa.RecordBatch.from_pydict({"file": [now.name], "frames": [now.close()]})
 
-    dealt = rows.join(sizes, "file").repartition("file").sortWithinPartitions("file", "at")
+    dealt = both.withColumn("_deal", F.xxhash64("file")).repartition("_deal").sortWithinPartitions("_deal", "file", F.desc_nulls_last("n"), "at").drop("_deal")
     return dealt.mapInArrow(write, "file string, frames bigint")

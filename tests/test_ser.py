@@ -134,3 +134,28 @@ def test_frames_of_unlike_sizes_are_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="differ in size"):
         ser.write_ser(df, str(tmp_path)).collect()
     assert ser.write_ser(df.limit(0), str(tmp_path)).count() == 0
+
+
+def test_a_file_whose_frames_come_from_many_tasks_is_whole(source, tmp_path):
+    """A join that turns out small as it runs is done without dealing the frames anew; a file must still come through one task."""
+    df = source.range(4000).select(F.concat((F.col("id") % 2).cast("string"), F.lit(".ser")).alias("file"), F.col("id").alias("frame_id"), F.lit(2).alias("h"), F.lit(3).alias("w"), F.array_repeat(F.col("id") / 4000, 6).alias("px"), F.timestamp_seconds("id").alias("ts"))
+    source.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    source.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    try:
+        for name, rows in (("wide", df.repartition(16)), ("dealt", df.repartition(16).join(df.select("file").distinct(), "file"))):
+            folder = f"{tmp_path}/{name}"
+            assert {tuple(r) for r in ser.write_ser(rows, folder).collect()} == {("0.ser", 2000), ("1.ser", 2000)}
+            got = source.read.format("ser").option("path", folder).load().groupBy("file").agg(F.count("ts_ticks"), F.unix_seconds(F.max(ser.frame_time("ts_ticks"))), F.countDistinct("px"))
+            assert sorted(map(tuple, got.collect())) == [("0.ser", 2000, 3998, 2000), ("1.ser", 2000, 3999, 2000)]
+    finally:
+        source.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        source.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_a_file_without_all_its_frames_is_an_error(tmp_path):
+    sink = ser.Sink(str(tmp_path), "a.ser", 8)
+    sink.open(2, 1, 2, 0)
+    sink.add([0.0, 1.0], 5)
+    with pytest.raises(ValueError, match="1 of 2 frames"):
+        sink.close()
+    assert not (tmp_path / "a.ser").exists()
