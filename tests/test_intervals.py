@@ -99,3 +99,38 @@ def test_ranges_of_scores():
         at = i[k] + np.flatnonzero(own >= x[k])
         assert held.first(i, j, x)[k] == (at[0] if len(at) else j[k]) and held.last(i, j, x)[k] == (at[-1] if len(at) else i[k] - 1)
         assert intervals.greatest(held.high, i, j)[k] == (own.max() if len(own) else -np.inf)
+
+
+def many(spark):
+    r = np.random.default_rng(5)
+    rows = [(f"s{i}", float(r.integers(0, 4000)) + 0.5 * float(r.integers(2)), ["IR", "R", None][int(r.integers(3))], float(np.round(1 - r.random() ** 3, 2))) for i in range(200)]
+    rows += [(f"d{i}", 5000.0 + 300.0 * (i % 3), "IR" if i % 20 == 0 else "R", 0.5) for i in range(60)]
+    return captures(spark, [*rows, ("n1", None, "IR", 0.4)])
+
+
+@pytest.mark.parametrize("k", [0.55, 1.5])
+def test_clipped_and_nested_windows_equal_the_way_over_members(spark, monkeypatch, k):
+    monkeypatch.setattr(intervals, "SEGMENT_BITS", 4)
+    df = many(spark)
+    want = windows.sigma_clip(windows.anchor_windows(df, 10.0), k)
+    plain_rows = lambda d: sorted(map(str, d.select("window_id", "center_ts", "filter", "stem", "ts", "norm_score", "included").collect()))
+    got = windows.clipped_members(df, 10.0, k)
+    assert plain_rows(got) == plain_rows(want) and got.where("not included").count() > 0
+    named = df.where("filter IS NOT NULL")
+    members = windows.sigma_clip(windows.anchor_windows(named, 10.0), k)
+    a = {r["window_id"]: r for r in windows.nested(windows.filter_quality(members, 5.0), members).collect()}
+    b = {r["window_id"]: r for r in windows.nested_windows(named, 10.0, 5.0, k).collect()}
+    assert a.keys() == b.keys()
+    for w, r in a.items():
+        assert r["center_ts"] == b[w]["center_ts"] and list(r["per_filter"]) == list(b[w]["per_filter"])
+        for f, one in r["per_filter"].items():
+            two = b[w]["per_filter"][f].asDict()
+            assert one["included"] == two.pop("included") and one["excluded"] == two.pop("excluded")
+            assert all(np.isclose(one[n], v, atol=1e-4) for n, v in two.items())
+
+
+def test_members_are_not_dealt_by_window(spark):
+    df = many(spark)
+    assert "Window [" not in windows.clipped_members(df, 10.0, 1.0)._jdf.queryExecution().executedPlan().toString()
+    plan = windows.nested_windows(df, 10.0, 5.0, 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 3 and "collect_list(struct(stem" in plan
