@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumastack.operators import contours, kernels
 from lumastack.operators.contours import ellipses
+from lumastack.sources.shared import materialise
 
 #: Pixels that one kernel call takes at most.
 STACK = 4_000_000
@@ -455,11 +456,23 @@ def poisson_grid(frames: DataFrame, size: int, part: float) -> DataFrame:
 
 
 def interpolated(scores: DataFrame, by: str, order: str, score: str) -> DataFrame:
-    """Missing scores filled linearly between the neighbours in order; flat beyond the first and last."""
-    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(by).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col(score).isNotNull(), F.col(order))
-    x0, y0 = F.last(at, True).over(before), F.last(score, True).over(before)
-    x1, y1 = F.first(at, True).over(after), F.first(score, True).over(after)
+    """Missing scores filled linearly between the neighbours in order; flat beyond the first and last.
+
+    Rows are dealt by ranges of (by, order) and stored with their part, so that a group of any size is filled by all tasks. Parts pass on their
+    first and last score; windows over a group see a row for each part. Both neighbours are the last ones seen, in order or against it, which
+    takes one step a row.
+    """
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(scores.repartitionByRange(parts, by, order).withColumn("_part", F.spark_partition_id()))
+    known = F.when(F.col(score).isNotNull(), F.struct(F.col(order).alias("x"), F.col(score).alias("y")))
+    ends = dealt.groupBy(F.col(by).alias("_group"), F.col("_part").alias("_of")).agg(F.min(known).alias("_first"), F.max(known).alias("_last"))
+    of_group = Window.partitionBy("_group")
+    earlier, later = (of_group.orderBy(at).rowsBetween(Window.unboundedPreceding, -1) for at in ("_of", F.desc("_of")))
+    ends = ends.select("_group", "_of", F.last("_last", True).over(earlier).alias("_before"), F.last("_first", True).over(later).alias("_after"))
+    rows = dealt.join(ends, (F.col("_part") == F.col("_of")) & F.col(by).eqNullSafe(F.col("_group")))
+    own = Window.partitionBy("_part", by)
+    before, after = (own.orderBy(*at).rowsBetween(Window.unboundedPreceding, 0) for at in ((F.asc(order), F.asc(score)), (F.desc(order), F.desc(score))))
+    found = rows.withColumn("_low", F.coalesce(F.last(known, True).over(before), "_before")).withColumn("_high", F.coalesce(F.last(known, True).over(after), "_after"))
+    (x0, y0), (x1, y1) = ((F.col(f"{side}.x"), F.col(f"{side}.y")) for side in ("_low", "_high"))
     line = y0 + F.try_divide((y1 - y0) * (F.col(order) - x0), x1 - x0)
-    return scores.withColumn("filled", F.coalesce(F.col(score), line, y0, y1))
+    return found.withColumn("filled", F.coalesce(F.col(score), line, y0, y1)).drop("_part", "_of", "_group", "_before", "_after", "_low", "_high")

@@ -275,3 +275,17 @@ def test_size_gate_holds_no_file(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "FlatMapGroupsInPandas" not in plan(made)
+
+
+def test_gaps_are_filled_over_parts_in_one_step_a_row(spark):
+    from lumastack.operators.frames import interpolated
+
+    known = [i % 7 == 3 and i != 38 for i in range(60)]
+    rows = [("a", i, float(i * i % 11) if known[i] else None) for i in range(60)] + [("b", 1, None), ("b", 2, None), (None, 5, 2.0), (None, 7, None)]
+    made = interpolated(spark.createDataFrame(rows, "g string, i long, s double").repartition(3), "g", "i", "s")
+    assert "unboundedfollowing" not in made._jdf.queryExecution().analyzed().toString()
+    x = [i for i in range(60) if known[i]]
+    want = dict(zip(range(60), np.interp(range(60), x, [i * i % 11 for i in x]), strict=True))
+    got = {(r["g"], r["i"]): r["filled"] for r in made.collect()}
+    assert len(got) == 64 and all(abs(got["a", i] - v) < 1e-9 for i, v in want.items())
+    assert got["b", 1] is None and got[None, 5] == got[None, 7] == 2.0
