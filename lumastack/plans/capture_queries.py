@@ -82,7 +82,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY pick ORDER BY name) AS r, count(
 SELECT pick, filter, name FROM r WHERE r = n // 2 + 1""")
 def pick_reference_late(spark, sf):
     """The reference where IR, R and G are missing, and with a forced name in another case."""
-    files = catalog.capture_catalog(paths(spark, sf)).select("filter", F.col("stem").alias("name"))
+    files = materialise(catalog.capture_catalog(paths(spark, sf)).select("filter", F.col("stem").alias("name")))  # each name is parsed once
     late = catalog.pick_reference_file(files.where(F.col("filter").isin("B", "CH4", "color")))
     forced = catalog.pick_reference_file(files, forced="Ap47")
     return late.select(F.lit("late").alias("pick"), "filter", "name").unionByName(forced.select(F.lit("forced").alias("pick"), "filter", "name"))
