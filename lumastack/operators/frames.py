@@ -17,7 +17,7 @@ from lumastack.operators.contours import ellipses
 from lumastack.sources.shared import materialise
 
 #: Pixels that one kernel call takes at most.
-STACK = 4_000_000
+STACK = 250_000
 
 
 def column(values: np.ndarray | list, kind: pa.DataType) -> pa.Array:

@@ -144,3 +144,17 @@ def test_series_brings_members_together(spark):
     assert {r["n_used"] for r in log.where("cycle_id = 1").collect()} == {3} and log.count() == 9
     empty, none = sequence.series_frames(table.where("false"), 5, 3)
     assert empty.count() == 0 and none.count() == 0
+
+
+def test_limbs_of_many_frames_take_no_more_memory():
+    import tracemalloc
+
+    a = np.random.default_rng(2).random((3000, 8, 8))
+    disks = {k: np.full(len(a), v) for k, v in (("cx", 4.0), ("cy", 4.0), ("semi_major", 3.0), ("semi_minor", 2.5), ("angle", 10.0))}
+    tracemalloc.start()
+    made = sharpen.limb_params(a, disks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and all(len(m) == 3000 for m in made)
+    for m, one in zip(made, sharpen.limbs(a[:700], {k: v[:700] for k, v in disks.items()}), strict=True):
+        assert (m[:700] == one).all()
