@@ -53,7 +53,8 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     Multi-index hashing: two fingerprints that near are within distance // 2 bits of each other in one of their two 32-bit
     halves. Each fingerprint is stored under both its halves and looks up every value in the small Hamming ball around
     them (33 for each half at distance 3); complete distances decide. 32-bit keys keep the matches few: about n / 130
-    million chance matches for each of n fingerprints.
+    million chance matches for each of n fingerprints. Spark does not count what explode adds (66 rows for each fingerprint), so
+    without the hint it would broadcast them.
     """
     radius = distance // 2
     masks = [sum(1 << i for i in bits) for r in range(radius + 1) for bits in combinations(range(32), r)]
@@ -63,7 +64,7 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     ball = F.array(*[F.lit(m).cast("bigint") for m in masks])
     looked = nodes.select("fingerprint", F.explode(F.array(low, high)).alias("half"), ball.alias("ball")).select(F.col("fingerprint").alias("a"), F.explode("ball").alias("mask"), "half").select("a", F.col("half").bitwiseXOR(F.col("mask")).alias("key"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return looked.join(stored, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return looked.join(stored.hint("merge"), "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, distance: int = 3, size: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), *, with_root: bool = False) -> DataFrame:

@@ -84,6 +84,12 @@ def test_links_find_every_pair_within_three_bits(spark):
     assert {tuple(x) for x in simhash.links(df).collect()} == want and want
 
 
+def test_link_keys_are_not_broadcast(spark):
+    """66 keys a fingerprint, which Spark's estimate leaves out: tables under its limit for broadcasts would go to the driver so many times over."""
+    df = spark.range(1000).select(F.xxhash64("id").alias("fingerprint"))
+    assert "Broadcast" not in simhash.links(df)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark, monkeypatch):
     """A long chain, a star whose centre has the largest id, self-links and pairs; rounds stay few."""
     chain, star = [(i, i + 1) for i in range(300)], [(1000 + i, 5000) for i in range(200)]
