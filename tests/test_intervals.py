@@ -134,3 +134,11 @@ def test_members_are_not_dealt_by_window(spark):
     assert "Window [" not in windows.clipped_members(df, 10.0, 1.0)._jdf.queryExecution().executedPlan().toString()
     plan = windows.nested_windows(df, 10.0, 5.0, 1.0)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") == 3 and "collect_list(struct(stem" in plan
+
+
+def test_members_are_looked_up_by_many_tasks(spark):
+    """What a task makes of its rows, not their size, is its work: no task has a large part of the members."""
+    df = spark.range(4000).select(F.col("id").cast("string").alias("stem"), F.timestamp_seconds(F.col("id") * 6).alias("ts"), F.when(F.col("id") % 2 == 0, "IR").otherwise("R").alias("filter"), F.rand(1).alias("norm_score"))
+    for found in (windows.anchor_windows(df, 10.0), windows.clipped_members(df, 10.0, 1.5)):
+        shares = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+        assert max(shares) < 0.1 * sum(shares) and sum(shares) > 100 * 2000 * 0.9
