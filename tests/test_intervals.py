@@ -142,3 +142,9 @@ def test_members_are_looked_up_by_many_tasks(spark):
     for found in (windows.anchor_windows(df, 10.0), windows.clipped_members(df, 10.0, 1.5)):
         shares = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("part")).count().collect()]
         assert max(shares) < 0.1 * sum(shares) and sum(shares) > 100 * 2000 * 0.9
+
+
+def test_nested_windows_are_made_by_many_tasks(spark):
+    df = spark.range(4000).select(F.col("id").cast("string").alias("stem"), F.timestamp_seconds(F.col("id") * 6).alias("ts"), F.when(F.col("id") % 2 == 0, "IR").otherwise("R").alias("filter"), F.rand(1).alias("norm_score"))
+    shares = [r["count"] for r in windows.nested_windows(df, 10.0, 5.0).groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert max(shares) < 0.1 * sum(shares) and sum(shares) == 2000
